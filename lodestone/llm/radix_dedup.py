@@ -65,7 +65,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         )
         groups = work.save(groups, f"groups{level}")
         more = bool(groups.filter(~F.col("over")).take(1))
-        split = live.withColumn("head", head).join(groups, ["gid", "head"], "left")
+        split = live.withColumn("head", head).join(groups.hint("merge"), ["gid", "head"], "left")
         goes_on = F.col("over").isNotNull() & ~F.col("over")
         rows = split.select(
             "id",
