@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, radix_dedup, secrets, simhash, token_counts
+from lodestone.llm import byte_bpe, radix_dedup, secrets, simhash, token_counts, warc
 from lodestone.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, records, _ = warc.archive(table(spark, sf_dir, "pages"))
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -41,5 +46,6 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_warc": op8_warc,
     "op10_simhash": op10_simhash,
 }
