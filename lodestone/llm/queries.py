@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, radix_dedup, secrets, simhash, token_counts, warc
+from lodestone.llm import byte_bpe, line_dedup, radix_dedup, secrets, simhash, token_counts, warc
 from lodestone.llm.common import table
 
 
@@ -19,6 +19,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, deleted runs as first+count, and what the kept text hashes to."""
+    out = line_dedup.delete_repeats(documents(spark, sf_dir))
+    runs = F.array_join(F.transform("line_runs", lambda x: F.concat_ws("+", x["ln"].cast("string"), x["size"].cast("string"))), ",")
+    return out.select("doc_id", F.size("line_runs").cast("long").alias("n_runs"), runs.alias("runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -43,6 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
