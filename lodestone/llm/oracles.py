@@ -1,6 +1,50 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
 ORACLES = {
+    "op5_preferences": """
+        WITH t AS (
+            SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 1 AS side, conv_id,
+                   coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n
+            FROM conversations
+        ),
+        ids AS (
+            SELECT pair_id,
+                   min(conv_id) FILTER (WHERE NOT side) AS chosen_id,
+                   min(conv_id) FILTER (WHERE side) AS rejected_id,
+                   coalesce(max(n) FILTER (WHERE NOT side), 0) AS size_a,
+                   coalesce(max(n) FILTER (WHERE side), 0) AS size_b
+            FROM t GROUP BY pair_id
+        ),
+        differ AS (
+            SELECT a.pair_id, min(a.n) AS n
+            FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.n = b.n AND NOT a.side AND b.side
+            WHERE a.role <> b.role OR a.text <> b.text
+            GROUP BY a.pair_id
+        ),
+        cut AS (
+            SELECT ids.*, coalesce(differ.n - 1, least(size_a, size_b)) AS n_common
+            FROM ids LEFT JOIN differ USING (pair_id)
+        ),
+        drawn AS (
+            SELECT t.pair_id, side, t.n, n_common, role,
+                   '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said
+            FROM t JOIN cut USING (pair_id)
+        ),
+        joined AS (
+            SELECT pair_id,
+                   string_agg(said, '' ORDER BY n) FILTER (WHERE NOT side AND n <= n_common) AS prompt,
+                   string_agg(said, '' ORDER BY n) FILTER (WHERE NOT side AND n > n_common) AS chosen,
+                   string_agg(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, '' ORDER BY n) FILTER (WHERE NOT side AND n > n_common) AS chosen_mask,
+                   string_agg(said, '' ORDER BY n) FILTER (WHERE side AND n > n_common) AS rejected,
+                   string_agg(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, '' ORDER BY n) FILTER (WHERE side AND n > n_common) AS rejected_mask
+            FROM drawn GROUP BY pair_id
+        )
+        SELECT pair_id, chosen_id, rejected_id, n_common,
+               coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(chosen_mask, '') AS chosen_mask,
+               coalesce(rejected, '') AS rejected, coalesce(rejected_mask, '') AS rejected_mask
+        FROM cut JOIN joined USING (pair_id)
+    """,
     "op6_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
@@ -10,4 +54,24 @@ ORACLES = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+            FROM pages
+        ),
+        bits AS (
+            SELECT page_id, first, strlen(payload) AS payload_bytes,
+                   array_to_string(list_transform(string_split(sha1(payload), ''), lambda c:
+                       ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+                       [strpos('0123456789abcdef', c)]), '') AS b
+            FROM p
+        )
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + 16 * substr(b, 5 * i + 1, 1)::BIGINT + 8 * substr(b, 5 * i + 2, 1)::BIGINT + 4 * substr(b, 5 * i + 3, 1)::BIGINT
+                     + 2 * substr(b, 5 * i + 4, 1)::BIGINT + substr(b, 5 * i + 5, 1)::BIGINT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM bits
+    """,
 }
