@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, line_dedup, preferences, radix_dedup, secrets, simhash, token_counts, toxicity, warc
+from lodestone.llm import byte_bpe, decontaminate, line_dedup, preferences, radix_dedup, secrets, simhash, token_counts, toxicity, warc
 from lodestone.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -65,5 +69,6 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_warc": op8_warc,
+    "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }

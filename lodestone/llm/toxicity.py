@@ -33,7 +33,7 @@ MOST_ROWS = 20_000
 MOST_CANDIDATES = 40_000
 MOST_FEATURES = 4_000
 MOST_VOTERS = 200
-LEAST_SUPPORT = 5
+LEAST_SUPPORT = 3
 STEMS = (4, 5, 6)
 WORD = re.compile(r"\w+")
 LABEL_ACCURACY = 0.98
