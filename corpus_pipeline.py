@@ -1,13 +1,62 @@
-"""The corpus pipeline: STAGES over ``documents``, and run()."""
+"""The corpus pipeline: from raw documents to token ids.
+
+Toxic documents go, repeated passages are cut, one document of each group of
+near duplicates stays, documents holding benchmark items go, and what is left
+is encoded.  Every stage works on all rows its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import byte_bpe, decontaminate, line_dedup, simhash, toxicity
+from lodestone.llm.common import Workspace, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """n_chars follows the text."""
+    kept = line_dedup.delete_repeats(docs).drop("line_runs")
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests of ids and of the decoded bytes, and the ids."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", cut_repeats),
+    ("simhash near dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
+    ("byte-level BPE", encode),
+]
+
+#: Scores, latent search and merges are beyond SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage over ``documents``, each stage written and reread."""
+    work = Workspace(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = work.save(stage(spark, docs, sf_dir), f"stage{number}")
+        if number:
+            work.drop(f"stage{number - 1}")
     return docs

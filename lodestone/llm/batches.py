@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Characters of text worked on at once; one longer text makes a slice alone.
 SLICE_CHARS = 4_000_000
@@ -53,3 +55,15 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, tu
     schema = ", ".join([f"`id` {id_type}", *(f"`{n}` {sql}" for n, (sql, _) in columns.items())])
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
+
+
+def text_column(work: Callable[[list[str]], list], sql_type: str) -> Callable[[Column], Column]:
+    """A column function over whole texts (null as empty), batch by batch.
+
+    Unlike map_texts it leaves the row's other columns where they are.
+    """
+
+    def column(texts: pd.Series) -> pd.Series:
+        return pd.Series(work([t or "" for t in texts]))
+
+    return F.pandas_udf(column, sql_type)

@@ -181,30 +181,22 @@ def load(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def digests(texts: list[str], path: str, pattern: str) -> list[list]:
+def digests(texts: list[str], path: str, pattern: str, with_ids: bool = False) -> list[list]:
     codec = load(path, pattern)
-    counts, ids_sha, text_sha = [], [], []
+    counts, ids_sha, text_sha, out = [], [], [], []
     for _, part in slices(texts):
         ids = codec.encode(part)
         whole = codec.decode(ids)
         counts += [len(x) // 4 for x in ids]
         ids_sha += [hashlib.sha256(x).hexdigest() for x in ids]
         text_sha += [hashlib.sha256(x).hexdigest() for x in whole]
-    return [counts, ids_sha, text_sha]
+        if with_ids:
+            out += [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids]
+    return [counts, ids_sha, text_sha, *[out] * with_ids]
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ids (array of int) of every whole text; null text has no ids."""
-
-    def work(texts: list[str]) -> list[list]:
-        codec = load(path, pattern)
-        return [[np.frombuffer(x, dtype="<u4").astype(np.int32) for _, part in slices(texts) for x in codec.encode(part)]]
-
-    return map_texts(docs, id_col, text_col, {"ids": ("array<int>", pa.list_(pa.int32()))}, work)
-
-
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 of every row.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 of every row, and the ids if asked.
 
     Texts are encoded whole and without special tokens (strings that look like
     them are ordinary text), then decoded from the ids alone.  Null and empty
@@ -212,4 +204,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     reported; extra columns are ignored.
     """
     columns = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
-    return map_texts(docs, id_col, text_col, columns, lambda texts: digests(texts, path, pattern))
+    columns |= {"ids": ("array<int>", pa.list_(pa.int32()))} if with_ids else {}
+    return map_texts(docs, id_col, text_col, columns, lambda texts: digests(texts, path, pattern, with_ids))

@@ -107,3 +107,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = work.save(named.join(least.hint("merge"), "root").select("fp", "component_id"), "member")
     out = fps.join(member.hint("merge"), "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group: the one with the smallest id.
+
+    Rows that tie on that id stay together.  All columns stay.
+    """
+    kept = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import BoundedCache, map_texts
+from lodestone.llm.batches import BoundedCache, map_texts, text_column
 from lodestone.llm.common import Workspace
 
 #: The sample of labelled rows: the least hashes of their ids, so many at most.
@@ -189,16 +189,29 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {"features": names, "weights": weights, "bias": bias, "label_model": model}
 
 
+class Scorer:
+    """Scores (0 to 1) of texts; empty ones have the bias only."""
+
+    def __init__(self, model: dict):
+        self.known = {f: i for i, f in enumerate(model["features"])}
+        self.weights, self.bias, self.match = model["weights"].tolist(), model["bias"], None
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        self.match = self.match or Matcher(self.known)
+        sums = [self.bias + math.fsum(self.weights[i] for i in self.match(t)) for t in texts]
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in sums]
+
+
 def score_texts(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score (0 to 1) of every row; null and empty texts have the bias only."""
-    known = {f: i for i, f in enumerate(model["features"])}
-    weights, bias = model["weights"].tolist(), model["bias"]
+    """id and score of every row."""
+    score = Scorer(model)
+    return map_texts(docs, id_col, text_col, {"score": ("double", pa.float64())}, lambda texts: [score(texts)])
 
-    def work(texts: list[str]) -> list[list]:
-        match = work.__dict__.get("match") or work.__dict__.setdefault("match", Matcher(known))
-        return [[1 / (1 + math.exp(-max(-30.0, min(30.0, bias + math.fsum(weights[i] for i in match(t)))))) for t in texts]]
 
-    return map_texts(docs, id_col, text_col, {"score": ("double", pa.float64())}, work)
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that ``toxicity`` predicts toxic; all columns stay."""
+    score = text_column(Scorer(learn(docs, labels, id_col, text_col)), "double")
+    return docs.filter(score(F.col(text_col)) < 0.5)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
