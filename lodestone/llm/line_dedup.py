@@ -112,4 +112,4 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = out.withColumn(found, F.expr(f"coalesce({long}, cast(array() as array<struct<ln: int, size: int>>))"))
     kept = f"array_join(filter({lines}, (l, i) -> not exists({found}, x -> i >= x.ln and i < x.ln + x.size)), '\n')"
     out = out.withColumn(text_col, F.when(F.size(found) > 0, F.expr(kept)).otherwise(F.col(text_col)))
-    return out.select(*docs.columns, F.col(found).alias("line_runs"))
+    return out.select(*(c for c in docs.columns if c.lower() != "line_runs"), F.col(found).alias("line_runs"))

@@ -52,7 +52,7 @@ class Matcher:
     """Finds which of the given features a text holds."""
 
     def __init__(self, known: dict[str, int]):
-        self.known, self.hits = known, BoundedCache(1_000_000)
+        self.known, self.hits = known, BoundedCache(300_000)
 
     def __call__(self, text: str) -> set[int]:
         found: set[int] = set()
@@ -73,7 +73,7 @@ def held_out(id_col: str) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
     """(toxic, text) of at most ``most`` labelled rows that are not held out."""
-    named = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter(f"id is not null and toxic is not null")
+    named = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic is not null")
     named = named.filter(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     sample = named.orderBy(F.xxhash64("id"), "id").limit(most)  # bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -125,9 +125,12 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> dict
     voter weighs one over one plus the sum of its positive correlations, so
     that a family of voters that fire together counts about once.
     """
+    if not len(labels):
+        none = np.zeros(votes.shape[1])
+        return {"posterior": np.zeros(0), "accuracy": none + 0.5, "correlation": np.outer(none, none), "weight": none + 1}
     known = np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
     said = np.log(known / (1 - known))
-    prior = min(max(labels.mean() if len(labels) else 0.5, 1e-3), 1 - 1e-3)
+    prior = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     post = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + said)))
     weight, accuracy = np.ones(votes.shape[1]), np.full(votes.shape[1], 0.5)
     for _ in range(rounds):
@@ -144,7 +147,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> dict
         if np.abs(new - post).max(initial=0) < 1e-6:
             break
         post = new
-    return {"posterior": post, "accuracy": accuracy, "correlation": correlation if len(votes) else None, "weight": weight}
+    return {"posterior": post, "accuracy": accuracy, "correlation": correlation, "weight": weight}
 
 
 def fit_classifier(hits: list[list[int]], target: np.ndarray, n_features: int, rounds: int = 300, decay: float = 1e-3) -> tuple[np.ndarray, float]:
