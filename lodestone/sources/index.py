@@ -15,13 +15,13 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.errors import ConfigurationError, StorageError
+from lodestone.errors import ConfigurationError, ScopeError, StorageError
 from lodestone.functions.embedding import valid
 from lodestone.operators.lexical import postings
 from lodestone.operators.links import build_links
 
 VERSION = 2
-TABLES = ("parsed", "chunks", "postings", "links")
+TABLES = ("parsed", "chunks", "postings", "links", "documents", "concepts", "edges", "topics")
 
 
 class Index:
@@ -153,6 +153,33 @@ class Index:
                 now["tables"]["links"].append(self._write(build_links(parsed), "links"))
         self._commit(now)
 
+    def add_all(self, documents: DataFrame, chunks: DataFrame, with_links: bool = True, **more: DataFrame) -> None:
+        """Many whole documents at once, visible together after one commit.
+
+        documents: doc_id, name, path; chunks: all of their chunks, embedded.
+        Nothing is gathered on the driver.  ``more`` adds other tables
+        (concepts, edges, topics).  Known ids are an error.
+        """
+        now = self.manifest()
+        old = self.documents().select("doc_id")
+        if documents.join(old, "doc_id", "left_semi").take(1):
+            raise StorageError("a document is in the index already")
+        written = self._write(chunks, "chunks")
+        saved = self.spark.read.parquet(f"{self.path}/{written}")
+        if saved.filter(~valid(F.col("embedding"))).take(1) or len(sizes := saved.select(F.size("embedding").alias("n")).distinct().take(2)) > 1:
+            raise StorageError("vectors must be there, finite and of one dimension")
+        if sizes:
+            if now.get("dimension") not in (None, sizes[0].n):
+                raise StorageError("vectors must be there, finite and of one dimension")
+            now["dimension"] = sizes[0].n
+        totals = saved.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("total_chunks"))
+        listed = documents.select("doc_id", "name", "path").join(totals, "doc_id", "left").withColumn("total_chunks", F.coalesce("total_chunks", F.lit(0)))
+        parts = {"postings": postings(saved), "documents": listed, **more} | ({"links": build_links(saved)} if with_links else {})
+        now["tables"]["chunks"].append(written)
+        for name, rows in parts.items():
+            now["tables"][name].append(self._write(rows, name))
+        self._commit(now)
+
     # -- reading
 
     def table(self, name: str) -> DataFrame | None:
@@ -161,28 +188,29 @@ class Index:
 
     def documents(self) -> DataFrame:
         rows = [(d, e["name"], e["path"], e["processed"], e["state"], e["total"]) for d, e in sorted(self.manifest()["documents"].items())]
-        return self.spark.createDataFrame(rows, "doc_id string, name string, path string, processed_chunks int, state string, total_chunks int")
+        one = self.spark.createDataFrame(rows, "doc_id string, name string, path string, processed_chunks int, state string, total_chunks int")
+        many = self.table("documents")
+        return one if many is None else one.unionByName(many.select("doc_id", "name", "path", F.col("total_chunks").alias("processed_chunks"), F.lit("complete").alias("state"), "total_chunks"))
 
     def complete(self, name: str) -> DataFrame:
         """A table's rows of complete documents."""
         rows = self.table(name)
         if rows is None:
             raise StorageError(f"the index has no {name}")
-        return rows.join(F.broadcast(self.documents().filter("state = 'complete'").select("doc_id")), "doc_id", "left_semi")
+        return rows.join(self.documents().filter("state = 'complete'").select("doc_id"), "doc_id", "left_semi")
 
     def resolve_scope(self, scope: str | None) -> str | None:
         """A document by id, else by its one exact name or path."""
-        from lodestone.errors import ScopeError
-
         if scope is None:
             return None
-        known = self.manifest()["documents"]
-        hits = [scope] if scope in known else [d for d, e in known.items() if scope in (e["name"], e["path"])]
+        known = self.documents().filter((F.col("doc_id") == scope) | (F.col("name") == scope) | (F.col("path") == scope)).select("doc_id", "state", (F.col("doc_id") == scope).alias("exact"))
+        found = known.orderBy(F.desc("exact")).take(2)
+        hits = found[:1] if found and found[0].exact else found
         if len(hits) != 1:
             raise ScopeError(f"{'unknown' if not hits else 'ambiguous'} scope: {scope}")
-        if known[hits[0]]["state"] != "complete":
-            raise ScopeError(f"{hits[0]} is not complete")
-        return hits[0]
+        if hits[0].state != "complete":
+            raise ScopeError(f"{hits[0].doc_id} is not complete")
+        return hits[0].doc_id
 
     def capabilities(self) -> dict[str, bool]:
         """What the index can serve; reads the manifest and schemas only."""
@@ -191,4 +219,4 @@ class Index:
         now = self.manifest()
         chunks = self.table("chunks")
         has = bool(chunks is not None and "embedding" in chunks.columns)
-        return {"vector": has, "lexical": bool(now["tables"]["postings"]), "evidence_ready": has and any(e["state"] == "complete" for e in now["documents"].values()), "graph": bool(now["tables"].get("edges")), "topic": bool(now["tables"].get("topics"))}
+        return {"vector": has, "lexical": bool(now["tables"]["postings"]), "evidence_ready": has and (bool(now["tables"]["documents"]) or any(e["state"] == "complete" for e in now["documents"].values())), "graph": bool(now["tables"].get("edges")), "topic": bool(now["tables"].get("topics"))}

@@ -1,0 +1,63 @@
+import random
+
+import pytest
+
+from lodestone.operators import links, structure
+
+TEXT = "Intro.\r\n\r\n# One\r\nSee section 2. And clause 7.\n```\n# not a heading\n```\nTwo\n---\nbody\n# Section 2 #\nmore text here\n"
+
+
+def test_headings_sections_and_offsets():
+    chunks = structure.parse_text(TEXT, "d", "md", 40)
+    assert all(TEXT[c["source_start"] : c["source_end"]] == c["clean_text"] for c in chunks)
+    assert [c["title_path"] for c in chunks][0] == [] and chunks[-1]["title_path"] == ["Section 2"]
+    paths = [tuple(c["title_path"]) for c in chunks]
+    assert ("One", "Two") in paths and not any("not a heading" in p for path in paths for p in path)
+    assert [c["sequence"] for c in chunks] == list(range(len(chunks)))
+
+
+def test_numbered_text():
+    chunks = structure.parse_text("第一章 总则\n甲\n第2条\n见第一章。\nSection 1.2\n乙\nSection 1.2x", "d", "txt", 100)
+    assert [c["title_path"] for c in chunks] == [["第一章 总则"], ["第一章 总则", "第2条"], ["第一章 总则", "Section 1.2"]]
+    with pytest.raises(ValueError):
+        structure.parse_text("x", "d", "html")
+    with pytest.raises(ValueError):
+        structure.parse_text("x", "d", "md", 0)
+    assert structure.parse_text("", "d") == structure.parse_text(" \n ", "d") == []
+
+
+def test_random_texts_keep_every_symbol_once():
+    rng = random.Random(0)
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "Ein Satz. ", "长句子。", "\n", "\r\n\n", "# H\n", "x" * 30, "```\n", "a\n===\n", "; "]) for _ in range(rng.randint(0, 30)))
+        size = rng.randint(1, 50)
+        chunks = structure.parse_text(text, "d", "markdown", size)
+        at = 0
+        for c in chunks:
+            assert c["source_start"] >= at and not text[at : c["source_start"]].strip()
+            assert 0 < c["source_end"] - c["source_start"] <= size and text[c["source_start"] : c["source_end"]] == c["clean_text"]
+            at = c["source_end"]
+        assert not text[at:].strip()
+
+
+def test_links(spark):
+    text = "# Section 1\nSee Section 2 and section 3, section 9.\n# Section 2\nalpha beta gamma. delta epsilon.\n# Section 3\na\n# Section 3\nb"
+    chunks = structure.parse_documents(spark.createDataFrame([("d", text)], "doc_id string, text string"), size=25)
+    made = links.build_links(chunks).collect()
+    told = {r.basis: r for r in made if r.kind == "explicit_reference"}
+    assert (told["Section 2"].status, len(told["Section 2"].target_ids)) == ("resolved", 3)
+    assert told["Section 2"].target_id == told["Section 2"].target_ids[0]
+    assert told["section 3"].status == "ambiguous" and told["section 9"].status == "missing" and len(told) == 3
+    assert all(text[r.source_start : r.source_end] == r.basis for r in told.values())
+    near = {(r.source_id, r.target_id) for r in made if r.kind == "adjacent"}
+    assert near and all((b, a) in near for a, b in near)
+    assert sum(r.kind == "section_member" for r in made) == chunks.count()
+
+
+def test_reference_across_a_chunk_cut(spark):
+    text = "# Section 1\n" + "x" * 18 + " see sect" + "ion 1"
+    chunks = structure.parse_documents(spark.createDataFrame([("d", text)], "doc_id string, text string"), size=20)
+    hit = links.references(chunks).collect()
+    assert len(hit) == 1 and hit[0].basis == "section 1" and hit[0].status == "resolved"
+    owner = {c.chunk_id: c for c in chunks.collect()}[hit[0].source_id]
+    assert owner.source_start <= hit[0].source_start < owner.source_end
