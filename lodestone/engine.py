@@ -174,7 +174,7 @@ class Engine:
         rows = rows if rows is not None else self.index.complete("chunks")
         scoped = "scope" in asked.columns
         near = dense.dense_topk(asked.select("query_id", "embedding", *(["scope"] if scoped else [])), rows, options.candidate_k, scope_col="doc_id" if scoped else None)
-        stats = self.index.table("chunks").select("chunk_id", "clean_text").transform(lexical.statistics)
+        stats = lexical.statistics(self.index.table("chunks"), self.index.table("postings"))
         seen = rows.select("chunk_id", F.col("doc_id").alias("scope")) if scoped else rows.select("chunk_id", F.lit(None).cast("string").alias("scope"))
         with_scope = asked if scoped else asked.withColumn("scope", F.lit(None).cast("string"))
         words = lexical.bm25_topk(with_scope, self.index.table("postings"), stats, options.lexical_k, visible=seen)

@@ -28,20 +28,23 @@ def split_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, sequence, chunk_id, clean_text, context_text, chapter."""
     if size < 1:
         raise ValueError("size must be positive")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(pieces(F.col(text_col), size)).alias("sequence", "clean_text"))
-    before = F.lag("clean_text").over(Window.partitionBy("doc_id").orderBy("sequence"))
+    # The chunk before is its neighbour in the array, so no window and no shuffle is needed.
+    parts = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col), size).alias("parts"))
+    before = F.expr("if(size(parts) > 0, concat(array(cast(null as string)), slice(parts, 1, size(parts) - 1)), cast(array() as array<string>))")
+    rows = parts.select("doc_id", F.posexplode(F.arrays_zip(F.col("parts").alias("clean_text"), before.alias("before"))).alias("sequence", "p"))
     return rows.select(
         "doc_id",
         "sequence",
         F.format_string("%s::chunk_%06d", F.col("doc_id").cast("string"), F.col("sequence")).alias("chunk_id"),
-        "clean_text",
-        F.when(before.isNotNull(), F.concat(F.expr("right(lag(clean_text) over (partition by doc_id order by sequence), %d)" % overlap(size)), F.lit("\n"), "clean_text")).otherwise(F.col("clean_text")).alias("context_text"),
-        chapter_guess(F.col("clean_text")).alias("chapter"),
+        F.col("p.clean_text").alias("clean_text"),
+        F.when(F.col("p.before").isNotNull(), F.concat(F.expr(f"right(p.before, {overlap(size)})"), F.lit("\n"), "p.clean_text")).otherwise(F.col("p.clean_text")).alias("context_text"),
+        chapter_guess(F.col("p.clean_text")).alias("chapter"),
     )
 
 
 def comparison_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 800) -> DataFrame:
     """Chunks named by document position and sequence (d0:c0), positions by id."""
-    place = docs.select(F.col(id_col).alias("doc_id"), F.row_number().over(Window.orderBy(id_col)).alias("n")) if id_col else docs
+    # Evaluation sets are small; positions are counted over their ids alone.
+    place = docs.select(F.col(id_col).alias("doc_id"), F.row_number().over(Window.orderBy(id_col)).alias("n"))
     rows = split_documents(docs, id_col, text_col, size)
     return rows.join(place, "doc_id").withColumn("chunk_id", F.format_string("d%d:c%d", F.col("n") - 1, F.col("sequence"))).drop("n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import embedding, text
 from lodestone.operators import assemble, chunking, dense, evaluate, fusion, graph, lexical, links, profiles, structure, topics
+from lodestone.sources.scratch import saved, spread
 
 CHUNK_SIZE = 800
 
@@ -18,11 +19,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.split_documents(docs(spark, d), size=CHUNK_SIZE)
+    """The chunk table, written once for the plans that use it repeatedly."""
+    return saved(chunking.split_documents(docs(spark, d), size=CHUNK_SIZE), "chunks")
 
 
 def embedded(rows: DataFrame, col: str) -> DataFrame:
@@ -103,30 +105,26 @@ def dense_topk(spark, d):
     return dense.dense_topk(asked, rows, 40, "vec_id").select("query_id", "vec_id", r6("vector_score").alias("score"), "vector_rank")
 
 
-def _lexical(spark, d, asked, visible=False):
-    rows = chunks(spark, d)
+def _lexical(asked, rows, visible=False):
     seen = rows.select("chunk_id", F.col("doc_id").alias("scope")) if visible else None
-    return lexical.bm25_topk(asked, lexical.postings(rows), lexical.statistics(rows), 40, visible=seen)
+    index = saved(lexical.postings(rows), "postings")
+    return lexical.bm25_topk(asked, index, lexical.statistics(rows, index), 40, visible=seen)
 
 
 def bm25_topk(spark, d):
-    return _lexical(spark, d, questions(spark, d)).select("query_id", "chunk_id", r6("bm25").alias("bm25"), "lexical_rank")
+    return _lexical(questions(spark, d), chunks(spark, d)).select("query_id", "chunk_id", r6("bm25").alias("bm25"), "lexical_rank")
 
 
 def bm25_scoped(spark, d):
     """Even questions ask the document of their own number, odd ones all documents."""
     asked = questions(spark, d).withColumn("scope", F.expr("if(query_id % 2 = 0, query_id, null)"))
-    return _lexical(spark, d, asked, True).select("query_id", "chunk_id", r6("bm25").alias("bm25"), "lexical_rank")
-
-
-def _channels(spark, d):
-    asked = questions(spark, d)
-    near = dense.dense_topk(embedded(asked, "question").select("query_id", "embedding"), embedded(chunks(spark, d), "clean_text"), 40)
-    return near, _lexical(spark, d, asked)
+    return _lexical(asked, chunks(spark, d), True).select("query_id", "chunk_id", r6("bm25").alias("bm25"), "lexical_rank")
 
 
 def _trace(spark, d):
-    return fusion.hybrid(*_channels(spark, d), candidate_k=40)
+    asked, rows = questions(spark, d), chunks(spark, d)
+    near = dense.dense_topk(embedded(asked, "question").select("query_id", "embedding"), embedded(rows, "clean_text"), 40)
+    return fusion.hybrid(near, _lexical(asked, rows), candidate_k=40)
 
 
 def hybrid_retrieve(spark, d):
@@ -155,7 +153,8 @@ def rrf_fusion(spark, d):
 
 def rerank(spark, d):
     """A reranker that scores by length of text and leaves out short passages."""
-    pool, rows = _trace(spark, d), chunks(spark, d).select("chunk_id", F.length("clean_text").alias("n"))
+    pool = saved(_trace(spark, d), "trace")
+    rows = chunks(spark, d).select("chunk_id", F.length("clean_text").alias("n"))
     scores = pool.filter("omission_reason is null").join(rows, "chunk_id").filter("n >= 400").select("query_id", "chunk_id", F.col("n").cast("double").alias("rerank_score"))
     return fusion.apply_rerank(pool, scores).select("query_id", "chunk_id", "fusion_rank", "rerank_score", "final_rank", "omission_reason")
 
@@ -163,8 +162,8 @@ def rerank(spark, d):
 # ---------------------------------------------------------------- components and profiles
 
 
-def _concepts(spark, d):
-    return graph.chunk_concepts(chunks(spark, d))
+def _concepts(rows):
+    return saved(graph.chunk_concepts(rows), "concepts")
 
 
 def extract_concepts(spark, d):
@@ -172,11 +171,11 @@ def extract_concepts(spark, d):
 
 
 def concept_edges(spark, d):
-    return graph.concept_edges(_concepts(spark, d))
+    return graph.concept_edges(_concepts(chunks(spark, d)))
 
 
 def concept_graph_expand(spark, d):
-    own = _concepts(spark, d)
+    own = _concepts(chunks(spark, d))
     return graph.concept_hits(questions(spark, d), own, graph.concept_edges(own))
 
 
@@ -193,8 +192,9 @@ def exact_number_guard(spark, d):
 
 
 def bridge_neighbours(spark, d):
-    scores = _lexical(spark, d, questions(spark, d)).select("query_id", "chunk_id", (-F.col("bm25")).alias("score"))
-    return profiles.bridge(scores, chunks(spark, d), 6).select("query_id", "chunk_id", r6("score").alias("score"))
+    rows = chunks(spark, d)
+    scores = _lexical(questions(spark, d), rows).select("query_id", "chunk_id", (-F.col("bm25")).alias("score"))
+    return profiles.bridge(scores, rows, 6).select("query_id", "chunk_id", r6("score").alias("score"))
 
 
 LIMIT_QUESTIONS = (("分别比较原因？条件？", 6), ("收入是多少", 6), ("步骤和影响；以及？", 4), ("", 6), ("a? b? c? d? e?", 10), ("原因", 2))
@@ -207,14 +207,14 @@ def dynamic_limit(spark, d):
 
 def _profile(name):
     def query(spark, d):
-        asked, rows = embedded(questions(spark, d), "question"), embedded(chunks(spark, d), "clean_text")
+        asked, rows = embedded(questions(spark, d), "question"), saved(embedded(chunks(spark, d), "clean_text"), "vectors")
         own, edges, found = None, None, None
         use = profiles.PROFILES[name]
         if use.graph:
-            own = _concepts(spark, d)
-            edges = graph.concept_edges(own)
+            own = _concepts(rows)
+            edges = saved(graph.concept_edges(own), "edges")
         if use.topic:
-            found = topics.build_topics(_topic_input(rows, own))
+            found = saved(topics.build_topics(_topic_input(rows, own)), "topics")
         return profiles.retrieve(name, asked, rows, own, edges, found).select("query_id", "chunk_id", r6("score").alias("score"), "rank")
 
     query.__name__ = f"profile_{name}"
@@ -227,7 +227,8 @@ def _topic_input(rows, concepts):
 
 
 def topic_clusters(spark, d):
-    found = topics.build_topics(_topic_input(embedded(chunks(spark, d), "clean_text"), _concepts(spark, d)))
+    rows = chunks(spark, d)
+    found = topics.build_topics(_topic_input(embedded(rows, "clean_text"), _concepts(rows)))
     return found.select("topic_id", "doc_id", "title", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
@@ -236,8 +237,9 @@ def topic_centroids(spark, d):
 
 
 def legacy_context(spark, d):
-    top = _lexical(spark, d, questions(spark, d)).filter("lexical_rank <= 6").select("query_id", "chunk_id", F.col("lexical_rank").alias("rank"))
-    return profiles.render_context(top, chunks(spark, d)).select("query_id", "chunk_ids", F.md5(F.encode("context", "UTF-8")).alias("context_md5"), F.length("context").alias("size"))
+    rows = chunks(spark, d)
+    top = _lexical(questions(spark, d), rows).filter("lexical_rank <= 6").select("query_id", "chunk_id", F.col("lexical_rank").alias("rank"))
+    return profiles.render_context(top, rows).select("query_id", "chunk_ids", F.md5(F.encode("context", "UTF-8")).alias("context_md5"), F.length("context").alias("size"))
 
 
 # ---------------------------------------------------------------- structure and links
@@ -261,7 +263,7 @@ def structure_chunks(spark, d):
 
 
 def structure_links(spark, d):
-    made = links.build_links(structure.parse_documents(_structured(spark, d), size=CHUNK_SIZE))
+    made = links.build_links(saved(structure.parse_documents(_structured(spark, d), size=CHUNK_SIZE), "parsed"))
     return made.select("doc_id", "source_id", "target_id", "kind", "basis", "status", "source_start", "source_end", F.array_join("target_ids", ",").alias("target_ids"))
 
 
@@ -301,9 +303,9 @@ def offset_to_chunk(spark, d):
 
 
 def assemble_context(spark, d):
-    made = structure.parse_documents(_structured(spark, d), size=CHUNK_SIZE)
+    made = saved(structure.parse_documents(_structured(spark, d), size=CHUNK_SIZE), "parsed")
     asked = questions(spark, d)
-    top = lexical.bm25_topk(asked, lexical.postings(made), lexical.statistics(made), 40)
+    top = _lexical(asked, made)
     pool = top.select("query_id", "chunk_id", F.col("lexical_rank").alias("rank"), (-F.col("bm25")).alias("score"))
     linked = links.link_targets(pool, links.build_links(made), made)
     out = assemble.assemble_contexts(pool, linked, made, assemble.Options(), asked)
@@ -316,10 +318,11 @@ def assemble_context(spark, d):
 def _judged(spark, d):
     """Rankings by BM25 over chunks and grades: documents that hold the item's passage."""
     asked = questions(spark, d)
-    top = _lexical(spark, d, asked).join(chunks(spark, d).select("chunk_id", "doc_id"), "chunk_id")
+    rows = chunks(spark, d)
+    top = saved(_lexical(asked, rows).join(rows.select("chunk_id", "doc_id"), "chunk_id"), "judged")
     rankings = top.select("query_id", "doc_id", F.col("lexical_rank").alias("rank"))
     holds = docs(spark, d).join(F.broadcast(asked), F.col("text").contains(F.col("question")))
-    return asked, rankings, holds.select("query_id", "doc_id", F.lit(1).alias("grade"))
+    return asked, rankings, saved(holds.select("query_id", "doc_id", F.lit(1).alias("grade")), "grades")
 
 
 def ranking_metrics(spark, d):
@@ -354,7 +357,8 @@ def coverage_metrics(spark, d):
 
 def evidence_recall(spark, d):
     asked = questions(spark, d)
-    top = _lexical(spark, d, asked).filter("lexical_rank <= 10").join(chunks(spark, d).select("chunk_id", "clean_text"), "chunk_id")
+    rows = chunks(spark, d)
+    top = _lexical(asked, rows).filter("lexical_rank <= 10").join(rows.select("chunk_id", "clean_text"), "chunk_id")
     texts = top.select("query_id", F.col("lexical_rank").alias("rank"), text.normalize_evidence(F.col("clean_text")).alias("normal"))
     points = asked.select("query_id", F.explode(F.split("question", r"\. ")).alias("p")).select("query_id", text.normalize_evidence(F.col("p")).alias("point"))
     out = evaluate.evidence_ranks(texts, points)
@@ -419,7 +423,8 @@ def scope_legacy(spark, d):
 
 
 def document_tree(spark, d):
-    rows = chunks(spark, d).join(_concepts(spark, d), "chunk_id", "left").filter("concept is not null")
+    whole = chunks(spark, d)
+    rows = whole.join(_concepts(whole), "chunk_id")
     first = rows.groupBy("doc_id", "chapter", "concept").agg(F.min(F.struct("sequence", "place")).alias("at"))
     tree = first.groupBy("doc_id", "chapter").agg(F.array_sort(F.collect_list(F.struct("at", "concept"))).alias("c"))
     return tree.select("doc_id", "chapter", F.array_join("c.concept", ",").alias("concepts"))

@@ -6,14 +6,12 @@ if that is there already, so a batch replayed after a failure adds nothing.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators.chunking import split_documents
+from lodestone.sources.scratch import shared_folder
 
 
 def start_ingest(stream: DataFrame, target: str, checkpoint: str, size: int = 800) -> StreamingQuery:
@@ -26,14 +24,9 @@ def start_ingest(stream: DataFrame, target: str, checkpoint: str, size: int = 80
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{found or tempfile.mkdtemp(prefix='lodestone-')}/ingest-{uuid.uuid4().hex[:12]}"
-
-
 def ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the whole table through the stream: chunks per document."""
-    root = shared_folder(spark)
+    root = shared_folder(spark, "ingest")
     path = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(path).schema
     # A file source reads a folder; the pattern admits a table of one file or of many.

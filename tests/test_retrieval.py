@@ -44,7 +44,8 @@ def test_bm25_statistics_ignore_scope(spark):
     rows = spark.createDataFrame([("a", "red apple"), ("b", "red red pear"), ("c", "blue")], "chunk_id string, clean_text string")
     asked = spark.createDataFrame([("q", "apple APPLE", None), ("r", "red", "B")], "query_id string, question string, scope string")
     seen = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "chunk_id string, scope string")
-    got = {(r.query_id, r.chunk_id): r.bm25 for r in lexical.bm25_topk(asked, lexical.postings(rows), lexical.statistics(rows), visible=seen).collect()}
+    index = lexical.postings(rows)
+    got = {(r.query_id, r.chunk_id): r.bm25 for r in lexical.bm25_topk(asked, index, lexical.statistics(rows, index), visible=seen).collect()}
     norm = lambda tf, dl: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 2))
     assert got.keys() == {("q", "a"), ("r", "b")}
     assert math.isclose(got["q", "a"], -math.log(2.5 / 1.5) * norm(1, 2)) and math.isclose(got["r", "b"], -1e-6 * norm(2, 3))
