@@ -130,7 +130,7 @@ class Engine:
             known = {s: self.index.resolve_scope(s) for s in (r.scope for r in queries.select("scope").distinct().collect()) if s is not None}
             if known:
                 names = self.spark.createDataFrame(list(known.items()), "scope string, resolved string")
-                queries = queries.join(F.broadcast(names), "scope", "left").withColumn("scope", F.col("resolved")).drop("resolved")
+                queries = queries.join(names, "scope", "left").withColumn("scope", F.col("resolved")).drop("resolved")
         return queries
 
     def check_profile(self, profile: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import embedding, text
 from lodestone.operators import assemble, chunking, dense, evaluate, fusion, graph, lexical, links, profiles, structure, topics
-from lodestone.sources.scratch import saved, spread
+from lodestone.sources.scratch import broadcast_if_small, saved, spread
 
 CHUNK_SIZE = 800
 
@@ -321,7 +321,7 @@ def _judged(spark, d):
     rows = chunks(spark, d)
     top = saved(_lexical(asked, rows).join(rows.select("chunk_id", "doc_id"), "chunk_id"), "judged")
     rankings = top.select("query_id", "doc_id", F.col("lexical_rank").alias("rank"))
-    holds = docs(spark, d).join(F.broadcast(asked), F.col("text").contains(F.col("question")))
+    holds = docs(spark, d).join(broadcast_if_small(asked), F.col("text").contains(F.col("question")))
     return asked, rankings, saved(holds.select("query_id", "doc_id", F.lit(1).alias("grade")), "grades")
 
 
@@ -418,7 +418,7 @@ def scope_legacy(spark, d):
     """The first document whose id equals the scope or whose id, name and path hold it; else the scope itself."""
     asked = spark.createDataFrame(SCOPES, "query_id long, scope string")
     said = F.concat_ws(" ", "doc_id", "name", "path")
-    hits = F.broadcast(asked.filter("scope <> ''")).join(_catalogue(spark, d), said.contains(F.col("scope")))
+    hits = broadcast_if_small(asked.filter("scope <> ''")).join(_catalogue(spark, d), said.contains(F.col("scope")))
     return asked.join(hits.groupBy("query_id").agg(F.min("doc_id").alias("hit")), "query_id", "left").select("query_id", F.coalesce("hit", "scope").alias("resolved"))
 
 
