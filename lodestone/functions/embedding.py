@@ -8,7 +8,7 @@ registered by name, such as a pandas UDF that loads a model once per worker.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,30 @@ def deterministic(dimension: int = DIMENSION) -> Callable[[Column], Column]:
     return embed
 
 
+def from_encoder(load: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 32, normalize: bool = True) -> Callable[[Column], Column]:
+    """A backend from a function that loads an encoder of lists of texts.
+
+    The encoder, a local model or a client of a remote one, is loaded once per
+    worker task; vectors are scaled to length one unless told otherwise.
+    """
+    if batch_size < 1:
+        raise ValueError("batch_size must be positive")
+
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for texts in batches:
+            given, out = texts.fillna("").tolist(), []
+            for i in range(0, len(given), batch_size):
+                part = np.asarray(encode(given[i : i + batch_size]), dtype=float)
+                if normalize:
+                    part = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+                out += list(part)
+            yield pd.Series(out, dtype=object)
+
+    return embed
+
+
 def unit(vector: Column) -> Column:
     """Scaled to length one; the zero vector stays."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))

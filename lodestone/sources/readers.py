@@ -192,6 +192,17 @@ def news_questions(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def pilot_audit(rows: DataFrame) -> dict[str, DataFrame]:
+    """What the pilot's source holds: rows per task, excluded rows, incomplete and complete events."""
+    kinds = rows.filter("reason is null").groupBy("event_id").agg(F.countDistinct("task").alias("n"))
+    return {
+        "source_rows": rows.groupBy("task").agg(F.count(F.lit(1)).alias("n")),
+        "excluded_rows": rows.filter("reason is not null").select("task", "row_index", "event_id", "reason"),
+        "incomplete_events": kinds.filter(F.col("n") < len(TASKS)).select("event_id"),
+        "complete_events": kinds.filter(F.col("n") == len(TASKS)).select("event_id"),
+    }
+
+
 def prepare_pilot(rows: DataFrame, query_events: int = 10, corpus_events: int = 100, seed: int = 20260918) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, queries, relevance) from complete events, chosen by a seeded hash.
 

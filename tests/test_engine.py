@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.config import Config
 from lodestone.engine import Engine, answer, answer_messages
 from lodestone.errors import ConfigurationError, ParseError, ScopeError, StorageError
+from lodestone.functions import embedding
+from lodestone.operators import rerank
 from lodestone.sources import readers
 from lodestone.sources.index import Index
 
@@ -57,6 +59,20 @@ def test_reranker_changes_order_and_drops(spark, engine):
     assert [x.chunk_id.split("::")[0] for x in with_one.retrieve(ask(spark, (1, "apples red", None))).first()["items"]] == ["notes"]
 
 
+def test_models_are_callables(spark, engine):
+    def load():
+        return lambda pairs: [float(len(set(q.split()) & set(p.lower().split()))) for q, p in pairs]
+
+    with_one = Engine(engine.index, reranker=rerank.pairwise(load, 2))
+    assert with_one.retrieve(ask(spark, (1, "bananas are yellow.", None))).first()["items"][0].chunk_id.startswith("notes::")
+    embed = embedding.from_encoder(lambda: lambda texts: [[3.0, 4.0] for _ in texts], 1)
+    rows = spark.createDataFrame([("a",), (None,)], "t string").select(embed(F.col("t")).alias("v")).collect()
+    assert [list(r.v) for r in rows] == [[0.6, 0.8]] * 2
+    for bad in (rerank.pairwise, embedding.from_encoder):
+        with pytest.raises(ValueError):
+            bad(load, 0)
+
+
 def test_plain_index_serves_every_profile(spark, tmp_path):
     made = Engine.create(spark, str(tmp_path / "plain"), kind="plain")
     made.ingest_plain(spark.createDataFrame([("a", "营业收入增长明显，营业收入达到100万元。"), ("b", "apples and pears and apples")], "doc_id string, text string"))
@@ -145,6 +161,8 @@ def test_news_pilot(spark, tmp_path):
     documents, queries, relevance = readers.prepare_pilot(rows, 1, 2)
     assert documents.count() == 6 and queries.count() == 3 and relevance.count() == 6
     assert sum(len(r.sources) for r in documents.collect()) == 12
+    audit = {k: v.count() for k, v in readers.pilot_audit(rows).items()}
+    assert audit == {"source_rows": 3, "excluded_rows": 1, "incomplete_events": 1, "complete_events": 2}
 
 
 def test_settings():
