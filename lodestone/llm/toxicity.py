@@ -34,7 +34,7 @@ MOST_CANDIDATES = 40_000
 MOST_FEATURES = 4_000
 MOST_VOTERS = 200
 LEAST_SUPPORT = 3
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 WORD = re.compile(r"\w+")
 LABEL_ACCURACY = 0.98
 
