@@ -34,6 +34,7 @@ from lodestone.llm.common import Workspace, whole_text
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
 LEVEL = 3
+MOST_READ_TASKS = 20_000
 #: Fixed values of the seekable format and of WARC.
 SKIPPABLE, SEEKABLE, FOOTER_BYTES, MOST_FRAMES = 0x184D2A5E, 0x8F92EAB1, 9, 0x8000000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -237,4 +238,6 @@ def archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     folder = work.path("bundles")
     index = work.save(write_bundles(rows, folder), "index")
     bundles = work.save(index.select("bundle").distinct(), "names")
-    return index, read_bundles(bundles.repartition("bundle"), folder), folder
+    # One task a bundle: the names alone are too small for the engine to see the work behind them.
+    tasks = max(1, min(bundles.count(), MOST_READ_TASKS))
+    return index, read_bundles(bundles.repartition(tasks), folder), folder
