@@ -10,12 +10,16 @@ consecutive segments, and probes each pair with the 17 values that differ in
 at most one bit of the second segment.  The third link is tested on what the
 join finds, and only then the full Hamming distance.
 
-The join runs over distinct fingerprints, so copies cost nothing; a bucket
-holds distinct fingerprints that agree on 32 bits.
+The join runs over distinct fingerprints, so copies cost nothing.  A bucket
+holds distinct fingerprints that agree on 32 bits; where it grows large, the
+third link joins the key, so that no more than the 65,536 fingerprints that
+agree on 48 bits can ever meet.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +35,8 @@ SHINGLE = 3
 DISTANCE = 3
 SEGMENTS = 4
 SEGMENT_BITS = 64 // SEGMENTS
+#: Fingerprints in a bucket from which its members are told apart by a further segment.
+HOT_BUCKET = 2_000
 #: Shingle hashes counted at once, for very long texts.
 HASHES_AT_ONCE = 1 << 20
 
@@ -67,25 +73,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(docs, id_col, text_col, {"fp": ("long", pa.int64())}, work)
 
 
+def masks(most: int) -> list[int]:
+    """Differences of at most ``most`` bits in a segment."""
+    bits = [1 << b for b in range(SEGMENT_BITS)]
+    return [sum(c) for n in range(most + 1) for c in combinations(bits, n)]
+
+
 def _turned(x: str, by: str) -> str:
     """x as a ring, turned left by so many bits."""
     return f"(shiftleft({x}, {by}) | shiftrightunsigned({x}, 64 - {by}))"
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, work: Workspace, hot: int = HOT_BUCKET) -> DataFrame:
     """Pairs a < b of distinct fingerprints (column fp) within the distance.
 
-    A pair can come once for every chain that it has.
+    A pair can come once for every chain that it has.  Buckets of more than
+    ``hot`` fingerprints are joined on the chain's third link as well, whose
+    allowed differences are enumerated too; what then meets agrees on 48 bits.
     """
     keys = ", ".join(f"shiftrightunsigned({_turned('fp', str(SEGMENT_BITS * i))}, 32) | {i << 32}L" for i in range(SEGMENTS))
-    flips = ", ".join(f"{1 << b >> 1}L" for b in range(SEGMENT_BITS + 1))
+    flips = ", ".join(f"{x}L" for x in masks(1))
     index = nodes.select(F.col("fp").alias("b"), F.expr(f"explode(array({keys}))").alias("key"))
     probe = nodes.select(F.col("fp").alias("a"), F.expr(f"explode(array({keys}))").alias("own"))
     probe = probe.select("a", F.expr(f"explode(transform(array({flips}), e -> own ^ e))").alias("key"))
     turn = f"cast(shiftrightunsigned(key, 32) * {SEGMENT_BITS} as int)"
     third = f"bit_count(shiftrightunsigned({_turned('(a ^ b)', turn)}, {SEGMENT_BITS})) <= 2"
-    found = probe.join(index.hint("merge"), "key")
-    return found.filter(f"a < b and {third} and bit_count(a ^ b) <= {DISTANCE}").select("a", "b")
+    near = f"a < b and {third} and bit_count(a ^ b) <= {DISTANCE}"
+    crowded = work.save(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key"), "crowded")
+    if not crowded.take(1):
+        return probe.join(index.hint("merge"), "key").filter(near).select("a", "b")
+    calm = probe.join(index.join(crowded, "key", "left_anti").hint("merge"), "key").filter(near).select("a", "b")
+    segment = lambda x: f"shiftrightunsigned({_turned(x, turn)}, {SEGMENT_BITS}) & {(1 << SEGMENT_BITS) - 1}"
+    spread = ", ".join(f"{x}L" for x in masks(2))
+    full_index = index.join(crowded, "key", "left_semi").withColumn("link", F.expr(segment("b")))
+    full_probe = probe.join(crowded, "key", "left_semi")
+    full_probe = full_probe.withColumn("link", F.expr(f"explode(transform(array({spread}), e -> ({segment('a')}) ^ e))"))
+    full = full_probe.join(full_index.hint("merge"), ["key", "link"]).filter(near).select("a", "b")
+    return calm.unionByName(full)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = Workspace(docs.sparkSession, "simhash")
     fps = work.save(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"), "fps")
     nodes = work.save(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(links(nodes), work)
+    roots = components(links(nodes, work), work)
     named = nodes.join(roots.hint("merge"), nodes.fp == roots.node, "left")
     named = work.save(named.select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
     least = work.save(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
