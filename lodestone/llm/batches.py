@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-#: Characters of text worked on at once; one longer text makes a slice alone.
+#: Characters (or bytes) of text worked on at once; one longer text makes a slice alone.
 SLICE_CHARS = 4_000_000
 
 
@@ -25,6 +25,21 @@ def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, lis
         yield start, texts[start:]
 
 
+def row_slices(batch: pa.RecordBatch, at: int, most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch whose column ``at`` holds about ``most`` bytes, with its texts (null as empty).
+
+    Only one part's texts exist as Python strings at a time.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        part = batch.slice(start, stop - start)
+        yield part, [t or "" for t in part.column(at).to_pylist()]
+        start = stop
+
+
 class BoundedCache(dict):
     """A dict emptied when it passes its bound: only speed depends on it."""
 
@@ -47,9 +62,9 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = work([t or "" for t in batch.column(1).to_pylist()])
-            arrays = [pa.array(v, type=kind) for v, (_, kind) in zip(made, columns.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", *columns])
+            for part, texts in row_slices(batch, 1):
+                arrays = [pa.array(v, type=kind) for v, (_, kind) in zip(work(texts), columns.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["id", *columns])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = ", ".join([f"`id` {id_type}", *(f"`{n}` {sql}" for n, (sql, _) in columns.items())])
@@ -57,13 +72,17 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, tu
     return out.withColumnRenamed("id", id_col)
 
 
-def text_column(work: Callable[[list[str]], list], sql_type: str) -> Callable[[Column], Column]:
-    """A column function over whole texts (null as empty), batch by batch.
+def filter_texts(docs: DataFrame, text_col: str, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """Rows for whose whole text (null as empty) ``keep`` says true; all columns stay.
 
-    Unlike map_texts it leaves the row's other columns where they are.
+    Rows pass through as Arrow batches and leave slice by slice, so neither
+    side holds more than a batch and one slice's texts.
     """
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
 
-    def column(texts: pd.Series) -> pd.Series:
-        return pd.Series(work([t or "" for t in texts]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in row_slices(batch, at):
+                yield part.filter(pa.array(keep(texts), pa.bool_()))
 
-    return F.pandas_udf(column, sql_type)
+    return docs.mapInArrow(run, docs.schema)

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lodestone.llm.common import Workspace, fresh, whole_text
 
@@ -41,6 +42,13 @@ def _ranked(keys: DataFrame, by: list[str], work: Workspace, name: str) -> DataF
     return work.save(again.orderBy(*by).withColumn("r", F.monotonically_increasing_id()), name)
 
 
+def _did(docs: DataFrame, id_col: str):
+    """The id as a key that orders and joins: null first, also among ids of other types than whole numbers."""
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))
+    return F.struct(F.col(id_col).alias("id"))
+
+
 def _uid(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), whole_text(text_col))
 
@@ -48,12 +56,13 @@ def _uid(id_col: str, text_col: str):
 def previous_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
     """did, uid, ln, size: the longest run from line ln that occurs earlier.
 
-    Only runs not inside the run of a line before; did is the id (null as the
-    least long), uid tells documents apart that share an id.
+    Only runs not inside the run of a line before, so that later runs also end
+    later; did is the id as a key, uid tells documents apart that share an id.
+    Lines are the same if two 64-bit hashes of them are.
     """
     work = work or Workspace(docs.sparkSession, "lines")
     lines = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("did"),
+        _did(docs, id_col).alias("did"),
         _uid(id_col, text_col).alias("uid"),
         F.posexplode(F.split(whole_text(text_col), "\n")).alias("ln", "line"),
     )
@@ -91,25 +100,35 @@ def previous_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return best.filter("reach is null or ln + size > reach").drop("reach")
 
 
-def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, with_runs: bool = True) -> DataFrame:
     """docs with later copies of repeated runs deleted from the text.
 
-    All columns stay; ``line_runs`` is added: array of structs (first line,
-    number of lines) that were deleted, in order.  A run never crosses
+    All columns stay; ``line_runs`` is added unless ``with_runs`` is false, and
+    then takes the place of a column of that name: array of structs (first
+    line, number of lines) that were deleted, in order.  A run never crosses
     documents.  Null text stays null; a text whose lines all go becomes empty.
-    Rows equal in id and text count as one document and change alike; null
-    ids come first.  Words are runs of non-space characters.
+    Ids may be of any type that has an order.  Rows equal in id and text count
+    as one document and change alike; null ids come first.  Words are runs of
+    non-space characters.
     """
     work = Workspace(docs.sparkSession, "lines")
     runs = previous_runs(docs, id_col, text_col, work)
     runs = work.save(runs.groupBy("did", "uid").agg(F.array_sort(F.collect_list(F.struct("ln", "size"))).alias("runs")), "runs")
+    work.drop("level0", "nodes0")
     did, uid, found, lines = fresh(docs, "did", "uid", "runs", "lines")
     runs = runs.select(F.col("did").alias(did), F.col("uid").alias(uid), F.col("runs").alias(found))
-    keyed = docs.withColumns({did: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")), uid: _uid(id_col, text_col)})
+    keyed = docs.withColumns({did: _did(docs, id_col), uid: _uid(id_col, text_col)})
     out = keyed.join(runs.hint("merge"), [did, uid], "left")
     out = out.withColumn(lines, F.when(F.col(found).isNotNull(), F.split(whole_text(text_col), "\n")))
     long = f"filter({found}, x -> aggregate(slice({lines}, x.ln + 1, x.size), 0, (n, l) -> n + regexp_count(l, '\\\\S+')) >= {min_words})"
     out = out.withColumn(found, F.expr(f"coalesce({long}, cast(array() as array<struct<ln: int, size: int>>))"))
-    kept = f"array_join(filter({lines}, (l, i) -> not exists({found}, x -> i >= x.ln and i < x.ln + x.size)), '\n')"
+    # Runs end in the order in which they begin: what stays are the gaps between one's end and the next one's start.
+    end = lambda x: f"{x}.ln + {x}.size"
+    before = f"if(i = 0, 0, {end(f'{found}[greatest(i - 1, 0)]')})"
+    gaps = f"transform({found}, (x, i) -> slice({lines}, {before} + 1, greatest(x.ln - {before}, 0)))"
+    rest = f"slice({lines}, {end(f'element_at({found}, -1)')} + 1, size({lines}))"
+    kept = f"array_join(concat(flatten({gaps}), {rest}), '\n')"
     out = out.withColumn(text_col, F.when(F.size(found) > 0, F.expr(kept)).otherwise(F.col(text_col)))
+    if not with_runs:
+        return out.select(*docs.columns)
     return out.select(*(c for c in docs.columns if c.lower() != "line_runs"), F.col(found).alias("line_runs"))

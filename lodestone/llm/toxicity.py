@@ -1,15 +1,18 @@
 """Toxicity by weak supervision.
 
-Many noisy voters say "toxic" or abstain: lexicon voters (a whole word) and
-pattern voters (words opening with a stem), mined from a bounded sample of
-labelled rows; the sample's own labels are one voter more.  A generative label
-model, fitted by expectation maximisation, estimates each voter's accuracy and
-the voters' correlations, and discounts voters that repeat each other.  Its
-posterior labels train a logistic classifier over words and stems, which then
-scores every whole text in one pass.
-
-Only text enters a score.  Counting runs on the executors; the driver sees
-tables bounded by MOST_ROWS, MOST_CANDIDATES and MOST_FEATURES.
+Many noisy voters say "toxic", "clean" or abstain: lexicon voters (a whole
+word), pattern voters (words opening with a stem), both mined from a bounded
+sample of labelled rows, a pattern voter that says "clean" of a text without
+any mined toxic pattern, and the annotator, that is the sample's own labels.
+A generative label model, fitted by expectation maximisation, estimates every
+voter's accuracy, the annotator's included, and the voters' correlations, and
+discounts voters that repeat each other.  Its posterior labels, which differ
+from the annotator's where the other voters outvote them, train a logistic
+classifier over the mined words and stems, which then scores every whole text
+in one pass.
+
+Only text enters a score.  Counting runs on the executors.  The one bound is
+that of the sample, MOST_ROWS; what is mined from it is not cut off.
 """
 
 from __future__ import annotations
@@ -24,24 +27,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import BoundedCache, map_texts, text_column
+from lodestone.llm.batches import BoundedCache, filter_texts, map_texts
 from lodestone.llm.common import Workspace
 
 #: The sample of labelled rows: the least hashes of their ids, so many at most.
 MOST_ROWS = 20_000
-#: Mined words and stems kept, by number of toxic rows that hold them.
-MOST_CANDIDATES = 40_000
-MOST_FEATURES = 4_000
-MOST_VOTERS = 200
 LEAST_SUPPORT = 3
-STEMS = (3, 4, 5, 6, 7, 8)
+#: Every opening of a word from so many letters on is a stem; longer words have the first sixteen letters' stems.
+SHORTEST_STEM, LONGEST_STEM = 3, 16
+#: A mined pattern points to its class by this log odds ratio at least.
+LEAST_ODDS = 2.0
+#: Voters whose firing is correlated less are taken as independent.
+LEAST_CORRELATION = 0.3
+#: Where the annotator's rates of finding toxic and clean rows start; both are then estimated.
+START = (0.9, 0.99)
+#: Strength of the classifier's pull towards zero, in rows.
+DECAY = 0.1
 WORD = re.compile(r"\w+")
-LABEL_ACCURACY = 0.98
 
 
 def features(word: str) -> list[str]:
     """The word itself and its stems (marked by a trailing asterisk)."""
-    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
+    return [word, *(word[:n] + "*" for n in range(SHORTEST_STEM, min(len(word), LONGEST_STEM) + 1))]
 
 
 def text_features(text: str) -> set[str]:
@@ -52,15 +59,15 @@ class Matcher:
     """Finds which of the given features a text holds."""
 
     def __init__(self, known: dict[str, int]):
-        self.known, self.hits = known, BoundedCache(300_000)
+        self.known, self.hits = known, BoundedCache(200_000)
 
     def __call__(self, text: str) -> set[int]:
         found: set[int] = set()
         hits, known = self.hits, self.known
-        for word in set(WORD.findall(text.lower())):
-            ids = hits.get(word)
-            if ids is None:
-                ids = hits[word] = tuple(known[f] for f in features(word) if f in known)
+        words = set(WORD.findall(text.lower()))
+        for word in words.difference(hits):
+            hits[word] = tuple(known[f] for f in features(word) if f in known)
+        for ids in map(hits.__getitem__, words):
             if ids:
                 found.update(ids)
         hits.make_room()
@@ -96,20 +103,49 @@ def _counted(rows: DataFrame, known: dict[str, int] | None) -> DataFrame:
     return rows.select("toxic", "text").mapInArrow(run, "feature string, toxic int, n long").groupBy("feature", "toxic").agg(F.sum("n").alias("n"))
 
 
-def mine(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Features that point to toxic rows, best first, with (toxic, clean) counts."""
-    candidates = _counted(rows.filter("toxic = 1"), None).filter(F.col("n") >= LEAST_SUPPORT)
-    names = [r.feature for r in candidates.orderBy(F.desc("n"), "feature").limit(MOST_CANDIDATES).collect()]
+def _tail(n: int, hits: int, share: float) -> float:
+    """Log chance of at least ``hits`` of n by a coin of that share (a bound by relative entropy)."""
+    p = hits / n
+    if p <= share:
+        return 0.0
+    far = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0)
+    return -n * far
+
+
+def select(names: list[str], counts: np.ndarray, sizes: np.ndarray) -> tuple[list[int], list[int]]:
+    """Numbers of the features that point to toxic and to clean rows.
+
+    ``counts`` has a row (toxic, clean) for each feature, ``sizes`` the rows
+    of either class.  A feature stays if its odds ratio is large and if less
+    than one feature of so many would be expected to do as well by chance.
+    """
+    n, share = counts.sum(axis=1), sizes / max(1.0, sizes.sum())
+    rate = (counts + 0.5) / (sizes + 1.0)
+    odds = np.log(rate[:, 0]) - np.log(rate[:, 1])
+    rare, out = -math.log(max(2, len(names))), ([], [])
+    for i in np.flatnonzero((np.abs(odds) >= LEAST_ODDS) & (n >= LEAST_SUPPORT)):
+        side = int(odds[i] < 0)
+        if 0 < share[side] < 1 and _tail(int(n[i]), int(counts[i, side]), float(share[side])) <= rare:
+            out[side].append(int(i))
+    return out
+
+
+def mine(rows: DataFrame) -> tuple[list[str], int]:
+    """Features that point to a class: (those of toxic rows, then of clean rows; how many of the first)."""
+    sizes = np.array(_class_sizes(rows), dtype=float)
+    if not sizes.all():
+        return [], 0
+    # What stands in fewer toxic rows than LEAST_SUPPORT can only point to clean ones, and only if it is
+    # common there: both kinds are chosen on the executors before anything is gathered.
+    toxic = _counted(rows.filter("toxic = 1"), None).select("feature", F.col("n").alias("t")).filter(F.col("t") >= LEAST_SUPPORT)
+    names = sorted(r.feature for r in toxic.select("feature").collect())
     known = {f: i for i, f in enumerate(names)}
     counts = np.zeros((len(names), 2))
     if names:
         for r in _counted(rows, known).collect():
             counts[known[r.feature], 1 - r.toxic] = r.n
-    sums = np.array([max(1, r) for r in _class_sizes(rows)], dtype=float)
-    odds = np.log((counts[:, 0] + 0.5) / (sums[0] + 1)) - np.log((counts[:, 1] + 0.5) / (sums[1] + 1))
-    precise = counts[:, 0] / np.maximum(1, counts.sum(axis=1)) >= 0.7
-    order = [i for i in np.lexsort((np.arange(len(names)), -odds * np.sqrt(counts[:, 0]))) if precise[i] and odds[i] > 2][:MOST_FEATURES]
-    return [names[i] for i in order], counts[order]
+    to_toxic, to_clean = select(names, counts, sizes)
+    return [names[i] for i in [*to_toxic, *to_clean]], len(to_toxic)
 
 
 def _class_sizes(rows: DataFrame) -> tuple[int, int]:
@@ -117,62 +153,150 @@ def _class_sizes(rows: DataFrame) -> tuple[int, int]:
     return found.get(1, 0), found.get(0, 0)
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> dict:
-    """Posterior labels from voters that fire (1) or abstain (0).
+def distinct_voters(hits: list[list[int]], toxic: int) -> list[int]:
+    """Of features that fire on the same rows, the first of the shortest.
 
-    Accuracy of a voter: the chance that a row is toxic where it fires.
-    Correlation: of two voters' firing within a class, over both classes.  A
-    voter weighs one over one plus the sum of its positive correlations, so
-    that a family of voters that fire together counts about once.
+    They are one voter: a word and all stems that only it has.  ``toxic``
+    features say toxic, later ones clean; the two kinds never merge.
+    """
+    where: dict[int, list[int]] = {}
+    for row, found in enumerate(hits):
+        for j in found:
+            where.setdefault(j, []).append(row)
+    first: dict[tuple, int] = {}
+    for j in sorted(where):
+        first.setdefault((j < toxic, tuple(where[j])), j)
+    return sorted(first.values())
+
+
+def calibrate(sums: np.ndarray, target: np.ndarray, start: np.ndarray, steps: int = 20, pull: float = 1.0) -> np.ndarray:
+    """Scale (positive) and offset that make sums of votes log odds of the target, by Newton steps that never lose ground."""
+    x = np.stack([sums, np.ones(len(sums))], axis=1)
+    home = np.array([1.0, 0.0])
+
+    def loss(by: np.ndarray) -> float:
+        z = x @ by
+        return float((np.logaddexp(0, z) - target * z).sum() + pull / 2 * (by[0] - 1) ** 2)
+
+    best, least = start, loss(start)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ best, -30, 30)))
+        slope = x.T @ (p - target) + pull * (best - home) * (1, 0)
+        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag([pull, 1e-6])
+        step = np.linalg.solve(curve, slope)
+        for _ in range(30):
+            new = best - step
+            if new[0] > 0 and (now := loss(new)) < least:
+                break
+            step = step / 2
+        else:
+            return best
+        best, least = new, now
+    return best
+
+
+def label_model(rows: np.ndarray, voters: np.ndarray, sides: np.ndarray, labels: np.ndarray, rounds: int = 50) -> dict:
+    """Posterior labels from voters that speak up or abstain, and an annotator who labels every row.
+
+    ``rows`` and ``voters`` list who fires where; ``sides`` is 1 for voters
+    that say toxic, 0 for clean.  Accuracy of a voter: the chance that a row
+    is of its side where it fires.  Correlation: of two voters' firing within
+    a class, over both classes.  On a row a voter weighs one over one plus the
+    sum of its correlations, of LEAST_CORRELATION or more, with those that fire
+    there too, so that a family of voters counts about once.  The annotator's rates of finding toxic and clean rows
+    are estimated too, against what the other voters say together, which is
+    calibrated to the posterior first.
     """
-    if not len(labels):
-        none = np.zeros(votes.shape[1])
-        return {"posterior": np.zeros(0), "accuracy": none + 0.5, "correlation": np.outer(none, none), "weight": none + 1}
-    known = np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
-    said = np.log(known / (1 - known))
+    n, v = len(labels), len(sides)
+    if not n:
+        return {"posterior": np.zeros(0), "accuracy": np.full(v, 0.5), "correlation": {}, "weight": np.ones(v), "annotator": START}
+    mine_of = np.bincount(voters, minlength=v)
+    # Pairs of voters that fire on the same row; no other pair can be positively correlated.
+    order = np.lexsort((voters, rows))
+    by_row, by_voter = rows[order], voters[order]
+    size = np.bincount(by_row, minlength=n)
+    after = np.cumsum(size)[by_row] - np.arange(len(by_row)) - 1
+    left = np.repeat(np.arange(len(by_row)), after)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+    codes, pair = np.unique(by_voter[left] * max(v, 1) + by_voter[right], return_inverse=True)
+    a, b, on = codes // max(v, 1), codes % max(v, 1), by_row[left]
     prior = min(max(labels.mean(), 1e-3), 1 - 1e-3)
-    post = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + said)))
-    weight, accuracy = np.ones(votes.shape[1]), np.full(votes.shape[1], 0.5)
+    post = np.where(labels == 1, *(prior * a / (prior * a + (1 - prior) * b) for a, b in ((START[0], 1 - START[1]), (1 - START[0], START[1]))))
+    scale_of = np.array([1.0, math.log(prior / (1 - prior))])
     for _ in range(rounds):
-        fired = votes.sum(axis=0)
-        accuracy = np.clip((post @ votes + 1) / (fired + 2), 0.02, 0.98)
-        share = [np.maximum(p.sum(), 1e-9) for p in (post, 1 - post)]
-        spread = sum((votes * p[:, None]).T @ votes - s * np.outer(m := p @ votes / s, m) for p, s in ((post, share[0]), (1 - post, share[1])))
-        scale = np.sqrt(np.maximum(np.diag(spread), 1e-9))
-        correlation = np.clip(spread / np.outer(scale, scale), -1, 1)
-        np.fill_diagonal(correlation, 0)
-        weight = 1 / (1 + np.maximum(correlation, 0).sum(axis=1))
-        new = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + said + votes @ (weight * np.log(accuracy / (1 - accuracy))))))
+        share = (max(post.sum(), 1e-9), max((1 - post).sum(), 1e-9))
+        fired = np.bincount(voters, post[rows], minlength=v)
+        right_of = np.where(sides == 1, fired, mine_of - fired)
+        accuracy = np.clip((right_of + 1) / (mine_of + 2), 0.02, 0.98)
+        means = (fired / share[0], (mine_of - fired) / share[1])
+        spread = np.zeros(len(codes))
+        alone = np.zeros(v)
+        for p, s, m in zip((post, 1 - post), share, means, strict=True):
+            spread += np.bincount(pair, p[on], minlength=len(codes)) - s * m[a] * m[b]
+            alone += s * (m - m * m)
+        scale = np.sqrt(np.maximum(alone, 1e-9))
+        correlation = np.clip(spread / (scale[a] * scale[b]), -1, 1)
+        near = np.where(correlation >= LEAST_CORRELATION, correlation, 0)
+        crowd = np.bincount(left, near[pair], minlength=len(by_row)) + np.bincount(right, near[pair], minlength=len(by_row))
+        weight = 1 / (1 + crowd)
+        # A voter's word is evidence beyond the prior: its accuracy against the share of its side.
+        base = np.where(sides == 1, prior, 1 - prior)
+        says = np.where(sides == 1, 1, -1) * (np.log(accuracy / (1 - accuracy)) - np.log(base / (1 - base)))
+        said_by_all = np.bincount(by_row, weight * says[by_voter], minlength=n)
+        scale_of = calibrate(said_by_all, post, scale_of)
+        z = np.clip(scale_of[0] * said_by_all + scale_of[1], -30, 30)
+        # The annotator is held against what the others say alone, so that no label vouches for itself.
+        others = 1 / (1 + np.exp(-z))
+        finds = float(np.clip((others[labels == 1].sum() + 1) / (others.sum() + 2), 0.5, 0.999))
+        clears = float(np.clip(((1 - others)[labels == 0].sum() + 1) / ((1 - others).sum() + 2), 0.5, 0.999))
+        said = np.where(labels == 1, math.log(finds / (1 - clears)), math.log((1 - finds) / clears))
+        new = 1 / (1 + np.exp(-np.clip(z + said, -30, 30)))
         prior = min(max(new.mean(), 1e-3), 1 - 1e-3)
-        if np.abs(new - post).max(initial=0) < 1e-6:
-            break
+        done = np.abs(new - post).max() < 1e-6
         post = new
-    return {"posterior": post, "accuracy": accuracy, "correlation": correlation, "weight": weight}
+        if done:
+            break
+    return {"posterior": post, "accuracy": accuracy, "correlation": {(int(x), int(y)): float(c) for x, y, c in zip(a, b, correlation, strict=True)}, "weight": np.bincount(by_voter, weight, minlength=v) / np.maximum(1, mine_of), "annotator": (finds, clears)}
 
 
-def fit_classifier(hits: list[list[int]], target: np.ndarray, n_features: int, rounds: int = 300, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by accelerated full-batch descent."""
+def fit_classifier(hits: list[list[int]], target: np.ndarray, n_features: int, rounds: int = 300, decay: float = DECAY) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets: steps scaled by a bound of each feature's curvature, accelerated."""
     rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     cols = np.array([i for h in hits for i in h], dtype=np.int64)
-    w, bias = np.zeros(n_features), -2.0
-    speed, bias_speed = np.zeros(n_features), 0.0
-    often = np.maximum(1.0, np.bincount(cols, minlength=n_features))
-    each = np.maximum(1.0, np.bincount(rows, minlength=len(hits)))
-    for _ in range(rounds):
-        z = bias + np.bincount(rows, w[cols], minlength=len(hits))
+    each = np.bincount(rows, minlength=len(hits)) + 1.0
+    bound = np.append(np.bincount(cols, each[rows], minlength=n_features), each.sum()) / 4 + decay
+    w = ahead = np.zeros(n_features + 1)
+    for k in range(rounds):
+        z = ahead[-1] + np.bincount(rows, ahead[:-1][cols], minlength=len(hits))
         gap = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        grad = np.bincount(cols, (gap / each)[rows], minlength=n_features) / np.sqrt(often) + decay * w
-        speed = 0.9 * speed - 0.5 * grad
-        bias_speed = 0.9 * bias_speed - 0.5 * gap.mean()
-        w, bias = np.maximum(w + speed, -4.0), bias + bias_speed
-    return w, float(bias)
+        slope = np.append(np.bincount(cols, gap[rows], minlength=n_features) + decay * ahead[:-1], gap.sum())
+        before, w = w, ahead - slope / bound
+        ahead = w + k / (k + 3) * (w - before)
+    return w[:-1], float(w[-1])
+
+
+def fit(hits: list[list[int]], labels: np.ndarray, n_features: int, toxic: int) -> dict:
+    """The label model and the classifier, from the features that each labelled row holds.
+
+    The first ``toxic`` of the features say toxic, the others clean.  One
+    voter more says clean of rows without any that says toxic.
+    """
+    voters = distinct_voters(hits, toxic)
+    number = {j: k for k, j in enumerate(voters)}
+    sides = np.array([*(int(j < toxic) for j in voters), 0])
+    fired = [(i, number[j]) for i, h in enumerate(hits) for j in h if j in number]
+    fired += [(i, len(voters)) for i, h in enumerate(hits) if not any(j < toxic for j in h)]
+    where = np.array(fired, dtype=np.int64).reshape(-1, 2)
+    model = label_model(where[:, 0], where[:, 1], sides, labels)
+    weights, bias = fit_classifier(hits, model["posterior"], n_features) if len(hits) else (np.zeros(0), -2.0)
+    return {"weights": weights, "bias": bias, "label_model": model, "voters": voters}
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> dict:
     """Mined features, the label model, and the classifier's weights."""
     work = Workspace(docs.sparkSession, "toxicity")
     rows = work.save(training_rows(docs, labels, id_col, text_col, most_rows), "sample")
-    names, _ = mine(rows)
+    names, toxic = mine(rows)
     known = {f: i for i, f in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,14 +306,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "hits"])
 
     got = sorted((r.toxic, list(r.hits)) for r in rows.mapInArrow(run, "toxic int, hits array<int>").collect())
-    labelled, hits = np.array([t for t, _ in got]), [h for _, h in got]
-    voters = min(len(names), MOST_VOTERS)
-    votes = np.zeros((len(got), voters))
-    for i, h in enumerate(hits):
-        votes[i, [j for j in h if j < voters]] = 1
-    model = label_model(votes, labelled)
-    weights, bias = fit_classifier(hits, model["posterior"], len(names)) if got else (np.zeros(0), -2.0)
-    return {"features": names, "weights": weights, "bias": bias, "label_model": model}
+    work.drop("sample")
+    return {"features": names, "toxic": toxic} | fit([h for _, h in got], np.array([t for t, _ in got]), len(names), toxic)
 
 
 class Scorer:
@@ -213,8 +331,8 @@ def score_texts(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that ``toxicity`` predicts toxic; all columns stay."""
-    score = text_column(Scorer(learn(docs, labels, id_col, text_col)), "double")
-    return docs.filter(score(F.col(text_col)) < 0.5)
+    score = Scorer(learn(docs, labels, id_col, text_col))
+    return filter_texts(docs, text_col, lambda texts: [s < 0.5 for s in score(texts)])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
