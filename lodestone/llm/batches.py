@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Characters (or bytes) of text worked on at once; one longer text makes a slice alone.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
+
+
+#: Bytes of an Arrow batch between the engine and its Python workers, both ways in memory at once.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES; a lower bound of its own stays.
+
+    Rows of ten thousand long texts are not to meet in one batch.  Only the
+    transport's portions change, never a result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -41,15 +58,21 @@ def row_slices(batch: pa.RecordBatch, at: int, most: int = SLICE_CHARS) -> Itera
 
 
 class BoundedCache(dict):
-    """A dict emptied when it passes its bound: only speed depends on it."""
+    """A dict that loses its older half when its entries pass its bound: only speed depends on it.
+
+    Without a weight the bound counts entries; else whoever adds an entry adds
+    what it holds to ``weight``.
+    """
 
     def __init__(self, most: int):
         super().__init__()
-        self.most = most
+        self.most, self.weight = most, 0
 
     def make_room(self) -> None:
-        if len(self) > self.most:
-            self.clear()
+        if max(len(self), self.weight) > self.most:
+            for key in list(islice(self, len(self) // 2)):
+                del self[key]
+            self.weight //= 2
 
 
 def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, tuple[str, pa.DataType]], work: Callable[[list[str]], list[list]]) -> DataFrame:
@@ -66,6 +89,7 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, tu
                 arrays = [pa.array(v, type=kind) for v, (_, kind) in zip(work(texts), columns.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["id", *columns])
 
+    bound_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = ", ".join([f"`id` {id_type}", *(f"`{n}` {sql}" for n, (sql, _) in columns.items())])
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
@@ -85,4 +109,5 @@ def filter_texts(docs: DataFrame, text_col: str, keep: Callable[[list[str]], lis
             for part, texts in row_slices(batch, at):
                 yield part.filter(pa.array(keep(texts), pa.bool_()))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -2,22 +2,30 @@
 
 Every Python worker keeps an in-process DuckDB with the merge table (left id,
 right id -> merged id, which is also the rank).  The distinct pre-tokens of a
-slice of texts become token-position rows (word, position, symbol); one
+slice of texts become token-position rows (word, position, symbol, bytes); one
 recursive query joins neighbouring positions with the merge table, picks each
 word's leftmost pair of least rank, contracts it, and repeats until no word
 has a pair left.  Decoding joins token rows with the vocabulary and puts their
 bytes together by an ordered aggregation, once per distinct run of tokens.
 
-Memory is bounded by the slice and by the caches of words and runs; a
-pre-token of more than LONG bytes is contracted with a heap instead of one
-query step per merge, with the same result.
+Long words are first cut wherever no token of the vocabulary reaches across,
+which no contraction can either.  Parts that are still long go through a
+recursion keyed by word and position, so that only the last state of each row
+is kept.  There, where a word holds its least pair several times, all of them
+are contracted in one step if that is the same as one by one: if no token that
+the merged one would make with a neighbour ranks before it, nothing can come
+in between.
+
+Memory is bounded by the slice, by the rows given to one query, and by the
+bytes in the caches of words and runs; only a word without any cut is taken
+whole, at about WORD_ROW_BYTES for each of its bytes.  DuckDB never writes to
+a disk.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from functools import lru_cache
 
@@ -26,24 +34,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.batches import BoundedCache, map_texts, slices
+from lodestone.llm.cuts import Vocabulary
 
-LONG = 2048
-CACHED = 500_000
+#: Bytes that the words, or the runs, of a worker's cache take at most, and what an entry takes besides its text.
+CACHED_BYTES, ENTRY_BYTES = 100_000_000, 200
+#: Characters of text encoded at once.
+CHARS_AT_ONCE = 2_000_000
+#: Words of more bytes are cut where no token reaches across.
+LONG = 32
 #: Characters for which only the regex module knows the pattern's classes.
 BEYOND_LATIN = re.compile(r"[^\t-\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
-#: Words contracted by one recursive query, alike in length.
-WORDS_AT_ONCE = 20_000
+#: Token-position rows held by one recursive query, of words alike in length.
+ROWS_AT_ONCE = 600_000
+WORD_ROW_BYTES = 200
 
-FIXPOINT = """
+#: One pair of each word a step; every step's rows stay until the end, half a word's length squared for each word.
+CONTRACT = """
 WITH RECURSIVE step(w, p, s, t) AS (
     SELECT w, p, s, 0 FROM start
     UNION ALL
     (WITH pair AS (
-        SELECT a.w, m.rank::BIGINT * 65536 + a.p AS k
+        SELECT a.w, (m.rank::BIGINT << 32) | a.p AS k
         FROM step a JOIN step b ON a.w = b.w AND b.p = a.p + 1
-        JOIN merges m ON m.ab = a.s::BIGINT * 65536 + b.s),
+        JOIN merges m ON m.ab = (a.s::BIGINT << 32) | b.s),
      best AS (
-        SELECT w, (min(k) & 65535)::INTEGER AS p, (min(k) >> 16)::INTEGER AS made FROM pair GROUP BY w)
+        SELECT w, (min(k) & 4294967295)::INTEGER AS p, (min(k) >> 32)::INTEGER AS made FROM pair GROUP BY w)
      SELECT step.w,
             step.p - (step.p > best.p)::INTEGER,
             CASE WHEN step.p = best.p THEN best.made ELSE step.s END,
@@ -55,6 +70,46 @@ settled AS (SELECT w, max(t) AS t FROM step GROUP BY w)
 SELECT w, p, s FROM step JOIN settled USING (w, t)
 """
 
+#: All pairs of least rank of each word a step where that is the same; only the last state is kept.
+CONTRACT_LONG = """
+WITH RECURSIVE step(w, p, s, l) USING KEY (w, p) AS (
+    SELECT w, p, s, 1 FROM start
+    UNION ALL
+    (WITH live AS (SELECT w, p, s, l FROM step WHERE s >= 0),
+     pair AS (
+        SELECT a.w, a.p, b.p AS q, a.l + b.l AS l, m.rank, m.safe
+        FROM live a JOIN live b ON b.w = a.w AND b.p = a.p + a.l
+        JOIN merges m ON m.ab = (a.s::BIGINT << 32) | b.s),
+     low AS (SELECT w, min(rank) AS rank FROM pair GROUP BY w),
+     hit AS (
+        SELECT pair.*, count(*) OVER (PARTITION BY pair.w) AS n
+        FROM pair JOIN low ON low.w = pair.w AND low.rank = pair.rank),
+     many AS (
+        SELECT w, p, q, l, rank, safe, lag(q) OVER (PARTITION BY w ORDER BY p) IS DISTINCT FROM p AS fresh, row_number() OVER (PARTITION BY w ORDER BY p) AS nth
+        FROM hit WHERE n > 1),
+     doubt AS (SELECT w, p, l, rank FROM many WHERE NOT safe),
+     first AS (
+        SELECT d.w FROM doubt d JOIN live x ON x.w = d.w AND x.p = d.p + d.l JOIN merges m ON m.ab = (d.rank::BIGINT << 32) | x.s WHERE m.rank < d.rank
+        UNION ALL
+        SELECT d.w FROM doubt d JOIN live x ON x.w = d.w AND x.p + x.l = d.p JOIN merges m ON m.ab = (x.s::BIGINT << 32) | d.rank WHERE m.rank < d.rank
+        UNION ALL
+        SELECT d.w FROM doubt d JOIN merges m ON m.ab = (d.rank::BIGINT << 32) | d.rank WHERE m.rank < d.rank),
+     chain AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY w ORDER BY p) AS island, w IN (SELECT w FROM first) AS single FROM many),
+     best AS (
+        SELECT w, p, q, l, rank FROM hit WHERE n = 1
+        UNION ALL
+        SELECT w, p, q, l, rank FROM chain
+        QUALIFY CASE WHEN single THEN nth = 1 ELSE row_number() OVER (PARTITION BY w, island ORDER BY p) % 2 = 1 END)
+     SELECT live.w, live.p,
+            CASE WHEN kept.p IS NOT NULL THEN kept.rank WHEN gone.q IS NOT NULL THEN -1 ELSE live.s END,
+            CASE WHEN kept.p IS NOT NULL THEN kept.l ELSE live.l END
+     FROM live JOIN low ON low.w = live.w
+     LEFT JOIN best kept ON kept.w = live.w AND kept.p = live.p
+     LEFT JOIN best gone ON gone.w = live.w AND gone.q = live.p)
+)
+SELECT w, p, s FROM step WHERE s >= 0
+"""
+
 DECODE = """
 SELECT r, string_agg(v.bytes_hex, '' ORDER BY p) AS whole
 FROM runs JOIN vocabulary v ON v.id = runs.s
@@ -75,82 +130,80 @@ class Codec:
         #: Within Latin letters and ASCII the standard library's classes say the same, and faster.
         self.latin = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d"))
         pairs = [(self.ranks[x[:k]], self.ranks[x[k:]], r) for x, r in self.ranks.items() for k in range(1, len(x)) if x[:k] in self.ranks and x[k:] in self.ranks]
-        self.merges = {(a, b): r for a, b, r in pairs}
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         size = max(self.ranks.values()) + 1
-        #: Tokens that open with a space: where the decoder cuts its runs.
+        #: Tokens that open with no letter or digit: where the decoder cuts its runs.
         self.opens = np.zeros(size, dtype=bool)
-        self.opens[[r for x, r in self.ranks.items() if x[:1] == b" "]] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        self._load("merges", ab=[a * 65536 + b for a, b, _ in pairs], rank=[r for _, _, r in pairs])
+        self.opens[[r for x, r in self.ranks.items() if x[0] < 0x80 and not x[:1].isalnum()]] = True
+        #: Tokens that no other one built on them ranks before.
+        safe = np.ones(size, dtype=bool)
+        safe[[part for a, b, r in pairs for part in (a, b) if r < part]] = False
+        self.cuts = Vocabulary([np.frombuffer(x, dtype=np.uint8) for x in self.ranks])
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": "", "preserve_insertion_order": False})
+        self._load("merges", ab=[a << 32 | b for a, b, _ in pairs], rank=pa.array([r for _, _, r in pairs], pa.int32()), safe=safe[[r for _, _, r in pairs]])
         self._load("vocabulary", id=list(self.ranks.values()), bytes_hex=[x.hex() for x in self.ranks])
-        self.words = BoundedCache(CACHED)
-        self.runs = BoundedCache(CACHED)
+        self.words = BoundedCache(CACHED_BYTES)
+        self.runs = BoundedCache(CACHED_BYTES)
 
     def _load(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _long(self, word: bytes) -> bytes:
-        sym = [int(self.byte_ids[b]) for b in word]
-        n = len(sym)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := self.merges.get((sym[i], sym[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], alive[j] = r, False
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (x := self.merges.get((r, sym[k]))) is not None:
-                    heapq.heappush(heap, (x, i, r, sym[k]))
-            if (h := before[i]) >= 0 and (x := self.merges.get((sym[h], r))) is not None:
-                heapq.heappush(heap, (x, h, sym[h], r))
-        return np.array([s for s, on in zip(sym, alive, strict=True) if on], dtype="<u4").tobytes()
-
     def learn_words(self, words: list[str]) -> None:
         """Put the ids of the words (as little-endian 32-bit) in the cache."""
-        rest, raw = [], []
-        for word in sorted(words, key=len):
-            x = word.encode()
-            if x in self.ranks:
-                self.words[word] = self.ranks[x].to_bytes(4, "little")
-            elif len(x) > LONG:
-                self.words[word] = self._long(x)
-            else:
-                rest.append(word)
-                raw.append(x)
-        for i in range(0, len(rest), WORDS_AT_ONCE):
-            self._contract(rest[i : i + WORDS_AT_ONCE], raw[i : i + WORDS_AT_ONCE])
-
-    def _contract(self, rest: list[str], raw: list[bytes]) -> None:
-        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        w = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+        self.words.weight += ENTRY_BYTES * len(words) + 2 * sum(map(len, words))
+        raw = [w.encode() for w in words]
+        whole = list(map(self.ranks.get, raw))
+        self.words.update((w, r.to_bytes(4, "little")) for w, r in zip(words, whole, strict=True) if r is not None)
+        rest = [(w, x) for w, x, r in zip(words, raw, whole, strict=True) if r is None]
+        short = [(w, x) for w, x in rest if len(x) <= LONG]
+        self.words.update(zip((w for w, _ in short), self.contract([x for _, x in short]), strict=True))
+        cut = [(w, self.cuts.parts(x)) for w, x in rest if len(x) > LONG]
+        if cut:
+            parts = list({x for _, p in cut for x in p})
+            ids = dict(zip(parts, self.contract(parts), strict=True))
+            self.words.update((w, b"".join(map(ids.__getitem__, p))) for w, p in cut)
+
+    def contract(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of each of the words, contracted in batches of words alike in length."""
+        out: list[bytes] = [b""] * len(raw)
+        order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
+        for query, group in ((CONTRACT, [i for i in order if len(raw[i]) <= LONG]), (CONTRACT_LONG, [i for i in order if len(raw[i]) > LONG])):
+            start = rows = 0
+            for k, i in enumerate(group):
+                size = len(raw[i])
+                made = size * size // 2 if query is CONTRACT else size
+                if rows and rows + made > ROWS_AT_ONCE:
+                    self._contract(query, raw, group[start:k], out)
+                    start, rows = k, 0
+                rows += made
+            if group:
+                self._contract(query, raw, group[start:], out)
+        return out
+
+    def _contract(self, query: str, raw: list[bytes], numbers: list[int], out: list[bytes]) -> None:
+        sizes = np.fromiter((len(raw[i]) for i in numbers), dtype=np.int64, count=len(numbers))
+        w = np.repeat(np.arange(len(numbers), dtype=np.int32), sizes)
         p = (np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        self.db.register("start", pa.table({"w": w, "p": p, "s": self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]}))
-        got = self.db.execute(FIXPOINT).fetchnumpy()
+        self.db.register("start", pa.table({"w": w, "p": p, "s": self.byte_ids[np.frombuffer(b"".join([raw[i] for i in numbers]), dtype=np.uint8)]}))
+        got = self.db.execute(query).fetchnumpy()
         self.db.unregister("start")
         w, p, s = got["w"], got["p"], got["s"]
-        by = np.lexsort((p, w))
-        s = s[by].astype("<u4")
-        ends = np.cumsum(np.bincount(w, minlength=len(raw)))
-        flat, begin = s.tobytes(), 0
-        for word, end in zip(rest, ends.tolist(), strict=True):
-            self.words[word] = flat[4 * begin : 4 * end]
+        flat = s[np.argsort(w.astype(np.int64) << 32 | p, kind="stable")].astype("<u4").tobytes()
+        begin = 0
+        for i, end in zip(numbers, (4 * np.cumsum(np.bincount(w, minlength=len(numbers)))).tolist(), strict=True):
+            out[i] = flat[begin:end]
             begin = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [(self.pattern if BEYOND_LATIN.search(t) else self.latin).findall(t) for t in texts]
         self.words.make_room()
-        new = set().union(*cut).difference(self.words)
+        known = self.words
+        new = [w for w in set().union(*cut) if w not in known]
         if new:
-            self.learn_words(list(new))
+            self.learn_words(new)
         return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
     def learn_runs(self, runs: list[bytes]) -> None:
@@ -160,6 +213,7 @@ class Codec:
         self.db.register("runs", pa.table({"r": r, "p": p, "s": np.frombuffer(b"".join(runs), dtype="<u4").astype(np.int32)}))
         for i, whole in self.db.execute(DECODE).fetchall():
             self.runs[runs[i]] = bytes.fromhex(whole)
+        self.runs.weight += sum(ENTRY_BYTES + 2 * len(x) for x in runs)
         self.db.unregister("runs")
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -170,9 +224,10 @@ class Codec:
             edges = [0, *at[at > 0].tolist(), len(flat)]
             cut.append([flat[a:b] for a, b in zip(edges, edges[1:], strict=False)] if flat else [])
         self.runs.make_room()
-        new = set().union(*cut).difference(self.runs)
+        known = self.runs
+        new = [x for x in set().union(*cut) if x not in known]
         if new:
-            self.learn_runs(list(new))
+            self.learn_runs(new)
         return [b"".join(map(self.runs.__getitem__, runs)) for runs in cut]
 
 
@@ -184,7 +239,7 @@ def load(path: str, pattern: str) -> Codec:
 def digests(texts: list[str], path: str, pattern: str, with_ids: bool = False) -> list[list]:
     codec = load(path, pattern)
     counts, ids_sha, text_sha, out = [], [], [], []
-    for _, part in slices(texts):
+    for _, part in slices(texts, CHARS_AT_ONCE):
         ids = codec.encode(part)
         whole = codec.decode(ids)
         counts += [len(x) // 4 for x in ids]

@@ -3,18 +3,22 @@
 The vocabulary is a sentencepiece BPE model with byte fallback.  Texts are cut
 into pre-tokens where no merge can reach across; distinct pre-tokens of a
 slice become one ragged array of symbols, and in every step each sequence
-applies its lowest-ranked pair (leftmost of equals), all sequences at once.
-A sequence without a pair left leaves the array with its count of surviving
-symbols.  A symbol that the vocabulary lacks counts its UTF-8 bytes.
+applies its lowest-ranked pair, all sequences at once.  Where a sequence holds
+that pair several times, all of them merge in the step if that is the same as
+one after the other from the left: if no piece that the merged one would make
+with a neighbour ranks before it.  A sequence without a pair left leaves the
+array with its count of surviving symbols.  A symbol that the vocabulary lacks
+counts its UTF-8 bytes.
 
 Cuts are derived from the vocabulary: a word mark (the stand-in for a space)
 opens a pre-token wherever no piece holds a mark after another character, and
-a line feed stands alone wherever no longer piece holds one.
+a line feed stands alone wherever no longer piece holds one.  Long pre-tokens
+(text without spaces) are cut further wherever no piece reaches across.
+Arrays hold at most SYMBOLS_AT_ONCE symbols, or one sequence without any cut.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from functools import lru_cache
 
@@ -23,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.batches import BoundedCache, map_texts, slices
+from lodestone.llm.cuts import Vocabulary
 
 MARK = "▁"
 NONE = np.iinfo(np.int64).max
-#: Sequences of more symbols are merged one by one with a heap.
-LONG = 256
-CACHED_WORDS = 600_000
+#: Sequences of more symbols are cut where no piece reaches across.
+LONG = 32
+SYMBOLS_AT_ONCE = 1_000_000
+CACHED_WORDS = 400_000
 
 
 class PieceModel:
@@ -50,7 +56,6 @@ class PieceModel:
                 a, b = pieces.get(piece[:k]), pieces.get(piece[k:])
                 if a is not None and b is not None:
                     pairs[a, b] = (order[model.get_score(i)], i)
-        self.pairs = pairs
         self.chars = {p: i for p, i in pieces.items() if len(p) == 1}
         self.base = model.get_piece_size() + 1
         keys = np.array([a * self.base + b for a, b in pairs], dtype=np.int64)
@@ -62,7 +67,11 @@ class PieceModel:
         self.char_ids = np.full(0x110000, -1, dtype=np.int32)
         for c, i in self.chars.items():
             self.char_ids[ord(c)] = i
+        self.rank_of = np.full(self.base, NONE, dtype=np.int64)
+        for i in pieces.values():
+            self.rank_of[i] = order[model.get_score(i)]
         longer = [p for p in pieces if len(p) > 1]
+        self.cuts = Vocabulary([self.char_ids[[ord(c) for c in p]] + 1 for p in longer])
         if any(p[k] == MARK != p[k - 1] for p in longer for k in range(1, len(p))) or any("\n" in p for p in longer):
             raise ValueError("the vocabulary merges across word marks or line feeds")
         self.feed = 1
@@ -77,46 +86,38 @@ class PieceModel:
         hit = (self.keys[at] == want) & (a >= 0) & (b >= 0)
         return np.where(hit, self.ranks[at], NONE), at
 
-    def count_long(self, word: str) -> int:
-        """The same count for one long sequence, with a heap of pairs."""
-        sym = [self.chars.get(c, -1) for c in word]
-        cost = [1 if s >= 0 else len(c.encode()) for s, c in zip(sym, word, strict=True)]
-        n = len(sym)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(*hit, i, sym[i], sym[i + 1]) for i in range(n - 1) if (hit := self.pairs.get((sym[i], sym[i + 1])))]
-        heap = [(r, i, a, b, m) for r, m, i, a, b in heap]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], alive[j], cost[j] = made, False, 0
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if hit := self.pairs.get((made, sym[k])):
-                    heapq.heappush(heap, (hit[0], i, made, sym[k], hit[1]))
-            if (h := before[i]) >= 0 and (hit := self.pairs.get((sym[h], made))):
-                heapq.heappush(heap, (hit[0], h, sym[h], made, hit[1]))
-        return sum(cost)
-
     def count_words(self, words: list[str]) -> list[int]:
-        """Surviving symbols of each word, all words merged in step."""
-        out = np.zeros(len(words), dtype=np.int64)
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        for i in np.flatnonzero(sizes > LONG):
-            out[i] = self.count_long(words[i])
-        ids = np.flatnonzero((sizes > 0) & (sizes <= LONG))
-        if not len(ids):
-            return out.tolist()
-        text = "".join(words[i] for i in ids)
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        """Surviving symbols of each word, all words of a batch merged in step."""
+        pieces, owners = [], []
+        for n, word in enumerate(words):
+            if len(word) <= LONG:
+                pieces.append(word)
+                owners.append(n)
+                continue
+            edges = [0, *self.cuts.cuts(self.char_ids[_code_points(word)] + 1).tolist(), len(word)]
+            pieces += [word[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+            owners += [n] * (len(edges) - 1)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        counts, order = np.zeros(len(pieces), dtype=np.int64), np.argsort(sizes, kind="stable")
+        ends, start = np.cumsum(sizes[order]), 0
+        while start < len(order):
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + SYMBOLS_AT_ONCE, side="right")))
+            ids = order[start:stop]
+            ids = ids[sizes[ids] > 0]
+            if len(ids):
+                counts[ids] = self._merge("".join(pieces[i] for i in ids), sizes[ids])
+            start = stop
+        return np.bincount(np.array(owners, dtype=np.int64), counts, minlength=len(words)).astype(np.int64).tolist() if words else []
+
+    def _merge(self, text: str, size: np.ndarray) -> np.ndarray:
+        """Surviving symbols of each of the sequences, of the given sizes, that the text strings together."""
+        out, ids = np.zeros(len(size), dtype=np.int64), np.arange(len(size))
+        code = _code_points(text)
         sym = self.char_ids[code].astype(np.int64)
-        size = sizes[ids]
-        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+        starts = np.cumsum(size) - size
         spare = np.where(sym < 0, 0 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), 0)
-        out[ids] += np.add.reduceat(spare, starts)
+        out += np.add.reduceat(spare, starts)
         del code, spare
         last = np.zeros(len(sym), dtype=bool)
         last[starts + size - 1] = True
@@ -133,27 +134,46 @@ class PieceModel:
                 stay = np.repeat(~done, size)
                 sym, rank, made, last = sym[stay], rank[stay], made[stay], last[stay]
                 ids, size, low = ids[~done], size[~done], low[~done]
-                starts = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
+                starts = np.cumsum(size) - size
                 if not len(ids):
                     break
             least = np.flatnonzero(rank == np.repeat(low, size))
-            word = np.searchsorted(starts, least, side="right") - 1
-            first = np.concatenate(([True], word[1:] != word[:-1]))
-            hit = least[first]  # the leftmost lowest pair of every word
+            hit = self._chosen(least, starts, sym, made, last)
             sym[hit] = made[hit]
             last[hit] = last[hit + 1]
             keep = np.ones(len(sym), dtype=bool)
             keep[hit + 1] = False
             sym, rank, made, last = sym[keep], rank[keep], made[keep], last[keep]
+            size = size - np.bincount(np.searchsorted(starts, hit, side="right") - 1, minlength=len(size))
+            starts = np.cumsum(size) - size
             hit = hit - np.arange(len(hit))
-            size = size - 1
-            starts = starts - np.arange(len(starts))
-            before = hit[hit > starts] - 1
+            before = hit[hit > starts[np.searchsorted(starts, hit, side="right") - 1]] - 1
             rank[hit] = NONE
             near = np.concatenate((hit[~last[hit]], before))
             rank[near], at = self._find(sym[near], sym[near + 1])
             made[near] = self.made[at]
-        return out.tolist()
+        return out
+
+    def _chosen(self, least: np.ndarray, starts: np.ndarray, sym: np.ndarray, made: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of the lowest pairs of every sequence those that merge in this step, the leftmost always."""
+        word = np.searchsorted(starts, least, side="right") - 1
+        first = np.concatenate(([True], word[1:] != word[:-1]))
+        if first.all():
+            return least
+        new, after = made[least], np.minimum(least + 2, len(sym) - 1)
+        right = np.where(last[least + 1], -1, sym[after])
+        left = np.where(least > starts[word], sym[np.maximum(least - 1, 0)], -1)
+        own = self.rank_of[new]
+        doubt = (self._find(new, right)[0] < own) | (self._find(left, new)[0] < own) | (self._find(new, new)[0] < own)
+        single = np.zeros(len(starts), dtype=bool)
+        single[word[doubt]] = True
+        fresh = first | np.concatenate(([True], np.diff(least) > 1))  # else the pair shares a symbol with the one before
+        place = np.arange(len(least)) - np.maximum.accumulate(np.where(fresh, np.arange(len(least)), 0))
+        return least[np.where(single[word], first, place % 2 == 0)]
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 @lru_cache(maxsize=2)

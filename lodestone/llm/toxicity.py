@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import BoundedCache, filter_texts, map_texts
+from lodestone.llm.batches import BoundedCache, bound_batches, filter_texts, map_texts, row_slices
 from lodestone.llm.common import Workspace
 
 #: The sample of labelled rows: the least hashes of their ids, so many at most.
@@ -43,6 +43,8 @@ LEAST_CORRELATION = 0.3
 START = (0.9, 0.99)
 #: Strength of the classifier's pull towards zero, in rows.
 DECAY = 0.1
+#: Bytes of text whose features are counted before the counts leave the worker.
+COUNTED_AT_ONCE = 1_000_000
 WORD = re.compile(r"\w+")
 
 
@@ -59,15 +61,16 @@ class Matcher:
     """Finds which of the given features a text holds."""
 
     def __init__(self, known: dict[str, int]):
-        self.known, self.hits = known, BoundedCache(200_000)
+        self.known, self.hits = known, BoundedCache(100_000)
 
     def __call__(self, text: str) -> set[int]:
         found: set[int] = set()
         hits, known = self.hits, self.known
         words = set(WORD.findall(text.lower()))
-        for word in words.difference(hits):
-            hits[word] = tuple(known[f] for f in features(word) if f in known)
-        for ids in map(hits.__getitem__, words):
+        for word in words:
+            ids = hits.get(word)
+            if ids is None:
+                ids = hits[word] = tuple(known[f] for f in features(word) if f in known)
             if ids:
                 found.update(ids)
         hits.make_room()
@@ -93,9 +96,9 @@ def _counted(rows: DataFrame, known: dict[str, int] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(known) if known is not None else None
         names = list(known) if known is not None else None
-        for batch in batches:
+        for part, texts in (x for batch in batches for x in row_slices(batch, 1, COUNTED_AT_ONCE)):
             counts: Counter = Counter()
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for toxic, text in zip(part.column(0).to_pylist(), texts, strict=True):
                 counts.update((names[i], toxic) for i in match(text)) if match else counts.update((f, toxic) for f in text_features(text))
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["feature", "toxic", "n"])
@@ -294,6 +297,7 @@ def fit(hits: list[list[int]], labels: np.ndarray, n_features: int, toxic: int)
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> dict:
     """Mined features, the label model, and the classifier's weights."""
+    bound_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "toxicity")
     rows = work.save(training_rows(docs, labels, id_col, text_col, most_rows), "sample")
     names, toxic = mine(rows)
@@ -301,9 +305,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(known)
-        for batch in batches:
-            hits = [sorted(match(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "hits"])
+        for part, texts in (x for batch in batches for x in row_slices(batch, 1)):
+            hits = [sorted(match(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "hits"])
 
     got = sorted((r.toxic, list(r.hits)) for r in rows.mapInArrow(run, "toxic int, hits array<int>").collect())
     work.drop("sample")

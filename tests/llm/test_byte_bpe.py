@@ -27,13 +27,22 @@ def same(codec, library, texts):
     assert codec.decode(ids) == [t.encode() for t in texts]
 
 
+def test_long_words_of_many_kinds(codec, library):
+    rng = random.Random(8)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    words = " ".join(draw(latin, 2000) for _ in range(500))
+    han = "".join(chr(rng.randint(0x4E00, 0x6000)) for _ in range(60_000))
+    same(codec, library, [words, han, draw("abcdeth", 30_000), draw(["the", "and", "ing", "er"], 20_000), "ab" * 50_000, "=" * 70_001, "a" * 200_000])
+
+
 def test_random_texts(codec, library):
     rng = random.Random(1)
     letters = " \n'sab<|endoftext|>thé\u0000中\U0001f600\r\te 0x19²ſ\x1c\xa0"
     same(codec, library, ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)])
 
 
-def test_long_words_use_the_heap(codec, library):
+def test_long_words(codec, library):
     same(codec, library, ["a" * 5000, "abc" * 900, " " * 3000, "ä" * 1500, "\n" * 60, "x" * byte_bpe.LONG, "x" * (byte_bpe.LONG + 1)])
 
 

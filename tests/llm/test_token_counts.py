@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 
-from lodestone.llm import token_counts
+from lodestone.llm import cuts, token_counts
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -29,10 +30,24 @@ def test_spaces_and_long_runs(library):
     same(library, texts + ["a" * n for n in range(0, 600, 13)] + ["the" * 300, " " * 700, "中" * 300, "banana" * 500, "<s></s><unk><0x0A>"])
 
 
-def test_heap_and_arrays_agree():
-    model, *_ = token_counts.load(PATH)
-    words = ["▁the", "▁▁▁x", "international", "é中é", "aaaaabbbb", "\u0001q"]
-    assert model.count_words(words) == [model.count_long(w) for w in words]
+def test_unspaced_texts(library):
+    rng = random.Random(4)
+    han = "".join(chr(rng.randint(0x4E00, 0x6000)) for _ in range(100_000))
+    often = "".join(rng.choice("的一是不了在人有我他这个们中来上大为和国地到以说时") for _ in range(50_000))
+    latin = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    few = "".join(rng.choice(["the", "and", "ing", "er"]) for _ in range(30_000))
+    same(library, [han, often, latin, few, "a" * 300_000, "ab" * 100_000, "=" * 70_001])
+
+
+def test_cuts_are_where_no_entry_reaches_across():
+    rng = random.Random(9)
+    entries = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(12)]
+    known = cuts.Vocabulary([np.array([ord(c) for c in x], dtype=np.uint32) for x in entries])
+    for _ in range(300):
+        text = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 30)))
+        crossed = {i + k for x in entries for i in range(len(text)) if text.startswith(x, i) for k in range(1, len(x))}
+        got = known.cuts(np.array([ord(c) for c in text], dtype=np.uint32)).tolist()
+        assert got == [i for i in range(1, len(text)) if i not in crossed]
 
 
 def test_rows(spark, library):
