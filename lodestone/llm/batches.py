@@ -11,11 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters (or bytes) of text worked on at once; one longer text makes a slice alone.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 4_000_000
 
 
 #: Bytes of an Arrow batch between the engine and its Python workers, both ways in memory at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -39,7 +39,7 @@ from lodestone.llm.cuts import Vocabulary
 #: Bytes that the words, or the runs, of a worker's cache take at most, and what an entry takes besides its text.
 CACHED_BYTES, ENTRY_BYTES = 100_000_000, 200
 #: Characters of text encoded at once.
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 4_000_000
 #: Words of more bytes are cut where no token reaches across.
 LONG = 32
 #: Characters for which only the regex module knows the pattern's classes.

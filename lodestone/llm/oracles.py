@@ -2,11 +2,27 @@
 
 ORACLES = {
     "op5_preferences": """
-        WITH t AS (
-            SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 1 AS side, conv_id,
-                   coalesce(role, '') AS role, coalesce(text, '') AS text,
-                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n
-            FROM conversations
+        WITH base AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        last AS (
+            SELECT conv_id, turn, text FROM base WHERE role = 'assistant'
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC) = 1
+        ),
+        swap AS (
+            SELECT a.conv_id, a.turn, a.text, coalesce(b.text, '') AS other FROM last a LEFT JOIN last b ON b.conv_id = a.conv_id + 1
+        ),
+        sides AS (
+            SELECT conv_id, false AS side, turn, role, text FROM base
+            UNION ALL
+            SELECT b.conv_id, true, b.turn, b.role,
+                   CASE WHEN b.role = 'assistant' AND b.turn IS NOT DISTINCT FROM s.turn AND b.text = s.text THEN s.other ELSE b.text END
+            FROM base b LEFT JOIN swap s ON s.conv_id = b.conv_id
+        ),
+        t AS (
+            SELECT conv_id AS pair_id, side, conv_id, role, text,
+                   row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, role, text) AS n
+            FROM sides
         ),
         ids AS (
             SELECT pair_id,

@@ -35,7 +35,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.neighbours(table(spark, sf_dir, "conversations"))
+    return preferences.other_replies(table(spark, sf_dir, "conversations"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

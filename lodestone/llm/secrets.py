@@ -8,9 +8,12 @@ the rules ask for; the rules' queries are answered by intersecting and uniting
 postings, and only the candidates are scanned with the regex.  A rule that has
 no mandatory trigram (a run of hex digits) scans every document.
 
-The index is kept over texts with A-Z folded to a-z, so that one index serves
+Trigrams are of UTF-8 bytes with A-Z folded to a-z, so that one index serves
 rules with and without regard to case; folding only ever adds candidates, and
-candidates are verified on the text as it is.
+candidates are verified on the text as it is.  A rule that ignores the case of
+letters beyond ASCII too has no trigrams from letters that this lets match
+others (a long s for an s).  The index is built in one pass over the batch's
+bytes.
 """
 
 from __future__ import annotations
@@ -50,31 +53,38 @@ def disj(*parts):
 
 
 def of_strings(strings) -> object:
-    """What a text must hold if it holds one of the strings."""
-    return disj(*(conj(*(s[i : i + 3] for i in range(len(s) - 2))) for s in strings)) if strings else True
+    """What a text's folded bytes must hold if it holds one of the strings."""
+    held = [s.encode("utf-8", "surrogatepass").lower() for s in strings]
+    return disj(*(conj(*(s[i : i + 3] for i in range(len(s) - 2))) for s in held)) if held else True
 
 
 def _fold(text: str) -> str:
     return "".join(c.lower() if c < "\x80" else c for c in text)
 
 
-def _strings(node) -> set[str] | None:
-    """All strings a parse node can match, if they are few; else None."""
+def _shifts(code: int) -> bool:
+    """Whether a character may match one outside ASCII, or is one with cases, when case is ignored."""
+    c = chr(code)
+    return c in "iIkKsS" or c >= "\x80" and (c.lower() != c or c.upper() != c or c.casefold() != c)
+
+
+def _strings(node, wide: bool) -> set[str] | None:
+    """All strings a parse node can match, if they are few; else None.  ``wide``: case is ignored beyond ASCII."""
     op, arg = node
     if op is sre.LITERAL:
-        return {_fold(chr(arg))}
+        return None if wide and _shifts(arg) else {_fold(chr(arg))}
     if op is sre.IN and all(o in (sre.LITERAL, sre.RANGE) for o, _ in arg):
         span = [range(a, a + 1) if o is sre.LITERAL else range(a[0], a[1] + 1) for o, a in arg]
-        if sum(map(len, span)) <= 4:
+        if sum(map(len, span)) <= 4 and not (wide and any(_shifts(c) for r in span for c in r)):
             return {_fold(chr(c)) for r in span for c in r}
     if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[1] != sre.MAXREPEAT and arg[1] <= 4:
-        one = _sequence_strings(arg[2])
+        one = _sequence_strings(arg[2], wide)
         if one is not None and len(one) ** arg[1] <= MOST_STRINGS:
             return {"".join(p) for n in range(arg[0], arg[1] + 1) for p in itertools.product(one, repeat=n)}
     if op is sre.SUBPATTERN:
-        return _sequence_strings(arg[3])
+        return _sequence_strings(arg[3], wide)
     if op is sre.BRANCH:
-        sides = [_sequence_strings(s) for s in arg[1]]
+        sides = [_sequence_strings(s, wide) for s in arg[1]]
         if all(s is not None for s in sides):
             return set().union(*sides)
     if op is sre.AT:
@@ -82,20 +92,20 @@ def _strings(node) -> set[str] | None:
     return None
 
 
-def _sequence_strings(nodes) -> set[str] | None:
+def _sequence_strings(nodes, wide: bool) -> set[str] | None:
     made = {""}
     for node in nodes:
-        more = _strings(node)
+        more = _strings(node, wide)
         if more is None or len(made) * len(more) > MOST_STRINGS:
             return None
         made = {a + b for a in made for b in more}
     return made
 
 
-def _sequence_query(nodes) -> object:
+def _sequence_query(nodes, wide: bool) -> object:
     parts, run = [], {""}
     for node in nodes:
-        more = _strings(node)
+        more = _strings(node, wide)
         if more is not None and len(run) * len(more) <= MOST_STRINGS:
             run = {a + b for a in run for b in more}
             continue
@@ -104,35 +114,67 @@ def _sequence_query(nodes) -> object:
         if more is None:
             op, arg = node
             if op is sre.SUBPATTERN:
-                parts.append(_sequence_query(arg[3]))
+                parts.append(_sequence_query(arg[3], wide))
             elif op is sre.BRANCH:
-                parts.append(disj(*(_sequence_query(s) for s in arg[1])))
+                parts.append(disj(*(_sequence_query(s, wide) for s in arg[1])))
             elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
-                parts.append(_sequence_query(arg[2]))
+                parts.append(_sequence_query(arg[2], wide))
     return conj(*parts, of_strings(run))
 
 
 def trigram_query(pattern: str, flags: int = 0) -> object:
     """The Boolean trigram query (over folded text) that a match implies."""
-    return _sequence_query(sre_parser.parse(pattern, flags))
-
-
-def trigrams(query) -> set[str]:
+    parsed = sre_parser.parse(pattern, flags)
+    own = parsed.state.flags | _inner_flags(parsed)
+    return _sequence_query(parsed, bool(own & re.I) and not own & re.A)
+
+
+def _inner_flags(nodes) -> int:
+    """Flags that groups inside the pattern set for themselves."""
+    out = 0
+    for op, arg in nodes:
+        if op is sre.SUBPATTERN:
+            out |= arg[1] | _inner_flags(arg[3])
+        elif op is sre.BRANCH:
+            for side in arg[1]:
+                out |= _inner_flags(side)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            out |= _inner_flags(arg[2])
+    return out
+
+
+def trigrams(query) -> set[bytes]:
     if query is True:
         return set()
-    return {query} if isinstance(query, str) else set().union(*(trigrams(p) for p in query[1]))
+    return {query} if isinstance(query, bytes) else set().union(*(trigrams(p) for p in query[1]))
 
 
-def postings(texts: list[str], wanted) -> dict[str, np.ndarray]:
+def postings(texts: list[str], wanted) -> dict[bytes, np.ndarray]:
     """Inverted index of the wanted trigrams: row numbers in rising order."""
-    folded = [t.lower() for t in texts]
-    return {g: np.fromiter((i for i, t in enumerate(folded) if g in t), dtype=np.int64) for g in wanted}
+    rows = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    ends = np.cumsum([len(x) + 2 for x in rows], dtype=np.int64)
+    flat = np.frombuffer(b"\x00\x00".join(rows) + b"\x00\x00", dtype=np.uint8)
+    names = sorted(g for g in wanted if b"\x00" not in g)
+    codes = np.array([int.from_bytes(g, "big") for g in names], dtype=np.int64)
+    opens = np.zeros(1 << 16, dtype=bool)
+    opens[codes >> 8] = True
+    pair = flat[:-1].astype(np.uint16) << 8 | flat[1:]
+    at = np.flatnonzero(opens[pair[:-1]])
+    found = pair[at].astype(np.int64) << 8 | flat[at + 2]
+    place = np.minimum(np.searchsorted(codes, found), max(len(codes) - 1, 0))
+    real = codes[place] == found if len(codes) else np.zeros(0, dtype=bool)
+    key = np.unique(place[real] * len(rows) + np.searchsorted(ends, at[real], side="right"))
+    edges = np.searchsorted(key, np.arange(len(names) + 1) * len(rows))
+    index = {g: key[edges[n] : edges[n + 1]] - n * len(rows) for n, g in enumerate(names)}
+    # A trigram with a zero byte could run into the next text: it is looked up text by text.
+    index.update({g: np.fromiter((i for i, x in enumerate(rows) if g in x), dtype=np.int64) for g in wanted if b"\x00" in g})
+    return index
 
 
 def lookup(query, index: dict[str, np.ndarray], rows: int) -> np.ndarray:
     if query is True:
         return np.arange(rows)
-    if isinstance(query, str):
+    if isinstance(query, bytes):
         return index[query]
     parts = sorted((lookup(p, index, rows) for p in query[1]), key=len)
     if query[0] == "or":
@@ -166,7 +208,8 @@ RULES = (
     Rule("hex", r"[0-9a-f]+", 0, 0, 24, True),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge", r"gh[opsu]_[A-Za-z0-9]+", 0, 0, 40),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # Begins where a run of its letters does, so that each run is read once.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 #: What a hex match that passes must look like; finds the same spans without stopping at every short run.
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")

@@ -41,6 +41,18 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 
+NO_ID = "urn:page-without-id"
+
+
+def name_of(page_id) -> str:
+    """The record id of a page; one without an id shares NO_ID with the others."""
+    return f"<{NO_ID}>" if page_id is None else f"<urn:page:{page_id}>"
+
+
+def id_of(name: str | None) -> str | None:
+    return None if name is None or name == f"<{NO_ID}>" else name.removeprefix("<urn:page:").removesuffix(">")
+
+
 def base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
@@ -52,13 +64,13 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {name_of(page_id)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {' '.join((url or 'about:blank').split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {name_of(refers_to)}", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -94,6 +106,8 @@ class BundleWriter:
         return at
 
     def _frame(self) -> None:
+        if len(self.frames) >= MOST_FRAMES:
+            raise ValueError("a seek table holds no more frames")
         raw = self.buffer.getvalue()
         packed = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True).compress(raw)
         self.sink.write(packed)
@@ -138,8 +152,9 @@ class BundleReader:
 
 @lru_cache(maxsize=8)
 def store(root: str):
-    """File system and path of a folder given by URI or local path."""
-    return pyarrow.fs.FileSystem.from_uri(root)
+    """File system and path of a folder given by URI (as Hadoop names it) or local path."""
+    kind, colon, rest = root.partition("://")
+    return pyarrow.fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(kind, kind) + colon + rest)
 
 
 def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
@@ -188,7 +203,7 @@ def read_bundles(bundles: DataFrame, folder: str) -> DataFrame:
         whole = heads["WARC-Type"] == "response"
         if whole and (base32(hashlib.sha1(payload).hexdigest()) != digest or len(payload) != found["size"]):
             raise ValueError(f"the payload of {heads['WARC-Record-ID']} is not what was written")
-        named = lambda key: heads[key].removeprefix("<urn:page:").removesuffix(">") if key in heads else None
+        named = lambda key: id_of(heads.get(key))
         return named("WARC-Record-ID"), payload if whole else None, found["size"], digest, heads["WARC-Type"], named("WARC-Refers-To"), heads["WARC-Target-URI"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +232,41 @@ def fetch(index_rows: list, folder: str) -> list[dict]:
     return out
 
 
+def read_targets(spots: DataFrame, folder: str) -> DataFrame:
+    """target (page id as a string), target_bytes and target_digest of the records at the index rows ``spots``.
+
+    Random access: a bundle's seek table and the frames that hold them are
+    read, each once, and digests checked; rows come sorted by bundle and frame.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = store(folder)
+        now = reader = source = raw = None
+        try:
+            for batch in batches:
+                rows = []
+                for bundle, frame, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if now is None or now[0] != bundle:
+                        if source is not None:
+                            source.close()
+                        source = fs.open_input_file(f"{path}/{bundle}")
+                        reader, now = BundleReader(source), (bundle, None)
+                    if now[1] != frame:
+                        raw, now = reader.frame(frame), (bundle, frame)
+                    found = parse(raw[offset : offset + length])[0]
+                    digest = base32(hashlib.sha1(found["payload"]).hexdigest())
+                    if f"sha1:{digest}" != found["heads"]["WARC-Payload-Digest"]:
+                        raise ValueError("a payload is not what was written")
+                    rows.append((id_of(found["heads"]["WARC-Record-ID"]), len(found["payload"]), digest))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["target", "target_bytes", "target_digest"])
+        finally:
+            if source is not None:
+                source.close()
+
+    sorted_spots = spots.select("bundle", "frame", "offset", "length").repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    return sorted_spots.mapInArrow(run, "target string, target_bytes long, target_digest string")
+
+
 def archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame, str]:
     """Archives pages; (index, records read back, folder of the bundles).
 
@@ -225,7 +275,9 @@ def archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     an empty payload.  Rows that tie on payload and smallest id are all
     responses; null ids compare as larger than any other, and a payload held
     by null ids only is a response each time.  Extra columns are ignored.
-    Payloads are equal by SHA-1 and length, as the format has it.
+    Payloads are equal by SHA-1 and length, as the format has it.  What a
+    revisit says of its payload is read from the record it refers to, which the
+    index finds.
     """
     work = Workspace(pages.sparkSession, "warc")
     payload = whole_text(html_col).cast("binary")
@@ -240,4 +292,10 @@ def archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     bundles = work.save(index.select("bundle").distinct(), "names")
     # One task a bundle: the names alone are too small for the engine to see the work behind them.
     tasks = max(1, min(bundles.count(), MOST_READ_TASKS))
-    return index, read_bundles(bundles.repartition(tasks), folder), folder
+    records = read_bundles(bundles.repartition(tasks), folder)
+    named = first.select(F.col("first").alias("page_id")).filter("page_id is not null")
+    spots = index.join(named.hint("merge"), "page_id").groupBy("page_id").agg(F.min(F.struct("bundle", "frame", "offset", "length")).alias("at")).select("at.*")
+    targets = work.save(read_targets(spots, folder), "targets")
+    records = records.join(targets.hint("merge"), records.refers_to == targets.target, "left")
+    of_target = lambda c, t: F.when(F.col("record_type") == "revisit", F.col(t)).otherwise(F.col(c)).alias(c)
+    return index, records.select("page_id", "payload", of_target("payload_bytes", "target_bytes"), of_target("payload_digest", "target_digest"), "record_type", "refers_to", "url"), folder

@@ -1,6 +1,10 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.preferences import format_pairs, neighbours
+from lodestone.llm import queries
+from lodestone.llm.preferences import format_pairs, neighbours, other_replies
 
 
 def rows(spark, given):
@@ -38,3 +42,21 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     plan = neighbours(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pairs_fork_at_the_last_reply(spark):
+    given = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (2, 0, "user", "x"), (2, 1, "assistant", "y"), (2, 1, "assistant", "y"), (3, 0, "user", "q"), (None, 0, "user", "z")]
+    df = spark.createDataFrame([(*g, 0) for g in given], "conv_id long, turn long, role string, text string, n int")
+    got = {r.pair_id: r for r in other_replies(df).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1].n_common == 3 and got[1].prompt.count("<|end|>") == 3
+    assert (got[1].chosen, got[1].rejected) == ("<|assistant|>\nd<|end|>\n", "<|assistant|>\ny<|end|>\n")
+    assert got[2].n_common == 1 and got[2].rejected == "<|assistant|>\n<|end|>\n" * 2 and got[2].rejected_mask == "11"
+    assert got[3].n_common == 1 and got[3].chosen == got[3].rejected == ""
+
+
+def test_most_prompts_of_the_query_are_not_empty(spark):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("the tables are not here")
+    got = queries.op5_preferences(spark, "/root/testdata/sf0.01")
+    assert got.filter("prompt <> ''").count() > 0.9 * got.count() > 0

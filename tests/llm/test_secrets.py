@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -51,3 +52,20 @@ def test_rows(spark):
     got = sorted(map(tuple, secrets.find_secrets(df).collect()), key=str)
     assert got == sorted([(1, "assign:0:12", "assign:0:12", 1, 0, 0)] * 2 + [(2, "", "", 0, 0, 0), (3, "", "", 0, 0, 0), (None, "access:2:26", "access:2:26", 0, 1, 0)], key=str)
     assert secrets.find_secrets(df.limit(0)).collect() == []
+
+
+def test_letters_beyond_ascii_and_folding():
+    texts = ["CLÉ=123", "clé=123", "\u017fecret=12", "SECRET=12", "\u212aey=5", "a\x00b=7", "x"]
+    for pattern, flags in (("CLÉ=[0-9]+", 0), ("secret=[0-9]+", re.I), ("(?i)key=[0-9]+", 0), ("(?i:key)=[0-9]+", 0), ("clé=[0-9]+", re.I), ("a\x00b=", 0), ("SECRET=", 0)):
+        rule = secrets.Rule("own", pattern, flags)
+        want = [[(m.start(), 0, m.end()) for m in re.finditer(pattern, t, flags)] for t in texts]
+        assert secrets.scan(texts, (rule,)) == want, pattern
+
+
+def test_a_long_run_is_read_once():
+    text = "eyJ" * 300_000 + ".eyJab"
+    began = time.perf_counter()
+    assert [x for x in secrets.scan([text])[0] if secrets.RULES[x[1]].kind == "jwt"] == []
+    assert time.perf_counter() - began < 20
+    kind = [r.kind for r in secrets.RULES].index("jwt")
+    assert (4, kind, 19) in secrets.scan(["key=eyJab.eyJcd.sig "])[0]

@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from lodestone.llm import warc
+from lodestone.llm import queries, warc
 
 
 def plain(rows):
@@ -21,7 +21,7 @@ def plain(rows):
 
 
 def read(records):
-    return sorted(((None if r.page_id == "None" else r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in records.collect()), key=str)
+    return sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in records.collect()), key=str)
 
 
 def test_archive_round_trip_and_random_access(spark):
@@ -43,6 +43,18 @@ def test_least_bytes(spark):
     assert {(r.page_id, r.record_type) for r in records.collect()} == {("1", "response"), ("2", "response"), ("3", "response"), ("4", "revisit")}
 
 
+def test_null_ids_through_the_query(spark, tmp_path):
+    rows = [(None, "u", "same"), (None, "u", "same"), (4, "u", "same"), (3, "u", "same"), (None, None, "alone")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in queries.op8_warc(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(3, "response", None, 4), (4, "revisit", 3, 4), (None, "revisit", 3, 4), (None, "revisit", 3, 4), (None, "response", None, 5)], key=str)
+
+
+def test_store_takes_hadoop_names():
+    kind, path = warc.store("s3a://bucket/folder?region=none")
+    assert path == "bucket/folder" and kind.type_name == "s3"
+
+
 def test_empty_table(spark):
     index, records, _ = warc.archive(spark.createDataFrame([], "page_id long, url string, html string"))
     assert index.collect() == [] and records.collect() == []
