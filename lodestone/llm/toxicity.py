@@ -43,6 +43,8 @@ LEAST_CORRELATION = 0.3
 START = (0.9, 0.99)
 #: Strength of the classifier's pull towards zero, in rows.
 DECAY = 0.1
+#: Pairs of voters firing on one row that are looked at together.
+PAIRS_AT_ONCE = 500_000
 #: Bytes of text whose features are counted before the counts leave the worker.
 COUNTED_AT_ONCE = 1_000_000
 WORD = re.compile(r"\w+")
@@ -141,12 +143,13 @@ def mine(rows: DataFrame) -> tuple[list[str], int]:
     # What stands in fewer toxic rows than LEAST_SUPPORT can only point to clean ones, and only if it is
     # common there: both kinds are chosen on the executors before anything is gathered.
     toxic = _counted(rows.filter("toxic = 1"), None).select("feature", F.col("n").alias("t")).filter(F.col("t") >= LEAST_SUPPORT)
-    names = sorted(r.feature for r in toxic.select("feature").collect())
+    names = sorted(toxic.select("feature").toArrow()["feature"].to_pylist())
     known = {f: i for i, f in enumerate(names)}
     counts = np.zeros((len(names), 2))
     if names:
-        for r in _counted(rows, known).collect():
-            counts[known[r.feature], 1 - r.toxic] = r.n
+        for part in _counted(rows, known).toArrow().to_batches():
+            own, toxic_rows, n = (part.column(c) for c in ("feature", "toxic", "n"))
+            counts[[known[f] for f in own.to_pylist()], 1 - toxic_rows.to_numpy()] = n.to_numpy()
     to_toxic, to_clean = select(names, counts, sizes)
     return [names[i] for i in [*to_toxic, *to_clean]], len(to_toxic)
 
@@ -164,7 +167,7 @@ def distinct_voters(hits: list[list[int]], toxic: int) -> list[int]:
     """
     where: dict[int, list[int]] = {}
     for row, found in enumerate(hits):
-        for j in found:
+        for j in map(int, found):
             where.setdefault(j, []).append(row)
     first: dict[tuple, int] = {}
     for j in sorted(where):
@@ -198,6 +201,18 @@ def calibrate(sums: np.ndarray, target: np.ndarray, start: np.ndarray, steps: in
     return best
 
 
+def pair_blocks(after: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each entry with each of the ``after`` entries behind it, about PAIRS_AT_ONCE at a time: (pairs before, left, right)."""
+    ends, start = np.cumsum(after), 0
+    while start < len(after):
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")))
+        few = after[start:stop]
+        left = np.repeat(np.arange(start, stop), few)
+        yield done, left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(few) - few, few)
+        start = stop
+
+
 def label_model(rows: np.ndarray, voters: np.ndarray, sides: np.ndarray, labels: np.ndarray, rounds: int = 50) -> dict:
     """Posterior labels from voters that speak up or abstain, and an annotator who labels every row.
 
@@ -219,10 +234,14 @@ def label_model(rows: np.ndarray, voters: np.ndarray, sides: np.ndarray, labels:
     by_row, by_voter = rows[order], voters[order]
     size = np.bincount(by_row, minlength=n)
     after = np.cumsum(size)[by_row] - np.arange(len(by_row)) - 1
-    left = np.repeat(np.arange(len(by_row)), after)
-    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
-    codes, pair = np.unique(by_voter[left] * max(v, 1) + by_voter[right], return_inverse=True)
-    a, b, on = codes // max(v, 1), codes % max(v, 1), by_row[left]
+    codes = np.zeros(0, dtype=np.int64)
+    for _, left, right in pair_blocks(after):
+        codes = np.union1d(codes, by_voter[left] * v + by_voter[right])
+    pair = np.empty(int(after.sum()), dtype=np.int32)
+    for at, left, right in pair_blocks(after):
+        pair[at : at + len(left)] = np.searchsorted(codes, by_voter[left] * v + by_voter[right])
+    a, b = codes // max(v, 1), codes % max(v, 1)
+    together = np.bincount(pair, minlength=len(codes))
     prior = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     post = np.where(labels == 1, *(prior * a / (prior * a + (1 - prior) * b) for a, b in ((START[0], 1 - START[1]), (1 - START[0], START[1]))))
     scale_of = np.array([1.0, math.log(prior / (1 - prior))])
@@ -232,15 +251,19 @@ def label_model(rows: np.ndarray, voters: np.ndarray, sides: np.ndarray, labels:
         right_of = np.where(sides == 1, fired, mine_of - fired)
         accuracy = np.clip((right_of + 1) / (mine_of + 2), 0.02, 0.98)
         means = (fired / share[0], (mine_of - fired) / share[1])
-        spread = np.zeros(len(codes))
+        # A row counts once over both classes, whatever its posterior.
+        spread = together.astype(float)
         alone = np.zeros(v)
-        for p, s, m in zip((post, 1 - post), share, means, strict=True):
-            spread += np.bincount(pair, p[on], minlength=len(codes)) - s * m[a] * m[b]
+        for s, m in zip(share, means, strict=True):
+            spread -= s * m[a] * m[b]
             alone += s * (m - m * m)
         scale = np.sqrt(np.maximum(alone, 1e-9))
         correlation = np.clip(spread / (scale[a] * scale[b]), -1, 1)
         near = np.where(correlation >= LEAST_CORRELATION, correlation, 0)
-        crowd = np.bincount(left, near[pair], minlength=len(by_row)) + np.bincount(right, near[pair], minlength=len(by_row))
+        crowd = np.zeros(len(by_row))
+        for at, left, right in pair_blocks(after):
+            held = near[pair[at : at + len(left)]]
+            crowd += np.bincount(left, held, minlength=len(by_row)) + np.bincount(right, held, minlength=len(by_row))
         weight = 1 / (1 + crowd)
         # A voter's word is evidence beyond the prior: its accuracy against the share of its side.
         base = np.where(sides == 1, prior, 1 - prior)
@@ -262,10 +285,15 @@ def label_model(rows: np.ndarray, voters: np.ndarray, sides: np.ndarray, labels:
     return {"posterior": post, "accuracy": accuracy, "correlation": {(int(x), int(y)): float(c) for x, y, c in zip(a, b, correlation, strict=True)}, "weight": np.bincount(by_voter, weight, minlength=v) / np.maximum(1, mine_of), "annotator": (finds, clears)}
 
 
+def _flat(hits: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of every hit."""
+    rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+    return rows, np.concatenate([np.zeros(0, dtype=np.int64), *hits]).astype(np.int64)
+
+
 def fit_classifier(hits: list[list[int]], target: np.ndarray, n_features: int, rounds: int = 300, decay: float = DECAY) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets: steps scaled by a bound of each feature's curvature, accelerated."""
-    rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    cols = np.array([i for h in hits for i in h], dtype=np.int64)
+    rows, cols = _flat(hits)
     each = np.bincount(rows, minlength=len(hits)) + 1.0
     bound = np.append(np.bincount(cols, each[rows], minlength=n_features), each.sum()) / 4 + decay
     w = ahead = np.zeros(n_features + 1)
@@ -285,12 +313,13 @@ def fit(hits: list[list[int]], labels: np.ndarray, n_features: int, toxic: int)
     voter more says clean of rows without any that says toxic.
     """
     voters = distinct_voters(hits, toxic)
-    number = {j: k for k, j in enumerate(voters)}
+    number = np.full(n_features, -1)
+    number[voters] = np.arange(len(voters))
     sides = np.array([*(int(j < toxic) for j in voters), 0])
-    fired = [(i, number[j]) for i, h in enumerate(hits) for j in h if j in number]
-    fired += [(i, len(voters)) for i, h in enumerate(hits) if not any(j < toxic for j in h)]
-    where = np.array(fired, dtype=np.int64).reshape(-1, 2)
-    model = label_model(where[:, 0], where[:, 1], sides, labels)
+    rows, cols = _flat(hits)
+    votes = number[cols] >= 0
+    quiet = np.flatnonzero(np.bincount(rows[cols < toxic], minlength=len(hits)) == 0)
+    model = label_model(np.append(rows[votes], quiet), np.append(number[cols[votes]], np.full(len(quiet), len(voters))), sides, labels)
     weights, bias = fit_classifier(hits, model["posterior"], n_features) if len(hits) else (np.zeros(0), -2.0)
     return {"weights": weights, "bias": bias, "label_model": model, "voters": voters}
 
@@ -309,7 +338,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             hits = [sorted(match(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "hits"])
 
-    got = sorted((r.toxic, list(r.hits)) for r in rows.mapInArrow(run, "toxic int, hits array<int>").collect())
+    parts = rows.mapInArrow(run, "toxic int, hits array<int>").toArrow().to_batches()
+    got = [(t, h.values.to_numpy()) for p in parts for t, h in zip(p.column(0).to_pylist(), p.column(1), strict=True)]
+    got.sort(key=lambda x: (x[0], x[1].tobytes()))
     work.drop("sample")
     return {"features": names, "toxic": toxic} | fit([h for _, h in got], np.array([t for t, _ in got]), len(names), toxic)
 
