@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.config import Config
 from lodestone.errors import ConfigurationError, StorageError
 from lodestone.functions import embedding
+from lodestone.functions.text import strip
 from lodestone.operators import assemble, chunking, dense, fusion, graph, lexical, links, profiles, structure, topics
 from lodestone.sources import readers
 from lodestone.sources.index import Index
@@ -154,7 +155,7 @@ class Engine:
         self.check_profile(profile)
         began = time.perf_counter()
         queries = self._asked(queries)
-        asked = queries.filter(F.length(F.trim("question")) > 0).withColumn("embedding", self.embed(F.col("question")))
+        asked = queries.filter(strip(F.col("question")) != "").withColumn("embedding", self.embed(F.col("question")))
         rows = self.index.complete("chunks")
         self.timings["scope"] = time.perf_counter() - began
         if profile != "evidence":

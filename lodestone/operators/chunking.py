@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import SPACE, chapter_guess, strip
+from lodestone.sources.scratch import saved
 
 
 def pieces(text: Column, size: int = 800) -> Column:
@@ -44,7 +45,11 @@ def split_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def comparison_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 800) -> DataFrame:
     """Chunks named by document position and sequence (d0:c0), positions by id."""
-    # Evaluation sets are small; positions are counted over their ids alone.
-    place = docs.select(F.col(id_col).alias("doc_id"), F.row_number().over(Window.orderBy(id_col)).alias("n"))
+    # A sorted id's number holds its partition and its place there; the window runs over one row a partition.
+    placed = saved(docs.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").withColumn("at", F.monotonically_increasing_id()), "places")
+    part = F.shiftright("at", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = placed.join(F.broadcast(before), part == F.col("part")).select("doc_id", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("n"))
     rows = split_documents(docs, id_col, text_col, size)
-    return rows.join(place, "doc_id").withColumn("chunk_id", F.format_string("d%d:c%d", F.col("n") - 1, F.col("sequence"))).drop("n")
+    return rows.join(place, "doc_id").withColumn("chunk_id", F.format_string("d%d:c%d", F.col("n"), F.col("sequence"))).drop("n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import strip
+
 CUTS = (5, 10)
 
 
@@ -110,7 +112,7 @@ def dataset_violations(documents: DataFrame, queries: DataFrame, relevance: Data
     documents: id, text; queries: id, question, split; relevance: query_id,
     doc_id, grade.  Positive documents must not serve both splits.
     """
-    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
+    blank = lambda c: F.col(c).isNull() | (strip(F.col(c)) == "")
     rule = lambda df, name: df.select(F.lit(name).alias("rule"), F.col("id").cast("string").alias("id"))
     repeated = lambda df: df.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     positive = relevance.filter("grade > 0")
@@ -135,7 +137,7 @@ def dataset_violations(documents: DataFrame, queries: DataFrame, relevance: Data
 
 def dedupe_texts(rows: DataFrame, text_col: str = "text", order: str = "doc_id") -> DataFrame:
     """text, first (least order value), sources: equal trimmed texts become one."""
-    text = F.trim(F.col(text_col))
+    text = strip(F.col(text_col))
     return rows.filter(text != "").groupBy(text.alias("text")).agg(F.min(order).alias("first"), F.array_sort(F.collect_list(order)).alias("sources"))
 
 

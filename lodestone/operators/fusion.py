@@ -15,15 +15,19 @@ def dense_ranks(ranking: DataFrame, by: list, id_col: str = "chunk_id") -> DataF
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_at"))).drop("_at")
 
 
-def rrf(channels: dict[str, DataFrame], k: int = 60, id_col: str = "chunk_id") -> DataFrame:
+def rrf(channels: dict[str, DataFrame], k: int = 60, id_col: str = "chunk_id", repeats: bool = True) -> DataFrame:
     """query_id, id, fusion_score, fusion_rank and each channel's rank.
 
-    Channels hold query_id, id and rank.  Score: the sum of 1 / (k + rank);
-    order: score, then id.
+    Channels hold query_id, id and rank.  An id that a channel repeats counts
+    once, at its first place, and later ids move up; ``repeats`` False says
+    that there are none and that ranks have no holes.  Score: the sum of
+    1 / (k + rank); order: score, then id.
     """
     if not isinstance(k, int) or isinstance(k, bool) or k < 1:
         raise ValueError("k must be a positive integer")
     names = sorted(channels)
+    if repeats:
+        channels = {n: dense_ranks(rows, ["rank", id_col], id_col) for n, rows in channels.items()}
     rows = reduce(DataFrame.unionByName, [channels[n].select("query_id", id_col, F.col("rank"), F.lit(n).alias("channel")) for n in names])
     ranks = [F.min(F.when(F.col("channel") == n, F.col("rank"))).alias(f"{n}_rank") for n in names]
     fused = rows.groupBy("query_id", id_col).agg(F.sum(1.0 / (k + F.col("rank"))).alias("fusion_score"), *ranks)
@@ -36,7 +40,7 @@ def hybrid(dense: DataFrame, lexical: DataFrame, candidate_k: int = 40, rrf_k: i
 
     Candidates beyond candidate_k stay in the trace, omitted by fusion_cap.
     """
-    fused = rrf({"vector": dense.withColumnRenamed("vector_rank", "rank"), "lexical": lexical.withColumnRenamed("lexical_rank", "rank")}, rrf_k, id_col)
+    fused = rrf({"vector": dense.withColumnRenamed("vector_rank", "rank"), "lexical": lexical.withColumnRenamed("lexical_rank", "rank")}, rrf_k, id_col, repeats=False)
     trace = fused.join(dense.select("query_id", id_col, "vector_score"), ["query_id", id_col], "left")
     trace = trace.join(lexical.select("query_id", id_col, F.col("bm25").alias("lexical_score")), ["query_id", id_col], "left")
     return trace.withColumn("omission_reason", F.when(F.col("fusion_rank") > candidate_k, "fusion_cap"))

@@ -31,8 +31,8 @@ def concept_edges(concepts: DataFrame, id_col: str = "chunk_id") -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """source and a map of target to weight; loops and weights below 1 are dropped."""
-    fine = edges.filter("source <> target and weight > 0")
+    """source and a map of target to the summed weight; loops and weights below 1 are dropped."""
+    fine = edges.filter("source <> target and weight > 0").groupBy("source", "target").agg(F.sum("weight").alias("weight"))
     return fine.groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", "weight")))).alias("targets"))
 
 

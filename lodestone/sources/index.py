@@ -183,8 +183,10 @@ class Index:
     # -- reading
 
     def table(self, name: str) -> DataFrame | None:
+        """The table's parts as one; weights of an edge that several ingests counted are summed."""
         parts = self.manifest()["tables"][name]
-        return self.spark.read.parquet(*(f"{self.path}/{p}" for p in parts)) if parts else None
+        rows = self.spark.read.parquet(*(f"{self.path}/{p}" for p in parts)) if parts else None
+        return rows.groupBy("source", "target").agg(F.sum("weight").alias("weight")) if name == "edges" and len(parts) > 1 else rows
 
     def documents(self) -> DataFrame:
         rows = [(d, e["name"], e["path"], e["processed"], e["state"], e["total"]) for d, e in sorted(self.manifest()["documents"].items())]

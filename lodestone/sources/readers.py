@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.errors import ParseError
-from lodestone.functions.text import document_id
+from lodestone.functions.text import document_id, strip
 from lodestone.operators.structure import CHUNK_FIELDS, parse_pages, parse_paragraphs, parse_text
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -183,11 +183,11 @@ def news_questions(spark: SparkSession, path: str) -> DataFrame:
     out = None
     for task, n in TASKS.items():
         rows = raw.select(F.posexplode(task).alias("row_index", "r"))
-        empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+        empty = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
         reason = F.when(empty(F.col("r.ID")), "missing_event_id").when(empty(F.col("r.questions")), "missing_or_empty_questions")
         for i in range(1, n + 1):
             reason = reason.when(empty(F.col(f"r.news{i}")), f"missing_or_empty_news{i}")
-        rows = rows.select(F.lit(task).alias("task"), "row_index", F.col("r.ID").alias("event_id"), F.trim("r.questions").alias("question"), F.array(*[F.trim(f"r.news{i}") for i in range(1, n + 1)]).alias("news"), reason.alias("reason"))
+        rows = rows.select(F.lit(task).alias("task"), "row_index", F.col("r.ID").alias("event_id"), strip(F.col("r.questions")).alias("question"), F.array(*[strip(F.col(f"r.news{i}")) for i in range(1, n + 1)]).alias("news"), reason.alias("reason"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

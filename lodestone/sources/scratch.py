@@ -8,10 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.errors import ConfigurationError
+
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below spark.checkpoint.dir; a local one only where that is unset."""
+    """A fresh path below spark.checkpoint.dir; a local one only where that is unset and all runs on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ConfigurationError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)

@@ -1,11 +1,15 @@
 """Incremental ingestion: a file stream of documents into chunk tables.
 
-Each micro-batch writes its chunks under its own batch number and is skipped
-if that is there already, so a batch replayed after a failure adds nothing.
+Each micro-batch writes its chunks to a folder of its stream and batch number,
+so a batch replayed after a failure replaces itself and adds nothing, and
+streams of different checkpoints never overwrite each other.  A document whose
+id another batch has ingested is left as it is.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,11 +19,21 @@ from lodestone.sources.scratch import shared_folder
 
 
 def start_ingest(stream: DataFrame, target: str, checkpoint: str, size: int = 800) -> StreamingQuery:
-    """Chunk every new document of ``stream`` (doc_id, text) into ``target``/batch=n."""
+    """Chunk every new document of ``stream`` (doc_id, text) into ``target``/stream=id/batch=n.
+
+    The id is the one that the stream's checkpoint holds from its first start on.
+    """
 
     def commit(batch: DataFrame, number: int) -> None:
-        # Overwriting the batch's own folder makes a replay idempotent.
-        split_documents(batch, size=size).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        own = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first().value)["id"]
+        spark, fresh = batch.sparkSession, batch
+        folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            kind = batch.schema["doc_id"].dataType.simpleString()
+            held = spark.read.schema(f"doc_id {kind}, stream string, batch long").parquet(target)
+            others = held.filter((F.col("stream") != own) | (F.col("batch") != number)).select("doc_id")
+            fresh = batch.join(others, "doc_id", "left_anti")
+        split_documents(fresh, size=size).write.mode("overwrite").parquet(f"{target}/stream={own}/batch={number}")
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -54,3 +54,11 @@ def test_replayed_batches_add_nothing(spark, tmp_path):
     for checkpoint in ("one", "one", "two"):  # a restart, and a replay from nothing
         start_ingest(stream(), str(tmp_path / "out"), str(tmp_path / checkpoint)).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_streams_of_two_checkpoints_keep_both(spark, tmp_path):
+    for name in ("one", "two"):
+        source = tmp_path / name
+        spark.createDataFrame([(name, "x")], "doc_id string, text string").write.parquet(str(source))
+        start_ingest(spark.readStream.schema("doc_id string, text string").parquet(str(source)), str(tmp_path / "out"), str(tmp_path / f"{name}-checkpoint")).awaitTermination()
+    assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"one", "two"}

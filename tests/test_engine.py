@@ -9,7 +9,7 @@ from lodestone.config import Config
 from lodestone.engine import Engine, answer, answer_messages
 from lodestone.errors import ConfigurationError, ParseError, ScopeError, StorageError
 from lodestone.functions import embedding
-from lodestone.operators import rerank
+from lodestone.operators import graph, rerank
 from lodestone.sources import readers
 from lodestone.sources.index import Index
 
@@ -171,3 +171,17 @@ def test_settings():
         with pytest.raises(ConfigurationError):
             Config.load(bad)
     assert answer(lambda m: f" {len(m)} ", "q", "c") == "2" and "c" in answer_messages("q", "c")[1]["content"]
+
+
+def test_edges_of_two_ingests_are_summed(spark, tmp_path):
+    made = Engine.create(spark, str(tmp_path / "plain"), kind="plain")
+    for name in ("a", "b"):
+        made.ingest_plain(spark.createDataFrame([(name, "apples pears")], "doc_id string, text string"))
+    edges = made.index.table("edges")
+    assert sorted(map(tuple, edges.collect())) == [("apples", "pears", 2), ("pears", "apples", 2)]
+    stored = edges.unionByName(edges)
+    assert {r.source: r.targets for r in graph.adjacency(stored).collect()} == {"apples": {"pears": 4}, "pears": {"apples": 4}}
+
+
+def test_white_space_is_no_question(spark, engine):
+    assert engine.retrieve(ask(spark, (1, "\t\n", None))).first()["status"] == "no_candidates"

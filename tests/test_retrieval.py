@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from lodestone.operators import dense, evaluate, fusion, graph, lexical, profiles, topics
+from lodestone.operators import chunking, dense, evaluate, fusion, graph, lexical, profiles, topics
 
 
 def test_fusion_by_hand(spark):
@@ -95,3 +95,15 @@ def test_coverage_denominators(spark):
     assert (got["source_mrr"].value, got["source_mrr"].denominator) == (0.5, 1)
     assert got["reference_coverage"].value == 0.75 and got["false_reference_expansion"].value == 0.5
     assert evaluate.aggregate_coverage(evaluate.coverage(rows.filter("query_id = 'r'"))).filter("metric = 'false_reference_expansion'").first().status == "unavailable"
+
+
+def test_ranks_close_up_behind_a_repeated_id(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "b", 3)], "query_id long, chunk_id string, rank int")
+    got = {r.chunk_id: r.x_rank for r in fusion.rrf({"x": rows}).collect()}
+    assert got == {"a": 1, "b": 2}
+
+
+def test_comparison_chunks_are_named_by_sorted_position(spark):
+    docs = spark.createDataFrame([(f"n{i:03d}", "x" * (5 + i % 3)) for i in range(50)], "doc_id string, text string").repartition(7)
+    got = sorted((r.doc_id, r.sequence, r.chunk_id) for r in chunking.comparison_chunks(docs, size=6).collect())
+    assert got == [(f"n{i:03d}", c, f"d{i}:c{c}") for i in range(50) for c in range(1 + (i % 3 == 2))]
