@@ -1,13 +1,15 @@
 """Exact dense retrieval: every query against every vector, in blocks.
 
 Queries are the small side: they are taken QUERIES_AT_ONCE and sent to the
-executors as a matrix.  Each batch of vectors is scored by one matrix product
-and only its best k per query leave the worker; a window ranks what is left.
+executors as a matrix.  Each batch of vectors is scored by one matrix product;
+a task keeps its best k per query over all its batches and sends only those,
+and a window ranks what the tasks send.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 QUERIES_AT_ONCE = 2_048
+#: Scores are compared to so many places, so that sums in another order tie alike.
+PLACES = 9
+
+
+class Best:
+    """The k best (score, id) of one query so far: by rounded score, ties by id, null ids first."""
+
+    def __init__(self, k: int):
+        self.k, self.keys, self.scores, self.places = k, np.empty(0, dtype=object), np.empty(0), np.empty(0)
+
+    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        places = np.round(scores, PLACES)
+        if len(self.keys) == self.k:
+            ahead = places >= self.places.min()
+            keys, scores, places = keys[ahead], scores[ahead], places[ahead]
+        if not len(keys):
+            return
+        keys, scores, places = (np.concatenate(x) for x in ((self.keys, keys), (self.scores, scores), (self.places, places)))
+        if len(keys) > self.k:
+            least = np.partition(places, -self.k)[-self.k]
+            above, level = np.flatnonzero(places > least), np.flatnonzero(places == least)
+            first = nsmallest(self.k - len(above), level.tolist(), key=lambda i: (keys[i] is not None, keys[i]))
+            stay = np.concatenate([above, np.array(first, dtype=np.int64)])
+            keys, scores, places = keys[stay], scores[stay], places[stay]
+        self.keys, self.scores, self.places = keys, scores, places
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[list, list, np.ndarray]]:
@@ -42,36 +69,33 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 40, id_col: str
         raise ValueError("k must be positive")
     id_field, query_field = vectors.schema[id_col], queries.schema["query_id"]
     id_arrow, query_arrow = to_arrow_type(id_field.dataType), to_arrow_type(query_field.dataType)
-    schema = f"query_id {query_field.dataType.simpleString()}, `{id_col}` {id_field.dataType.simpleString()}, vector_score double"
+    schema = f"query_id {query_field.dataType.simpleString()}, `{id_col}` {id_field.dataType.simpleString()}, vector_score double, _places double"
     given = vectors.select(id_col, "embedding", *([scope_col] if scope_col else []))
     found = None
     for ids, scopes, matrix in _blocks(queries):
 
         def run(batches: Iterator[pa.RecordBatch], ids: list = ids, scopes: list = scopes, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+            best = [Best(k) for _ in ids]
             for batch in batches:
                 column = batch.column(1)
                 flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
                 if len(flat) != len(column) * matrix.shape[1]:
                     raise ValueError("vectors and queries differ in dimension")
-                keys = np.array(batch.column(0).to_pylist(), dtype=object)
+                keys = np.empty(len(column), dtype=object)
+                keys[:] = batch.column(0).to_pylist()
                 scores = matrix @ flat.reshape(len(column), matrix.shape[1]).T
                 homes = np.array(batch.column(2).to_pylist(), dtype=object) if scope_col else None
-                names, picked, values = [], [], []
                 for q, row in enumerate(scores):
-                    at = np.arange(len(row)) if scopes[q] is None or homes is None else np.flatnonzero(homes == scopes[q])
-                    if len(at) > k:  # keep all that tie with the k-th
-                        least = np.partition(row[at], -k)[-k]
-                        at = at[row[at] >= least - 1e-9]
-                    names += [ids[q]] * len(at)
-                    picked.append(keys[at])
-                    values.append(row[at])
-                flat_keys = np.concatenate(picked).tolist() if picked else []
-                yield pa.RecordBatch.from_arrays([pa.array(names, query_arrow), pa.array(flat_keys, id_arrow), pa.array(np.concatenate(values) if values else [], pa.float64())], names=["query_id", id_col, "vector_score"])
+                    at = slice(None) if scopes[q] is None or homes is None else homes == scopes[q]
+                    best[q].add(keys[at], row[at])
+            for q, found in zip(ids, best, strict=True):
+                if len(found.keys):
+                    arrays = [pa.array([q] * len(found.keys), query_arrow), pa.array(found.keys.tolist(), id_arrow), pa.array(found.scores, pa.float64()), pa.array(found.places, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["query_id", id_col, "vector_score", "_places"])
 
         part = given.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = given.select(F.lit(None).cast(query_field.dataType).alias("query_id"), id_col, F.lit(0.0).alias("vector_score")).filter(F.lit(False))
-    # Scores are compared to nine places, so that sums in another order tie alike.
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("vector_score", 9)), id_col)
-    return found.withColumn("vector_rank", F.row_number().over(order)).filter(F.col("vector_rank") <= k)
+        found = given.select(F.lit(None).cast(query_field.dataType).alias("query_id"), id_col, F.lit(0.0).alias("vector_score"), F.lit(0.0).alias("_places")).filter(F.lit(False))
+    order = Window.partitionBy("query_id").orderBy(F.desc("_places"), id_col)
+    return found.withColumn("vector_rank", F.row_number().over(order)).filter(F.col("vector_rank") <= k).drop("_places")

@@ -107,3 +107,17 @@ def test_comparison_chunks_are_named_by_sorted_position(spark):
     docs = spark.createDataFrame([(f"n{i:03d}", "x" * (5 + i % 3)) for i in range(50)], "doc_id string, text string").repartition(7)
     got = sorted((r.doc_id, r.sequence, r.chunk_id) for r in chunking.comparison_chunks(docs, size=6).collect())
     assert got == [(f"n{i:03d}", c, f"d{i}:c{c}") for i in range(50) for c in range(1 + (i % 3 == 2))]
+
+
+def test_dense_keeps_the_best_of_all_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        values = [(7 * i) % 10 for i in range(40)]  # every score four times, spread over the batches
+        rows = spark.createDataFrame([(i, [float(v), 0.0]) for i, v in enumerate(values)], "chunk_id long, embedding array<double>").coalesce(2)
+        asked = spark.createDataFrame([("q", [1.0, 0.0]), ("r", [-1.0, 0.0])], "query_id string, embedding array<double>")
+        for k in (1, 6, 40, 50):
+            got = dense.dense_topk(asked, rows, k, id_col="chunk_id").orderBy("query_id", "vector_rank").collect()
+            want = [("q", i) for i in sorted(range(40), key=lambda i: (-values[i], i))[:k]] + [("r", i) for i in sorted(range(40), key=lambda i: (values[i], i))[:k]]
+            assert [(r.query_id, r.chunk_id) for r in got] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
