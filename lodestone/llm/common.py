@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a fresh local
-    folder is used and set as the checkpoint folder.
+    Only where the session names none and all runs on one machine (tests) a
+    fresh local folder is used and set as the checkpoint folder; on a cluster
+    that is an error, for executors would write to disks of their own.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
