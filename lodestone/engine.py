@@ -28,6 +28,8 @@ class Engine:
 
     def __init__(self, index: Index, config: Config | None = None, embed: Callable[[Column], Column] | None = None, reranker: Reranker | None = None):
         self.index, self.config = index, config or Config()
+        if self.config.enable_reranker and reranker is None:
+            raise ConfigurationError("the settings ask for a reranker, but none is given")
         self.embed = embed or embedding.backend(self.config.embedding_backend)
         self.reranker, self.timings = reranker, {}
 

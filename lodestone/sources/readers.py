@@ -183,7 +183,7 @@ def news_questions(spark: SparkSession, path: str) -> DataFrame:
     out = None
     for task, n in TASKS.items():
         rows = raw.select(F.posexplode(task).alias("row_index", "r"))
-        empty = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
+        empty = lambda c: F.coalesce(strip(c), F.lit("")) == ""
         reason = F.when(empty(F.col("r.ID")), "missing_event_id").when(empty(F.col("r.questions")), "missing_or_empty_questions")
         for i in range(1, n + 1):
             reason = reason.when(empty(F.col(f"r.news{i}")), f"missing_or_empty_news{i}")
@@ -207,12 +207,22 @@ def prepare_pilot(rows: DataFrame, query_events: int = 10, corpus_events: int =
     """(documents, queries, relevance) from complete events, chosen by a seeded hash.
 
     An event is complete when each task has a usable row for it.  Equal texts
-    become one document, with every use listed in ``sources``.
+    become one document, with every use listed in ``sources``.  A task without
+    rows, an event that a task lists twice and fewer complete events than
+    ``corpus_events`` are errors.
     """
     if type(query_events) is not int or type(corpus_events) is not int or not 0 < query_events <= corpus_events:
         raise ValueError("query_events must lie between 1 and corpus_events")
+    repeated = rows.filter("event_id is not null").filter(strip(F.col("event_id")) != "").groupBy("task", "event_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy("task", "event_id").first()
+    if repeated:
+        raise ValueError(f"duplicate event ID in {repeated.task}: {repeated.event_id}")
+    missing = set(TASKS) - {r.task for r in rows.select("task").distinct().collect()}
+    if missing:
+        raise ValueError(f"missing task list: {min(missing)}")
     good = rows.filter("reason is null")
     events = good.groupBy("event_id").agg(F.countDistinct("task").alias("n")).filter(F.col("n") == len(TASKS)).select("event_id")
+    if (found := events.count()) < corpus_events:
+        raise ValueError(f"only {found} complete events; requested {corpus_events}")
     chosen = events.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "event_id")), "event_id").limit(corpus_events)
     asked = events.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "event_id")), "event_id").limit(query_events).withColumn("asked", F.lit(True))
     used = good.join(chosen, "event_id").join(asked, "event_id", "left")

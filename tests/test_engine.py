@@ -12,6 +12,7 @@ from lodestone.functions import embedding
 from lodestone.operators import graph, rerank
 from lodestone.sources import readers
 from lodestone.sources.index import Index
+from lodestone.sources.scratch import broadcast_if_small
 
 GUIDE = "# Section 1\nApples are red. See section 2.\n\n# Section 2\nPears are green and 12.5 percent sweeter.\n"
 NOTES = "# Section 1\nBananas are yellow. See clause 9.\n"
@@ -163,6 +164,25 @@ def test_news_pilot(spark, tmp_path):
     assert sum(len(r.sources) for r in documents.collect()) == 12
     audit = {k: v.count() for k, v in readers.pilot_audit(rows).items()}
     assert audit == {"source_rows": 3, "excluded_rows": 1, "incomplete_events": 1, "complete_events": 2}
+    with pytest.raises(ValueError, match="only 2 complete events"):
+        readers.prepare_pilot(rows, 1, 3)
+    with pytest.raises(ValueError, match="duplicate event ID in questanswer_1doc: e1"):
+        readers.prepare_pilot(rows.unionByName(rows.filter("task = 'questanswer_1doc' and event_id = 'e1'")), 1, 2)
+    with pytest.raises(ValueError, match="missing task list: questanswer_3docs"):
+        readers.prepare_pilot(rows.filter("task <> 'questanswer_3docs'"), 1, 2)
+
+
+def test_broadcast_only_after_a_check_of_rows_and_bytes(spark):
+    rows = spark.range(5).withColumn("text", F.repeat(F.lit("x"), 100))
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "broadcast" in plan(broadcast_if_small(rows))
+    assert "broadcast" not in plan(broadcast_if_small(rows, most=4)) and "broadcast" not in plan(broadcast_if_small(rows, most_bytes=400))
+    assert "broadcast" in plan(broadcast_if_small(rows.limit(0)))
+
+
+def test_a_reranker_that_the_settings_ask_for_must_be_given(spark, tmp_path):
+    with pytest.raises(ConfigurationError, match="reranker"):
+        Engine.create(spark, str(tmp_path / "asked"), Config(enable_reranker=True))
 
 
 def test_settings():
