@@ -75,10 +75,10 @@ class BoundedCache(dict):
             self.weight //= 2
 
 
-def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, tuple[str, pa.DataType]], work: Callable[[list[str]], list[list]]) -> DataFrame:
+def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, tuple[str, pa.DataType]], work: Callable[..., list[list]], with_ids: bool = False) -> DataFrame:
     """Run ``work`` over whole texts (null as empty), keeping each row's id.
 
-    ``columns`` names the output columns with their SQL and Arrow types, in
+    ``work`` takes the texts, and their ids too if asked.  ``columns`` names the output columns with their SQL and Arrow types, in
     the order of the lists that ``work`` returns.  Ids pass as Arrow values,
     so nulls and large integers survive.
     """
@@ -86,7 +86,8 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in row_slices(batch, 1):
-                arrays = [pa.array(v, type=kind) for v, (_, kind) in zip(work(texts), columns.values(), strict=True)]
+                made = work(texts, part.column(0).to_pylist()) if with_ids else work(texts)
+                arrays = [pa.array(v, type=kind) for v, (_, kind) in zip(made, columns.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["id", *columns])
 
     bound_batches(docs.sparkSession)

@@ -90,4 +90,32 @@ ORACLES = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM bits
     """,
+    "op12_fill_in_middle": r"""
+        WITH cut AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                   sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+            FROM documents
+        ),
+        drawn AS (
+            SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+                   text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 AS plain,
+                   ('0x' || h[25:32])::BIGINT % 100 < 50 AS suffix_first
+            FROM cut
+        ),
+        pieces AS (
+            SELECT doc_id, text, n, plain, suffix_first,
+                   array_to_string(u[1:least(a, b)], '') AS prefix,
+                   array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle,
+                   array_to_string(u[greatest(a, b) + 1:], '') AS suffix
+            FROM drawn
+        )
+        SELECT doc_id, n::BIGINT AS n,
+               CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+               CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars,
+               CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+               sha256(CASE WHEN plain THEN text WHEN suffix_first THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                           ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM pieces
+    """,
 }
