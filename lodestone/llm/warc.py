@@ -158,10 +158,10 @@ def store(root: str):
 
 
 def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes the records; the index: page_id, bundle, frame, offset, length.
+    """Writes the records; the index: page_id, digest, revisit, bundle, frame, offset, length.
 
-    ``pages``: page_id, url, payload (binary), digest (base32), refers_to and
-    revisit.  The result must be written before use: it writes as it is read.
+    ``pages``: page_id, url, payload (binary), digest (SHA-1 in hex), refers_to
+    and revisit.  The result must be written before use: it writes as it is read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,17 +180,17 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
                         writer.close()
                         writer = None
                 names, frames, offsets, lengths = zip(*rows, strict=True) if rows else ((),) * 4
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), *(pa.array(x, pa.int64()) for x in (frames, offsets, lengths))], names=["page_id", "bundle", "frame", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(5), pa.array(names, pa.string()), *(pa.array(x, pa.int64()) for x in (frames, offsets, lengths))], names=["page_id", "digest", "revisit", "bundle", "frame", "offset", "length"])
         finally:
             if writer is not None:
                 writer.close()
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "payload", "digest", "refers_to", "revisit").mapInArrow(run, f"page_id {kind}, bundle string, frame long, offset long, length long")
+    return pages.select("page_id", "url", "payload", "digest", "refers_to", "revisit").mapInArrow(run, f"page_id {kind}, digest string, revisit boolean, bundle string, frame long, offset long, length long")
 
 
-def read_bundles(bundles: DataFrame, folder: str) -> DataFrame:
-    """Every record of the named bundles, frame by frame, digests checked.
+def read_bundles(bundles: DataFrame, folder: str, kind: str | None = None) -> DataFrame:
+    """Every record of the named bundles, or those of a kind (response, revisit), frame by frame, digests checked.
 
     Columns: page_id and refers_to (strings), payload (null for a revisit),
     payload_bytes, payload_digest, record_type, url.
@@ -216,7 +216,10 @@ def read_bundles(bundles: DataFrame, folder: str) -> DataFrame:
                         raw, at, rows = reader.frame(number), 0, []
                         while at < len(raw):
                             found, at = parse(raw, at)
-                            rows.append(fields(found))
+                            if kind in (None, found["heads"]["WARC-Type"]):
+                                rows.append(fields(found))
+                        if not rows:
+                            continue
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
 
     return bundles.select("bundle").mapInArrow(run, "page_id string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
@@ -277,7 +280,7 @@ def archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     by null ids only is a response each time.  Extra columns are ignored.
     Payloads are equal by SHA-1 and length, as the format has it.  What a
     revisit says of its payload is read from the record it refers to, which the
-    index finds.
+    index finds by id and digest; a revisit without such a record is an error.
     """
     work = Workspace(pages.sparkSession, "warc")
     payload = whole_text(html_col).cast("binary")
@@ -292,10 +295,15 @@ def archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     bundles = work.save(index.select("bundle").distinct(), "names")
     # One task a bundle: the names alone are too small for the engine to see the work behind them.
     tasks = max(1, min(bundles.count(), MOST_READ_TASKS))
-    records = read_bundles(bundles.repartition(tasks), folder)
-    named = first.select(F.col("first").alias("page_id")).filter("page_id is not null")
-    spots = index.join(named.hint("merge"), "page_id").groupBy("page_id").agg(F.min(F.struct("bundle", "frame", "offset", "length")).alias("at")).select("at.*")
+    # A revisit's target is the response of that id with that payload: ids may repeat.
+    named = first.select(F.col("first").alias("page_id"), "digest").filter("page_id is not null").distinct()
+    spots = index.filter("not revisit").join(named.hint("merge"), ["page_id", "digest"]).groupBy("page_id", "digest").agg(F.min(F.struct("bundle", "frame", "offset", "length")).alias("at")).select("at.*")
     targets = work.save(read_targets(spots, folder), "targets")
-    records = records.join(targets.hint("merge"), records.refers_to == targets.target, "left")
-    of_target = lambda c, t: F.when(F.col("record_type") == "revisit", F.col(t)).otherwise(F.col(c)).alias(c)
-    return index, records.select("page_id", "payload", of_target("payload_bytes", "target_bytes"), of_target("payload_digest", "target_digest"), "record_type", "refers_to", "url"), folder
+    # Responses take no part in the join: only revisits, which carry no payload, are shuffled.
+    own = bundles.repartition(tasks)
+    responses, revisits = read_bundles(own, folder, "response"), read_bundles(own, folder, "revisit")
+    found = revisits.join(targets.hint("merge"), (revisits.refers_to == targets.target) & (revisits.payload_digest == targets.target_digest), "left")
+    size = F.coalesce("target_bytes", F.raise_error(F.concat(F.lit("no response for the revisit "), F.coalesce(F.col("page_id"), F.lit(NO_ID)))).cast("long"))
+    columns = ["page_id", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+    records = responses.select(*columns).unionByName(found.select("page_id", "payload", size.alias("payload_bytes"), F.col("target_digest").alias("payload_digest"), "record_type", "refers_to", "url"))
+    return index, records, folder

@@ -43,6 +43,18 @@ def test_least_bytes(spark):
     assert {(r.page_id, r.record_type) for r in records.collect()} == {("1", "response"), ("2", "response"), ("3", "response"), ("4", "revisit")}
 
 
+def test_targets_of_repeated_ids_with_unlike_payloads(spark):
+    rows = [(1, "u", "aaa"), (1, "u", "bbbbb"), (2, "u", "bbbbb"), (3, "u", "aaa"), (1, "v", "bbbbb")]
+    _, records, _ = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert read(records) == plain(rows)
+
+
+def test_payload_on_a_third_of_all_pages(spark):
+    rows = [(i, "u", "common" if i % 3 == 0 else f"own {i}" if i % 3 == 1 else f"pair {i // 6}") for i in range(3_000)]
+    _, records, _ = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7))
+    assert read(records) == plain(rows)
+
+
 def test_null_ids_through_the_query(spark, tmp_path):
     rows = [(None, "u", "same"), (None, "u", "same"), (4, "u", "same"), (3, "u", "same"), (None, None, "alone")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
