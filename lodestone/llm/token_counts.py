@@ -34,7 +34,8 @@ NONE = np.iinfo(np.int64).max
 #: Sequences of more symbols are cut where no piece reaches across.
 LONG = 32
 SYMBOLS_AT_ONCE = 1_000_000
-CACHED_WORDS = 400_000
+#: Bytes that the marked, or the bare, words of a worker's cache take at most, and what an entry takes besides its text; longer words are not kept.
+CACHED_BYTES, ENTRY_BYTES, LONGEST_KEPT = 100_000_000, 160, 256
 
 
 class PieceModel:
@@ -179,7 +180,7 @@ def _code_points(text: str) -> np.ndarray:
 @lru_cache(maxsize=2)
 def load(path: str) -> tuple[PieceModel, BoundedCache, BoundedCache]:
     """The model of this worker with its caches of marked and bare words."""
-    return PieceModel(path), BoundedCache(CACHED_WORDS), BoundedCache(CACHED_WORDS)
+    return PieceModel(path), BoundedCache(CACHED_BYTES), BoundedCache(CACHED_BYTES)
 
 
 ODD = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -214,7 +215,12 @@ def count_texts(texts: list[str], path: str) -> list[int]:
         for cache, mark, words in ((marked, MARK, {w for c in cut for w in c[0]}), (bare, "", {w for c in cut for w in c[1]})):
             new = [w for w in words if w not in cache]
             cache.update(zip(new, model.count_words([mark + w for w in new]), strict=True))
+            cache.weight += sum(ENTRY_BYTES + 4 * len(w) for w in new)
         out += [sum(map(marked.__getitem__, a)) + sum(map(bare.__getitem__, b)) + n * model.feed for a, b, n in cut]
+        for cache, at in ((marked, 0), (bare, 1)):
+            for w in {w for c in cut for w in c[at] if len(w) > LONGEST_KEPT} & cache.keys():
+                del cache[w]
+                cache.weight -= ENTRY_BYTES + 4 * len(w)
     return out
 
 

@@ -39,6 +39,17 @@ def test_unspaced_texts(library):
     same(library, [han, often, latin, few, "a" * 300_000, "ab" * 100_000, "=" * 70_001])
 
 
+def test_caches_are_bounded_in_bytes(library):
+    """Unspaced texts are words of thousands of characters: none of them stays."""
+    rng = random.Random(11)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x6000)) for _ in range(1_000)) for _ in range(200)]
+    token_counts.load.cache_clear()
+    same(library, texts + ["short words stay " * 3])
+    _, marked, bare = token_counts.load(PATH)
+    assert max(map(len, [*marked, *bare])) <= token_counts.LONGEST_KEPT and "stay" in marked
+    assert marked.weight == sum(token_counts.ENTRY_BYTES + 4 * len(w) for w in marked)
+
+
 def test_cuts_are_where_no_entry_reaches_across():
     rng = random.Random(9)
     entries = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(12)]
