@@ -43,8 +43,10 @@ LEAST_CORRELATION = 0.3
 START = (0.9, 0.99)
 #: Strength of the classifier's pull towards zero, in rows.
 DECAY = 0.1
-#: Pairs of voters firing on one row that are looked at together.
-PAIRS_AT_ONCE = 500_000
+#: Voters whose pairs with all others are looked at together, and entries of a dense block of rows by voters.
+VOTERS_AT_ONCE, ENTRIES_AT_ONCE = 2_048, 4_000_000
+#: Bytes that the words of a worker's cache take at most, and what an entry takes besides its text.
+CACHED_BYTES, ENTRY_BYTES = 50_000_000, 200
 #: Bytes of text whose features are counted before the counts leave the worker.
 COUNTED_AT_ONCE = 1_000_000
 WORD = re.compile(r"\w+")
@@ -63,7 +65,7 @@ class Matcher:
     """Finds which of the given features a text holds."""
 
     def __init__(self, known: dict[str, int]):
-        self.known, self.hits = known, BoundedCache(100_000)
+        self.known, self.hits = known, BoundedCache(CACHED_BYTES)
 
     def __call__(self, text: str) -> set[int]:
         found: set[int] = set()
@@ -73,6 +75,7 @@ class Matcher:
             ids = hits.get(word)
             if ids is None:
                 ids = hits[word] = tuple(known[f] for f in features(word) if f in known)
+                hits.weight += ENTRY_BYTES + 4 * len(word)
             if ids:
                 found.update(ids)
         hits.make_room()
@@ -201,16 +204,67 @@ def calibrate(sums: np.ndarray, target: np.ndarray, start: np.ndarray, steps: in
     return best
 
 
-def pair_blocks(after: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each entry with each of the ``after`` entries behind it, about PAIRS_AT_ONCE at a time: (pairs before, left, right)."""
-    ends, start = np.cumsum(after), 0
-    while start < len(after):
-        done = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")))
-        few = after[start:stop]
-        left = np.repeat(np.arange(start, stop), few)
-        yield done, left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(few) - few, few)
-        start = stop
+class Firings:
+    """Which voters fire on which rows, as dense blocks of rows by voters.
+
+    Blocks hold ENTRIES_AT_ONCE entries, so memory does not grow with the
+    hits of a row, and pairs of voters are counted by products of blocks, for
+    VOTERS_AT_ONCE voters against all at a time.
+    """
+
+    def __init__(self, rows: np.ndarray, voters: np.ndarray, n: int, v: int):
+        self.rows, self.voters, self.n, self.v = rows, voters, n, v  # sorted by row
+        self.step = max(1, ENTRIES_AT_ONCE // max(1, v))
+        self.columns = [(a, min(a + VOTERS_AT_ONCE, v)) for a in range(0, v, VOTERS_AT_ONCE)]
+        self.cached: np.ndarray | None = None
+
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first hit, end of the hits, their rows and voters as zeros and ones)."""
+        for first in range(0, self.n, self.step):
+            i, j = np.searchsorted(self.rows, (first, first + self.step))
+            if i < j:
+                dense = np.zeros((min(self.step, self.n - first), self.v), dtype=np.float32)
+                dense[self.rows[i:j] - first, self.voters[i:j]] = 1
+                yield int(i), int(j), dense
+
+    def together(self, a: int, b: int) -> np.ndarray:
+        """Rows on which each voter and each of the voters a to b - 1 both fire."""
+        if self.cached is not None:
+            return self.cached
+        found = np.zeros((self.v, b - a), dtype=np.float32)  # whole numbers up to 2 ** 24 are exact
+        for _, _, dense in self.blocks():
+            found += dense.T @ dense[:, a:b]
+        if len(self.columns) == 1:
+            self.cached = found
+        return found
+
+    def crowd(self, near: np.ndarray, a: int, b: int, out: np.ndarray) -> None:
+        """Puts for each hit of a voter a to b - 1 the sum of ``near`` over the voters that fire on its row."""
+        for i, j, dense in self.blocks():
+            own = np.flatnonzero((self.voters[i:j] >= a) & (self.voters[i:j] < b)) + i
+            out[own] = (dense @ near)[self.rows[own] - self.rows[i] // self.step * self.step, self.voters[own] - a]
+
+
+class Correlations:
+    """Correlation of each pair of voters that fire on a common row, by (lower, higher) number."""
+
+    def __init__(self, v: int):
+        self.v, self.codes, self.values = v, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
+
+    def add(self, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> None:
+        codes = np.concatenate((self.codes, a * self.v + b))
+        order = np.argsort(codes)
+        self.codes, self.values = codes[order], np.concatenate((self.values, values.astype(np.float32)))[order]
+
+    def __getitem__(self, pair: tuple[int, int]) -> float:
+        code = pair[0] * self.v + pair[1]
+        at = int(np.searchsorted(self.codes, code))
+        if at == len(self.codes) or self.codes[at] != code:
+            raise KeyError(pair)
+        return float(self.values[at])
+
+    def __len__(self) -> int:
+        return len(self.codes)
 
 
 def label_model(rows: np.ndarray, voters: np.ndarray, sides: np.ndarray, labels: np.ndarray, rounds: int = 50) -> dict:
@@ -227,21 +281,11 @@ def label_model(rows: np.ndarray, voters: np.ndarray, sides: np.ndarray, labels:
     """
     n, v = len(labels), len(sides)
     if not n:
-        return {"posterior": np.zeros(0), "accuracy": np.full(v, 0.5), "correlation": {}, "weight": np.ones(v), "annotator": START}
+        return {"posterior": np.zeros(0), "accuracy": np.full(v, 0.5), "correlation": Correlations(v), "weight": np.ones(v), "annotator": START}
     mine_of = np.bincount(voters, minlength=v)
-    # Pairs of voters that fire on the same row; no other pair can be positively correlated.
     order = np.lexsort((voters, rows))
     by_row, by_voter = rows[order], voters[order]
-    size = np.bincount(by_row, minlength=n)
-    after = np.cumsum(size)[by_row] - np.arange(len(by_row)) - 1
-    codes = np.zeros(0, dtype=np.int64)
-    for _, left, right in pair_blocks(after):
-        codes = np.union1d(codes, by_voter[left] * v + by_voter[right])
-    pair = np.empty(int(after.sum()), dtype=np.int32)
-    for at, left, right in pair_blocks(after):
-        pair[at : at + len(left)] = np.searchsorted(codes, by_voter[left] * v + by_voter[right])
-    a, b = codes // max(v, 1), codes % max(v, 1)
-    together = np.bincount(pair, minlength=len(codes))
+    fire = Firings(by_row, by_voter, n, v)
     prior = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     post = np.where(labels == 1, *(prior * a / (prior * a + (1 - prior) * b) for a, b in ((START[0], 1 - START[1]), (1 - START[0], START[1]))))
     scale_of = np.array([1.0, math.log(prior / (1 - prior))])
@@ -251,19 +295,21 @@ def label_model(rows: np.ndarray, voters: np.ndarray, sides: np.ndarray, labels:
         right_of = np.where(sides == 1, fired, mine_of - fired)
         accuracy = np.clip((right_of + 1) / (mine_of + 2), 0.02, 0.98)
         means = (fired / share[0], (mine_of - fired) / share[1])
-        # A row counts once over both classes, whatever its posterior.
-        spread = together.astype(float)
-        alone = np.zeros(v)
-        for s, m in zip(share, means, strict=True):
-            spread -= s * m[a] * m[b]
-            alone += s * (m - m * m)
-        scale = np.sqrt(np.maximum(alone, 1e-9))
-        correlation = np.clip(spread / (scale[a] * scale[b]), -1, 1)
-        near = np.where(correlation >= LEAST_CORRELATION, correlation, 0)
-        crowd = np.zeros(len(by_row))
-        for at, left, right in pair_blocks(after):
-            held = near[pair[at : at + len(left)]]
-            crowd += np.bincount(left, held, minlength=len(by_row)) + np.bincount(right, held, minlength=len(by_row))
+        scale = np.sqrt(np.maximum(sum(s * (m - m * m) for s, m in zip(share, means, strict=True)), 1e-9))
+        crowd, correlation = np.zeros(len(by_row)), Correlations(v)
+        for a, b in fire.columns:
+            # Only voters that fire on a common row can be positively correlated; a row counts once over both classes.
+            both = fire.together(a, b)
+            near = both.astype(float)
+            for s, m in zip(share, means, strict=True):
+                near -= np.outer(s * m, m[a:b])
+            near = np.clip(near / np.outer(scale, scale[a:b]), -1, 1)
+            held = both > 0
+            held[np.arange(a, b), np.arange(b - a)] = False
+            close = held & (near >= LEAST_CORRELATION)
+            left, right = np.nonzero(np.triu(held if len(fire.columns) == 1 else close, 1 - a))
+            correlation.add(left, right + a, near[left, right])
+            fire.crowd(np.where(close, near, 0).astype(np.float32), a, b, crowd)
         weight = 1 / (1 + crowd)
         # A voter's word is evidence beyond the prior: its accuracy against the share of its side.
         base = np.where(sides == 1, prior, 1 - prior)
@@ -282,7 +328,7 @@ def label_model(rows: np.ndarray, voters: np.ndarray, sides: np.ndarray, labels:
         post = new
         if done:
             break
-    return {"posterior": post, "accuracy": accuracy, "correlation": {(int(x), int(y)): float(c) for x, y, c in zip(a, b, correlation, strict=True)}, "weight": np.bincount(by_voter, weight, minlength=v) / np.maximum(1, mine_of), "annotator": (finds, clears)}
+    return {"posterior": post, "accuracy": accuracy, "correlation": correlation, "weight": np.bincount(by_voter, weight, minlength=v) / np.maximum(1, mine_of), "annotator": (finds, clears)}
 
 
 def _flat(hits: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

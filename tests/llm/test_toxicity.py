@@ -135,6 +135,29 @@ def test_label_model_equals_plain_loops():
     assert np.allclose(model["posterior"], post, atol=1e-5) and np.allclose(model["accuracy"], accuracy, atol=1e-5) and np.allclose(model["annotator"], annotator, atol=1e-5)
 
 
+def test_label_model_in_blocks_is_the_same(monkeypatch):
+    _, labels, votes, sides = noisy_votes(300, 3)
+    whole = toxicity.label_model(*fired(votes), sides, labels)
+    monkeypatch.setattr(toxicity, "VOTERS_AT_ONCE", 2)
+    monkeypatch.setattr(toxicity, "ENTRIES_AT_ONCE", 35)
+    model = toxicity.label_model(*fired(votes), sides, labels)
+    assert np.allclose(model["posterior"], whole["posterior"], atol=1e-6) and np.allclose(model["weight"], whole["weight"], atol=1e-6)
+    assert abs(model["correlation"][0, 1] - whole["correlation"][0, 1]) < 1e-6 and len(whole["correlation"]) > len(model["correlation"])
+
+
+def test_many_hits_a_row_stay_in_bounds():
+    """150 of 3,000 voters on each of 6,000 rows: 67 million pairs, none of them held."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    rows, voters = np.repeat(np.arange(6_000), 150), np.concatenate([rng.choice(3_000, 150, replace=False) for _ in range(6_000)])
+    tracemalloc.start()
+    toxicity.label_model(rows, voters, np.ones(3_000, dtype=int), (rng.random(6_000) < 0.2).astype(int), rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+
+
 def test_posteriors_teach_better_than_noisy_labels():
     """Ablation: the classifier on posteriors against the same one on the labels as they are."""
     rng = np.random.default_rng(5)
