@@ -17,9 +17,10 @@ the merged one would make with a neighbour ranks before it, nothing can come
 in between.
 
 Memory is bounded by the slice, by the rows given to one query, and by the
-bytes in the caches of words and runs; only a word without any cut is taken
-whole, at about WORD_ROW_BYTES for each of its bytes.  DuckDB never writes to
-a disk.
+bytes in the caches of words and runs.  DuckDB never writes to a disk, so a
+part without any cut that has more bytes than MOST_QUERIED would not fit its
+memory: it runs to the same fixpoint step by step over arrays, which hold only
+the live symbols, at about 40 bytes for each byte of the part.
 """
 
 from __future__ import annotations
@@ -46,7 +47,9 @@ LONG = 32
 BEYOND_LATIN = re.compile(r"[^\t-\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
 #: Token-position rows held by one recursive query, of words alike in length.
 ROWS_AT_ONCE = 600_000
-WORD_ROW_BYTES = 200
+#: Bytes of an uncut part that a query takes at most, and symbols that are looked up together beyond that.
+MOST_QUERIED, SYMBOLS_AT_ONCE = 500_000, 1_000_000
+NO_RANK = np.iinfo(np.int32).max
 
 #: One pair of each word a step; every step's rows stay until the end, half a word's length squared for each word.
 CONTRACT = """
@@ -139,6 +142,8 @@ class Codec:
         safe = np.ones(size, dtype=bool)
         safe[[part for a, b, r in pairs for part in (a, b) if r < part]] = False
         self.cuts = Vocabulary([np.frombuffer(x, dtype=np.uint8) for x in self.ranks])
+        table = sorted((a << 32 | b, r) for a, b, r in pairs)
+        self.pair_keys, self.pair_ranks = (np.array(x) for x in zip(*table, strict=True))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": "", "preserve_insertion_order": False})
         self._load("merges", ab=[a << 32 | b for a, b, _ in pairs], rank=pa.array([r for _, _, r in pairs], pa.int32()), safe=safe[[r for _, _, r in pairs]])
         self._load("vocabulary", id=list(self.ranks.values()), bytes_hex=[x.hex() for x in self.ranks])
@@ -167,8 +172,8 @@ class Codec:
 
     def contract(self, raw: list[bytes]) -> list[bytes]:
         """The ids of each of the words, contracted in batches of words alike in length."""
-        out: list[bytes] = [b""] * len(raw)
-        order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
+        out: list[bytes] = [self.contract_alone(x) if len(x) > MOST_QUERIED else b"" for x in raw]
+        order = sorted((i for i in range(len(raw)) if len(raw[i]) <= MOST_QUERIED), key=lambda i: len(raw[i]))
         for query, group in ((CONTRACT, [i for i in order if len(raw[i]) <= LONG]), (CONTRACT_LONG, [i for i in order if len(raw[i]) > LONG])):
             start = rows = 0
             for k, i in enumerate(group):
@@ -196,6 +201,44 @@ class Codec:
             out[i] = flat[begin:end]
             begin = end
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, NO_RANK where none merges."""
+        out = np.empty(len(left), dtype=np.int32)
+        for a in range(0, len(left), SYMBOLS_AT_ONCE):
+            want = left[a : a + SYMBOLS_AT_ONCE].astype(np.int64) << 32 | right[a : a + SYMBOLS_AT_ONCE]
+            at = np.minimum(np.searchsorted(self.pair_keys, want), len(self.pair_keys) - 1)
+            out[a : a + SYMBOLS_AT_ONCE] = np.where(self.pair_keys[at] == want, self.pair_ranks[at], NO_RANK)
+        return out
+
+    def contract_alone(self, raw: bytes) -> bytes:
+        """The ids of one very long word: every step contracts its pairs of least rank, from the left.
+
+        Up to the first of them whose new token would make an earlier rank with
+        a neighbour, that one included, they contract in one step.
+        """
+        s = self.byte_ids[np.frombuffer(raw, dtype=np.uint8)]
+        ranks = self.ranks_of(s[:-1], s[1:])
+        while len(ranks) and (low := int(ranks.min())) != NO_RANK:
+            hit = np.flatnonzero(ranks == low)
+            fresh = np.concatenate(([True], np.diff(hit) > 1))  # else it shares a symbol with the one before
+            place = np.arange(len(hit)) - np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
+            hit = hit[place % 2 == 0]
+            new = np.full(len(hit), low, dtype=np.int32)
+            before, after = s[np.maximum(hit - 1, 0)], s[np.minimum(hit + 2, len(s) - 1)]
+            early = ((self.ranks_of(before, new) < low) & (hit > 0)) | ((self.ranks_of(new, after) < low) & (hit + 2 < len(s)))
+            if self.ranks_of(new[:1], new[:1])[0] < low:
+                early[:] = True
+            hit = hit[: int(early.argmax()) + 1] if early.any() else hit
+            s[hit] = low
+            keep = np.ones(len(s), dtype=bool)
+            keep[hit + 1] = False
+            s = s[keep]
+            ranks = np.delete(ranks, np.minimum(hit + 1, len(ranks) - 1)) if len(s) > 1 else ranks[:0]
+            hit = hit - np.arange(len(hit))
+            near = np.unique(np.concatenate((hit[hit > 0] - 1, hit[hit + 1 < len(s)])))
+            ranks[near] = self.ranks_of(s[near], s[near + 1])
+        return s.astype("<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [(self.pattern if BEYOND_LATIN.search(t) else self.latin).findall(t) for t in texts]

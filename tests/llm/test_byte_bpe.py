@@ -36,6 +36,21 @@ def test_long_words_of_many_kinds(codec, library):
     same(codec, library, [words, han, draw("abcdeth", 30_000), draw(["the", "and", "ing", "er"], 20_000), "ab" * 50_000, "=" * 70_001, "a" * 200_000])
 
 
+def test_words_too_long_for_a_query(codec, library, monkeypatch):
+    """The array form of the recursion, on all words of over 33 bytes and on one of 16 MB."""
+    whole = "a" * 16_000_000
+    same(codec, library, [whole[:1_000_001]])
+    ids = np.frombuffer(codec.encode([whole])[0], dtype="<u4")
+    some = np.frombuffer(codec.encode([whole[:1_600_000]])[0], dtype="<u4")
+    assert np.array_equal(ids[: len(some) // 2], some[: len(some) // 2]) and codec.decode([ids.tobytes()]) == [whole.encode()]
+    monkeypatch.setattr(byte_bpe, "MOST_QUERIED", byte_bpe.LONG)
+    rng = random.Random(18)
+    draw = lambda parts, n: "".join(rng.choice(parts) for _ in range(n))
+    codec.words.clear()
+    for parts in ("ab", "abcdeth", ["the", "and", "ing", "er"], "=-", "aä", "的一是不了", "eeeea", ["  ", "\n"], "\U0001f600\U0001f601"):
+        same(codec, library, [draw(parts, rng.randrange(40, 3_000)) for _ in range(40)])
+
+
 def test_random_texts(codec, library):
     rng = random.Random(1)
     letters = " \n'sab<|endoftext|>thé\u0000中\U0001f600\r\te 0x19²ſ\x1c\xa0"
