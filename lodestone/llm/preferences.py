@@ -73,13 +73,15 @@ def other_replies(turns: DataFrame) -> DataFrame:
 
     The last reply is the assistant's turn of the highest number (of equal
     numbers the greatest text; repeated rows all change).  The other one is
-    that of the conversation with the next number, or empty if there is none.
+    that of the conversation with the next number, or empty if there is none
+    (as for ids that are no whole numbers).
     A conversation without a reply, or whose neighbour ends alike, is all
     prompt.  Rows with a null conv_id are left out.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     last = rows.filter(F.col("role") == LEARNED_ROLE).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("own"))
-    next_one = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("own.text").alias("other"))
+    own_id = F.col("conv_id")
+    next_one = last.select((own_id.try_cast("decimal(38,0)") - 1).try_cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("own.text").alias("other"))
     swap = last.join(next_one, "conv_id", "left").select("conv_id", "own", F.coalesce("other", F.lit("")).alias("other"))
     is_last = (F.col("role") == LEARNED_ROLE) & F.col("turn").eqNullSafe(F.col("own.turn")) & (F.col("text") == F.col("own.text"))
     rejected = rows.join(swap, "conv_id", "left").withColumn("text", F.when(is_last, F.col("other")).otherwise(F.col("text"))).select(*rows.columns)
