@@ -64,8 +64,8 @@ def test_most_prompts_of_the_query_are_not_empty(spark):
 
 def test_ids_of_other_types(spark):
     turns = [("a", 1, "user", "q"), ("a", 2, "assistant", "r"), ("7", 1, "assistant", "x"), ("8", 1, "assistant", "y")]
-    got = {r.pair_id: (r.chosen, r.rejected) for r in preferences.other_replies(spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")).collect()}
+    got = {r.pair_id: (r.chosen, r.rejected) for r in other_replies(spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")).collect()}
     shown = lambda t: f"<|assistant|>\n{t}<|end|>\n"
     assert got == {"a": (shown("r"), shown("")), "7": (shown("x"), shown("y")), "8": (shown("y"), shown(""))}
     least = spark.createDataFrame([(-(2**63), 1, "assistant", "x")], "conv_id long, turn long, role string, text string")
-    assert preferences.other_replies(least).first().rejected == shown("")
+    assert other_replies(least).first().rejected == shown("")
