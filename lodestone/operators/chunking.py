@@ -25,14 +25,14 @@ def overlap(size: int) -> int:
     return min(120, max(40, size // 8))
 
 
-def split_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 800) -> DataFrame:
-    """doc_id, sequence, chunk_id, clean_text, context_text, chapter."""
+def split_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 800, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, sequence, chunk_id, clean_text, context_text, chapter, and the document's columns to ``keep``."""
     if size < 1:
         raise ValueError("size must be positive")
     # The chunk before is its neighbour in the array, so no window and no shuffle is needed.
-    parts = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col), size).alias("parts"))
+    parts = docs.select(F.col(id_col).alias("doc_id"), *keep, pieces(F.col(text_col), size).alias("parts"))
     before = F.expr("if(size(parts) > 0, concat(array(cast(null as string)), slice(parts, 1, size(parts) - 1)), cast(array() as array<string>))")
-    rows = parts.select("doc_id", F.posexplode(F.arrays_zip(F.col("parts").alias("clean_text"), before.alias("before"))).alias("sequence", "p"))
+    rows = parts.select("doc_id", *keep, F.posexplode(F.arrays_zip(F.col("parts").alias("clean_text"), before.alias("before"))).alias("sequence", "p"))
     return rows.select(
         "doc_id",
         "sequence",
@@ -40,6 +40,7 @@ def split_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("p.clean_text").alias("clean_text"),
         F.when(F.col("p.before").isNotNull(), F.concat(F.expr(f"right(p.before, {overlap(size)})"), F.lit("\n"), "p.clean_text")).otherwise(F.col("p.clean_text")).alias("context_text"),
         chapter_guess(F.col("p.clean_text")).alias("chapter"),
+        *keep,
     )
 
 
