@@ -117,9 +117,7 @@ class Engine:
         found = self.index.table("concepts")
         if found is None:
             return rows.select("doc_id", "chapter", F.array().cast("array<string>").alias("concepts")).distinct()
-        seen = rows.join(found, "chunk_id", "left").groupBy("doc_id", "chapter", "concept").agg(F.min(F.struct("sequence", "place")).alias("at"))
-        tree = seen.groupBy("doc_id", "chapter").agg(F.array_sort(F.collect_list(F.when(F.col("concept").isNotNull(), F.struct("at", "concept")))).alias("c"))
-        return tree.select("doc_id", "chapter", F.col("c.concept").alias("concepts"))
+        return graph.document_tree(rows, found)
 
     def reset(self, backup: bool = True) -> str | None:
         return self.index.reset(backup)

@@ -14,8 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: White space as Python's str methods and patterns see it, for Java patterns with (?U).
+#: White space as Python's str methods and patterns see it, for Java patterns with (?U), and its characters.
 SPACE = r"\s\x1c-\x1f"
+SPACES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Han ranges of the lexical index, of concepts and queries.
 HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}\x{30000}-\x{323af}"
 HAN_BASIC = r"\x{4e00}-\x{9fff}"
@@ -38,7 +39,7 @@ def nfkc(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, f"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def folded(text: Column) -> Column:

@@ -57,6 +57,30 @@ def summarize(queries: DataFrame, runs: DataFrame, rankings: DataFrame, relevanc
     )
 
 
+def latencies(rows: DataFrame, by: str, seconds: str) -> DataFrame:
+    """by, p50, p95, median and n of each group's durations, by linear interpolation."""
+    return rows.groupBy(by).agg(F.percentile(seconds, 0.5).alias("p50"), F.percentile(seconds, 0.95).alias("p95"), F.median(seconds).alias("median"), F.count(F.lit(1)).alias("n"))
+
+
+def output_means(runs: DataFrame) -> DataFrame:
+    """One row: the means of returned_chunks, returned_context_characters and, if there is such a column, returned_context_tokens.
+
+    All runs count, failed ones with what they returned (null: nothing); a
+    missing or wholly null token column gives a null mean.
+    """
+    zero = lambda c: F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    tokens = F.when(F.count("returned_context_tokens") > 0, zero("returned_context_tokens")) if "returned_context_tokens" in runs.columns else F.lit(None).cast("double")
+    return runs.agg(zero("returned_chunks").alias("mean_returned_chunks"), zero("returned_context_characters").alias("mean_returned_context_characters"), tokens.alias("mean_returned_context_tokens"))
+
+
+def returned_sizes(ranked: DataFrame, contexts: DataFrame, count_tokens=None) -> DataFrame:
+    """query_id, returned_chunks, returned_context_characters (and returned_context_tokens, by a function of a text column) of every context."""
+    chunks = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned_chunks"))
+    rows = contexts.join(chunks, "query_id", "left")
+    tokens = [count_tokens(F.col("context")).alias("returned_context_tokens")] if count_tokens else []
+    return rows.select("query_id", F.coalesce("returned_chunks", F.lit(0)).alias("returned_chunks"), F.coalesce(F.length("context"), F.lit(0)).alias("returned_context_characters"), *tokens)
+
+
 def stage_medians(stages: DataFrame) -> DataFrame:
     return stages.groupBy("stage").agg(F.median("seconds").alias("median_seconds"))
 
@@ -106,6 +130,15 @@ def evidence_ranks(texts: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("points"), F.count("rank").alias("found"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
+def leaking_documents(queries: DataFrame, relevance: DataFrame) -> DataFrame:
+    """doc_id of documents that are positive for queries of both splits.
+
+    queries: query_id, split (dev or test); relevance: query_id, doc_id, grade.
+    """
+    side = relevance.filter("grade > 0").join(queries.select("query_id", "split"), "query_id")
+    return side.filter("split in ('dev', 'test')").groupBy("doc_id").agg(F.countDistinct("split").alias("n")).filter("n = 2").select("doc_id")
+
+
 def dataset_violations(documents: DataFrame, queries: DataFrame, relevance: DataFrame, labels_required: bool = True) -> DataFrame:
     """rule, id of everything wrong with an evaluation dataset.
 

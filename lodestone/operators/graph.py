@@ -76,3 +76,10 @@ def concept_hits(queries: DataFrame, concepts: DataFrame, edges: DataFrame, id_c
     related = related_terms(question_terms(queries), edges)
     matched = touching(related, concepts.select("concept").distinct())
     return matched.join(concepts.select(id_col, "concept").distinct(), "concept").groupBy("query_id", id_col).agg(F.count(F.lit(1)).alias("hits"))
+
+
+def document_tree(chunks: DataFrame, concepts: DataFrame) -> DataFrame:
+    """doc_id, chapter and its distinct concepts in order of appearance; chapters without any have an empty list."""
+    seen = chunks.join(concepts.select("chunk_id", "concept", "place"), "chunk_id", "left").groupBy("doc_id", "chapter", "concept").agg(F.min(F.struct("sequence", "place")).alias("at"))
+    tree = seen.groupBy("doc_id", "chapter").agg(F.array_sort(F.collect_list(F.when(F.col("concept").isNotNull(), F.struct("at", "concept")))).alias("c"))
+    return tree.select("doc_id", "chapter", F.col("c.concept").alias("concepts"))

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import embedding, text
-from lodestone.operators import assemble, chunking, dense, evaluate, fusion, graph, lexical, links, profiles, structure, topics
+from lodestone.operators import assemble, chunking, containment, dense, evaluate, fusion, graph, intervals, lexical, links, profiles, scopes, structure, topics
 from lodestone.sources.scratch import broadcast_if_small, saved, spread
 
 CHUNK_SIZE = 800
+#: Characters of the grams by which whole passages are looked up in documents.
+JUDGING_GRAM = 16
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -65,17 +67,13 @@ def lexical_terms_tf(spark, d):
     return lexical.postings(docs(spark, d), "doc_id", "text").select("doc_id", "term", "tf", "dl")
 
 
-HAN_SAMPLES = (
-    (1, "营业收入增长 revenue_2024 增长，A-1 中"),
-    (2, "第3条 见section 2.1；收入增长收入"),
-    (3, "___ -- _a_ 数据"),
-    (4, ""),
-)
+#: Latin letters and the Han characters that stand for them, so that the tables' texts mix both scripts.
+LATIN, HAN = "etanirso", "营业收入增长数据"
 
 
 def lexical_terms_han(spark, d):
-    rows = spark.createDataFrame(HAN_SAMPLES, "id long, text string")
-    return rows.select("id", F.posexplode(text.lexical_terms(F.col("text"))).alias("place", "term"))
+    rows = docs(spark, d).select("doc_id", F.translate("text", LATIN, HAN).alias("text"))
+    return lexical.postings(rows, "doc_id", "text").select("doc_id", "term", "tf", "dl")
 
 
 def term_encoding(spark, d):
@@ -183,12 +181,10 @@ def keyword_score(spark, d):
     return profiles.keyword_scores(questions(spark, d), chunks(spark, d)).select("query_id", "chunk_id", r6("score").alias("score"))
 
 
-NUMBER_QUESTIONS = ((1, "what about 2, and 24?"), (2, "no number here"), (3, "share of 10.5% in 1,234 cases"), (4, "192.168"))
-
-
 def exact_number_guard(spark, d):
-    asked = spark.createDataFrame(NUMBER_QUESTIONS, "query_id long, question string")
-    return profiles.exact_scores(asked, chunks(spark, d))
+    """Every document whose opening holds a digit asks for the chunks with all numbers of its opening."""
+    opening = docs(spark, d).select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 300).alias("question"))
+    return profiles.exact_scores(opening.filter(F.col("question").rlike("[0-9]")), chunks(spark, d))
 
 
 def bridge_neighbours(spark, d):
@@ -197,12 +193,12 @@ def bridge_neighbours(spark, d):
     return profiles.bridge(scores, rows, 6).select("query_id", "chunk_id", r6("score").alias("score"))
 
 
-LIMIT_QUESTIONS = (("分别比较原因？条件？", 6), ("收入是多少", 6), ("步骤和影响；以及？", 4), ("", 6), ("a? b? c? d? e?", 10), ("原因", 2))
-
-
 def dynamic_limit(spark, d):
-    rows = spark.createDataFrame(LIMIT_QUESTIONS, "question string, budget int")
-    return rows.select("question", "budget", text.selection_limit(F.col("question"), F.col("budget")).cast("long").alias("most"))
+    """Every text as a question, with marks of complexity put where it has commas and colons."""
+    asked = F.translate("text", ",:", "；?")
+    asked = F.when(F.col("doc_id") % 3 == 0, F.concat(asked, F.lit("分别比较"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("原因"), asked)).otherwise(asked)
+    rows = docs(spark, d).select("doc_id", (F.col("doc_id") % 7 + 1).cast("int").alias("budget"), asked.alias("question"))
+    return rows.select("doc_id", "budget", text.selection_limit(F.col("question"), F.col("budget")).cast("long").alias("most"))
 
 
 def _profile(name):
@@ -284,22 +280,16 @@ def _intervals(spark, d):
 
 
 def interval_merge(spark, d):
-    order = Window.partitionBy("doc_id").orderBy("start", "stop", "n")
-    rows = _intervals(spark, d).withColumn("reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("island", F.sum(F.expr("if(reach is null or start >= reach, 1, 0)")).over(order))
-    return rows.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("members")).drop("island")
+    return intervals.merged(_intervals(spark, d), ["doc_id"], "start", "stop")
 
 
 def offset_to_chunk(spark, d):
     """The chunk that holds the middle of each of a document's lines, as an as-of join."""
-    starts = Window.partitionBy("doc_id").orderBy("place", "kind")
-    spans = chunks(spark, d).select("doc_id", (F.col("sequence") * CHUNK_SIZE).cast("long").alias("place"), F.lit(0).alias("kind"), "chunk_id")
+    spans = chunks(spark, d).select("doc_id", (F.col("sequence") * CHUNK_SIZE).cast("long").alias("begins"), F.col("chunk_id").alias("owner"))
     lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
     ends = F.sum(F.length("said") + 1).over(Window.partitionBy("doc_id").orderBy("line"))
-    probes = lines.withColumn("place", (ends - F.length("said") / 2).cast("long"))
-    both = spans.select("*", F.lit(None).cast("int").alias("line")).unionByName(probes.select("doc_id", "place", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("chunk_id"), "line"))
-    held = both.withColumn("owner", F.last("chunk_id", True).over(starts)).filter("kind = 1")
-    return held.select("doc_id", "line", "place", "owner")
+    probes = lines.select("doc_id", "line", (ends - F.length("said") / 2).cast("long").alias("place"))
+    return intervals.as_of(probes, spans, ["doc_id"], "place", "begins", ["owner"])
 
 
 def assemble_context(spark, d):
@@ -321,8 +311,9 @@ def _judged(spark, d):
     rows = chunks(spark, d)
     top = saved(_lexical(asked, rows).join(rows.select("chunk_id", "doc_id"), "chunk_id"), "judged")
     rankings = top.select("query_id", "doc_id", F.col("lexical_rank").alias("rank"))
-    holds = docs(spark, d).join(broadcast_if_small(asked), F.col("text").contains(F.col("question")))
-    return asked, rankings, saved(holds.select("query_id", "doc_id", F.lit(1).alias("grade")), "grades")
+    held = containment.holding(asked.select(F.col("question").alias("term")), docs(spark, d), ["doc_id"], "text", JUDGING_GRAM)
+    grades = held.join(broadcast_if_small(asked), F.col("term") == F.col("question")).select("query_id", "doc_id", F.lit(1).alias("grade"))
+    return asked, rankings, saved(grades, "grades")
 
 
 def ranking_metrics(spark, d):
@@ -338,8 +329,22 @@ def summary_metrics(spark, d):
 
 
 def latency_percentiles(spark, d):
-    rows = table(spark, d, "events")
-    return rows.groupBy("event_type").agg(r6(F.percentile("value", 0.5)).alias("p50"), r6(F.percentile("value", 0.95)).alias("p95"), r6(F.median("value")).alias("median"), F.count(F.lit(1)).alias("n"))
+    found = evaluate.latencies(table(spark, d, "events"), "event_type", "value")
+    return found.select("event_type", r6("p50").alias("p50"), r6("p95").alias("p95"), r6("median").alias("median"), "n")
+
+
+def output_means(spark, d):
+    """What BM25's six best passages a question come to, rendered."""
+    asked, rows = questions(spark, d), chunks(spark, d)
+    top = saved(_lexical(asked, rows).filter("lexical_rank <= 6").select("query_id", "chunk_id", F.col("lexical_rank").alias("rank")), "top")
+    sizes = evaluate.returned_sizes(top, profiles.render_context(top, rows), lambda c: F.size(text.lexical_terms(c)))
+    out = evaluate.output_means(asked.select("query_id").join(sizes, "query_id", "left"))
+    return out.select(*(r6(c).alias(c) for c in out.columns))
+
+
+def stage_medians(spark, d):
+    """Types of events as stages, values as their seconds."""
+    return evaluate.stage_medians(table(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))).select("stage", r6("median_seconds").alias("median_seconds"))
 
 
 def coverage_metrics(spark, d):
@@ -385,15 +390,20 @@ def _splits(spark, d):
 
 def split_leakage(spark, d):
     _, queries, relevance = _splits(spark, d)
-    side = relevance.filter("grade > 0").join(queries.select(F.col("id").alias("query_id"), "split"), "query_id")
-    return side.filter("split = 'dev'").select("doc_id").intersect(side.filter("split = 'test'").select("doc_id"))
+    return evaluate.leaking_documents(queries.withColumnRenamed("id", "query_id"), relevance)
 
 
 def validate_dataset(spark, d):
     return evaluate.dataset_violations(*_splits(spark, d)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
 
 
-SCOPES = ((1, "src1"), (2, "name-7"), (3, "same"), (4, "nothing"), (5, None), (6, "src"), (7, "src2"))
+def _scopes(spark, d):
+    """A scope a document: its source, a name that one or several sources share, a path, parts of those, none, or nothing known."""
+    n = F.regexp_extract("source", "([0-9]+)", 1)
+    kind = F.col("doc_id") % 8
+    scope = F.when(kind == 0, F.col("source")).when(kind == 1, F.concat(F.lit("name-"), n)).when(kind == 2, F.lit("same")).when(kind == 3, F.concat(F.lit("/data/"), "source"))
+    scope = scope.when(kind == 4, F.lit("src")).when(kind == 5, F.concat(F.lit("nothing "), n)).when(kind == 6, F.concat(F.lit("ta/src"), n))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), scope.alias("scope"))
 
 
 def _catalogue(spark, d):
@@ -404,30 +414,18 @@ def _catalogue(spark, d):
 
 def scope_resolution(spark, d):
     """An exact id first, else one exact name or path; the outcome as a word."""
-    asked = spark.createDataFrame(SCOPES, "query_id long, scope string")
-    known = _catalogue(spark, d)
-    hits = asked.join(known, (F.col("scope") == F.col("doc_id")) | (F.col("scope") == F.col("name")) | (F.col("scope") == F.col("path")))
-    best = hits.groupBy("query_id").agg(F.max(F.when(F.col("scope") == F.col("doc_id"), F.col("doc_id"))).alias("exact"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
-    out = asked.join(best, "query_id", "left").withColumn("doc_id", F.coalesce("exact", F.when(F.col("n") == 1, F.col("least"))))
-    out = out.join(known.select("doc_id", "state"), "doc_id", "left")
-    word = F.when(F.col("scope").isNull(), "all").when(F.col("n").isNull(), "unknown").when(F.col("doc_id").isNull(), "ambiguous").when(F.col("state") != "complete", "incomplete").otherwise("ok")
-    return out.select("query_id", "doc_id", word.alias("outcome"))
+    return scopes.resolve(_scopes(spark, d), _catalogue(spark, d)).select("query_id", "doc_id", "outcome")
 
 
 def scope_legacy(spark, d):
     """The first document whose id equals the scope or whose id, name and path hold it; else the scope itself."""
-    asked = spark.createDataFrame(SCOPES, "query_id long, scope string")
-    said = F.concat_ws(" ", "doc_id", "name", "path")
-    hits = broadcast_if_small(asked.filter("scope <> ''")).join(_catalogue(spark, d), said.contains(F.col("scope")))
-    return asked.join(hits.groupBy("query_id").agg(F.min("doc_id").alias("hit")), "query_id", "left").select("query_id", F.coalesce("hit", "scope").alias("resolved"))
+    return scopes.resolve_loosely(_scopes(spark, d), _catalogue(spark, d)).select("query_id", "resolved")
 
 
 def document_tree(spark, d):
     whole = chunks(spark, d)
-    rows = whole.join(_concepts(whole), "chunk_id")
-    first = rows.groupBy("doc_id", "chapter", "concept").agg(F.min(F.struct("sequence", "place")).alias("at"))
-    tree = first.groupBy("doc_id", "chapter").agg(F.array_sort(F.collect_list(F.struct("at", "concept"))).alias("c"))
-    return tree.select("doc_id", "chapter", F.array_join("c.concept", ",").alias("concepts"))
+    tree = graph.document_tree(whole, _concepts(whole)).filter("size(concepts) > 0")
+    return tree.select("doc_id", "chapter", F.array_join("concepts", ",").alias("concepts"))
 
 
 def incremental_ingest(spark, d):
@@ -454,7 +452,7 @@ QUERIES = {
         deterministic_embedding, dense_topk, bm25_topk, bm25_scoped, candidate_trace, candidate_counts, rrf_fusion, rerank, extract_concepts, concept_edges,
         concept_graph_expand, keyword_score, exact_number_guard, bridge_neighbours, dynamic_limit, *(_profile(p) for p in profiles.PROFILES), topic_clusters, topic_centroids,
         legacy_context, structure_chunks, structure_links, adjacent_links, reference_resolution, interval_merge, offset_to_chunk, assemble_context, ranking_metrics,
-        summary_metrics, latency_percentiles, coverage_metrics, evidence_recall, dedupe_sources, complete_groups, split_leakage, validate_dataset, scope_resolution,
+        summary_metrics, latency_percentiles, output_means, stage_medians, coverage_metrics, evidence_recall, dedupe_sources, complete_groups, split_leakage, validate_dataset, scope_resolution,
         scope_legacy, document_tree, incremental_ingest,
     )
 }

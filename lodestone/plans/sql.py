@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.plans.catalogue import HAN_SAMPLES, LIMIT_QUESTIONS, NUMBER_QUESTIONS, SCOPES
+from lodestone.functions.text import SPACES
+from lodestone.plans.catalogue import HAN, LATIN
 
+#: White space as Python's str methods see it, at either end.
+TRIM = f"trim({{}}, {' || '.join(f'chr({ord(c)})' for c in SPACES)})"
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
-def _values(rows) -> str:
-    lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
-
-
 def _chunks(text: str = "text", name: str = "chunks") -> str:
     """CTEs that end in doc_id, sequence, chunk_id, clean_text."""
     return rf"""
@@ -197,6 +195,12 @@ CATALOGUE = """
         FROM (SELECT DISTINCT source AS doc_id, CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) AS n FROM documents)
     )"""
 
+SCOPED = """
+    asked AS (
+        SELECT doc_id AS query_id, CASE doc_id % 8 WHEN 0 THEN source WHEN 1 THEN 'name-' || n WHEN 2 THEN 'same' WHEN 3 THEN '/data/' || source WHEN 4 THEN 'src' WHEN 5 THEN 'nothing ' || n WHEN 6 THEN 'ta/src' || n END AS scope
+        FROM (SELECT doc_id, source, regexp_extract(source, '([0-9]+)', 1) AS n FROM documents)
+    )"""
+
 SPLITS = """
     rows AS (SELECT d.doc_id, text, source, quality FROM documents d JOIN labels USING (doc_id)),
     q AS (SELECT CAST(doc_id AS VARCHAR) AS id, text AS question, CASE WHEN doc_id % 3 = 0 THEN 'test' WHEN doc_id % 11 = 5 THEN 'other' ELSE 'dev' END AS split FROM rows),
@@ -260,14 +264,13 @@ ORACLES: dict[str, str] = {
         SELECT chunk_id, CASE WHEN length(line) BETWEEN 2 AND 30 THEN line ELSE '未分类' END AS chapter FROM l""",
     "normalize_evidence": f"SELECT doc_id, md5({NORMAL.format('text')}) AS normal_md5, length({NORMAL.format('text')}) AS size FROM documents",
     "lexical_terms_tf": f"{_with(_terms('documents', 'doc_id', 'text', 'postings'))} SELECT doc_id, term, tf, CAST(dl AS BIGINT) AS dl FROM postings",
-    "lexical_terms_han": rf"""WITH s(id, text) AS (VALUES {_values(HAN_SAMPLES)}),
-        runs AS (SELECT id, unnest(x) AS run, unnest(range(len(x))) AS i FROM (SELECT id, regexp_extract_all(lower(text), '[\x{{4e00}}-\x{{9fff}}]+|[a-z0-9_-]+') AS x FROM s)),
+    "lexical_terms_han": rf"""WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(lower(translate(text, '{LATIN}', '{HAN}')), '[\x{{4e00}}-\x{{9fff}}]+|[a-z0-9_-]+')) AS run FROM documents),
         terms AS (
-            SELECT id, i, unnest(t) AS term, unnest(range(len(t))) AS j
-            FROM (SELECT id, i, CASE WHEN regexp_matches(run, '^[a-z0-9_-]') THEN CASE WHEN regexp_matches(run, '[a-z0-9]') THEN [run] ELSE [] END
-                         WHEN length(run) = 1 THEN [run] ELSE list_transform(range(1, length(run)), lambda k: substr(run, k, 2)) END AS t FROM runs)
-        )
-        SELECT CAST(id AS BIGINT) AS id, CAST(row_number() OVER (PARTITION BY id ORDER BY i, j) - 1 AS BIGINT) AS place, term FROM terms""",
+            SELECT doc_id, unnest(CASE WHEN regexp_matches(run, '^[a-z0-9_-]') THEN CASE WHEN regexp_matches(run, '[a-z0-9]') THEN [run] ELSE [] END
+                         WHEN length(run) = 1 THEN [run] ELSE list_transform(range(1, length(run)), lambda k: substr(run, k, 2)) END) AS term FROM runs
+        ),
+        counted AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL)
+        SELECT doc_id, term, tf, CAST(sum(tf) OVER (PARTITION BY doc_id) AS BIGINT) AS dl FROM counted""",
     "term_encoding": f"{_with(_terms('documents', 'doc_id', 'text', 'postings'))} SELECT DISTINCT term, 't' || lower(hex(encode(term))) AS encoded FROM postings",
     "match_literals": rf"""SELECT item_id AS query_id, array_to_string(list_transform(t, lambda x: '"t' || lower(hex(encode(x))) || '"'), ' OR ') AS literals
         FROM (SELECT item_id, list_filter(x, lambda v, i: list_position(x, v) = i AND regexp_matches(v, '[a-z0-9]')) AS t
@@ -293,19 +296,26 @@ ORACLES: dict[str, str] = {
     "concept_edges": f"{_with(_chunks(), _concepts('chunks', 'chunk_id', 'clean_text'), EDGES)} SELECT source, target, weight FROM edges",
     "concept_graph_expand": f"{_with(_chunks(), QUESTIONS, _concepts('chunks', 'chunk_id', 'clean_text'), EDGES, QUESTION_TERMS, HITS)} SELECT query_id, chunk_id, hits FROM hits",
     "keyword_score": f"{_with(_chunks(), QUESTIONS, QUESTION_TERMS, KEYWORDS)} SELECT query_id, chunk_id, round(score, 6) AS score FROM keyed",
-    "exact_number_guard": rf"""{_with(_chunks(), f"asked(query_id, question) AS (VALUES {_values(NUMBER_QUESTIONS)})")},
-        tokens AS (SELECT query_id, regexp_extract_all({NORMAL.format('question')}, '\d+(?:\.\d+)?%?') AS t FROM asked),
+    "exact_number_guard": rf"""{_with(_chunks())},
+        asked AS (SELECT doc_id AS query_id, substr(text, 1, 300) AS question FROM documents WHERE regexp_matches(substr(text, 1, 300), '[0-9]')),
+        tokens AS (SELECT query_id, list_distinct(regexp_extract_all({NORMAL.format('question')}, '\d+(?:\.\d+)?%?')) AS t FROM asked),
         normals AS (SELECT chunk_id, {NORMAL.format('clean_text')} AS normal FROM chunks),
-        wanted AS (SELECT query_id, len(t) AS n, unnest(t) AS token FROM tokens)
-        SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, 0.18::DOUBLE AS score FROM wanted JOIN normals ON contains(normal, token) GROUP BY query_id, chunk_id HAVING count(*) = any_value(n)""",
+        numbered AS (SELECT * FROM normals WHERE regexp_matches(normal, '[0-9]')),
+        wanted AS (SELECT query_id, len(t) AS n, unnest(t) AS token FROM tokens),
+        held AS (SELECT token, chunk_id FROM (SELECT DISTINCT token FROM wanted) JOIN numbered ON contains(normal, token))
+        SELECT query_id, chunk_id, 0.18::DOUBLE AS score FROM wanted JOIN held USING (token) GROUP BY query_id, chunk_id HAVING count(*) = any_value(n)""",
     "bridge_neighbours": f"""{LEXICAL}, s AS (SELECT query_id, chunk_id, -bm25 AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(-bm25, 12) DESC, chunk_id) AS pos FROM lex),
         reached AS (
             SELECT query_id, n.chunk_id, score * 0.82::DOUBLE AS score
             FROM s JOIN chunks c USING (chunk_id) JOIN chunks n ON n.doc_id = c.doc_id AND abs(n.sequence - c.sequence) = 1 WHERE pos <= 6
         )
         SELECT query_id, chunk_id, round(max(score), 6) AS score FROM (SELECT query_id, chunk_id, score FROM s UNION ALL SELECT * FROM reached) GROUP BY ALL""",
-    "dynamic_limit": rf"""WITH q(question, budget) AS (VALUES {_values(LIMIT_QUESTIONS)})
-        SELECT question, CAST(budget AS BIGINT) AS budget, CAST(least(budget, 3 + least(3, {' + '.join(f"contains(question, '{m}')::BIGINT" for m in MARKERS)}
+    "dynamic_limit": rf"""WITH q AS (
+            SELECT doc_id, doc_id % 7 + 1 AS budget,
+                   CASE WHEN doc_id % 3 = 1 THEN '原因' ELSE '' END || translate(text, ',:', '；?') || CASE WHEN doc_id % 3 = 0 THEN '分别比较' ELSE '' END AS question
+            FROM documents
+        )
+        SELECT doc_id, budget, CAST(least(budget, 3 + least(3, {' + '.join(f"contains(question, '{m}')::BIGINT" for m in MARKERS)}
                + greatest(0, len(regexp_extract_all(question, '[？?；;]')) - 1))) AS BIGINT) AS most FROM q""",
     "profile_vector": _profile(False, False),
     "profile_vector_keyword": _profile(True, False),
@@ -342,33 +352,40 @@ ORACLES: dict[str, str] = {
                round(count(*) FILTER (WHERE NOT failed) / sum(seconds), 6) AS serial_successful_queries_per_second
         FROM runs LEFT JOIN m5 USING (query_id) LEFT JOIN m10 USING (query_id)""",
     "latency_percentiles": """SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(median(value), 6) AS median, count(*) AS n FROM events GROUP BY event_type""",
+    "output_means": f"""{LEXICAL}, c AS (SELECT *, coalesce(right(lag(clean_text) OVER (PARTITION BY doc_id ORDER BY sequence), 100) || chr(10), '') || clean_text AS context_text FROM chunks),
+        t AS (SELECT query_id, lexical_rank AS rank, chunk_id, '[S' || lexical_rank || '] 文档=' || doc_id || ' 片段=' || chunk_id || chr(10) || context_text AS block FROM lex JOIN c USING (chunk_id) WHERE lexical_rank <= 6),
+        g AS (SELECT query_id, count(*) AS n, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM t GROUP BY query_id),
+        s AS (SELECT coalesce(n, 0) AS n, coalesce(length(context), 0) AS size,
+                     coalesce(len(list_filter(regexp_extract_all(lower(context), '[a-z0-9_-]+'), lambda x: regexp_matches(x, '[a-z0-9]'))) + 2 * n, 0) AS tokens FROM questions LEFT JOIN g USING (query_id))
+        SELECT round(avg(n), 6) AS mean_returned_chunks, round(avg(size), 6) AS mean_returned_context_characters, round(avg(tokens), 6) AS mean_returned_context_tokens FROM s""",
+    "stage_medians": "SELECT event_type AS stage, round(median(value), 6) AS median_seconds FROM events GROUP BY event_type",
     "coverage_metrics": f"{_with(COVERAGE)} SELECT metric, CASE WHEN d > 0 THEN round(x / d, 6) END AS value, CAST(d AS BIGINT) AS denominator, CASE WHEN d > 0 THEN 'available' ELSE 'unavailable' END AS status FROM long",
     "evidence_recall": f"""{LEXICAL}, normals AS (SELECT query_id, lexical_rank AS rank, {NORMAL.format('clean_text')} AS normal FROM lex JOIN chunks USING (chunk_id) WHERE lexical_rank <= 10),
         points AS (SELECT DISTINCT query_id, {NORMAL.format('p')} AS point FROM (SELECT query_id, unnest(string_split(question, '. ')) AS p FROM questions)),
         hit AS (SELECT query_id, point, min(rank) AS rank FROM points JOIN normals USING (query_id) WHERE contains(normal, point) GROUP BY ALL)
         SELECT query_id, count(*) AS points, count(rank) AS found, round(coalesce(1 / min(rank), 0), 6) AS reciprocal_rank FROM points LEFT JOIN hit USING (query_id, point) GROUP BY query_id""",
-    "dedupe_sources": """SELECT min(doc_id) AS first, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS sources, md5(trim(text)) AS text_md5 FROM documents WHERE trim(text) <> '' GROUP BY trim(text)""",
+    "dedupe_sources": f"""SELECT min(doc_id) AS first, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS sources, md5(t) AS text_md5 FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM documents) WHERE t <> '' GROUP BY t""",
     "complete_groups": "SELECT source, count(DISTINCT lang) AS kinds FROM documents GROUP BY source HAVING count(DISTINCT lang) = 4",
     "split_leakage": f"""{_with(SPLITS)} SELECT doc_id FROM r JOIN q ON query_id = id WHERE grade > 0 AND split = 'dev' INTERSECT SELECT doc_id FROM r JOIN q ON query_id = id WHERE grade > 0 AND split = 'test'""",
     "validate_dataset": f"""{_with(SPLITS)}, v AS (
             SELECT 'duplicate document id' AS rule, id FROM dd GROUP BY id HAVING count(*) > 1
-            UNION ALL SELECT 'empty document text', id FROM dd WHERE trim(text) = ''
+            UNION ALL SELECT 'empty document text', id FROM dd WHERE {TRIM.format('text')} = ''
             UNION ALL SELECT 'duplicate query id', id FROM q GROUP BY id HAVING count(*) > 1
-            UNION ALL SELECT 'empty question', id FROM q WHERE trim(question) = ''
+            UNION ALL SELECT 'empty question', id FROM q WHERE {TRIM.format('question')} = ''
             UNION ALL SELECT 'unknown split', id FROM q WHERE split NOT IN ('dev', 'test')
             UNION ALL SELECT 'grade out of range', query_id FROM r WHERE grade NOT BETWEEN 0 AND 4
             UNION ALL SELECT 'unknown document', doc_id FROM (SELECT DISTINCT doc_id FROM r) WHERE doc_id NOT IN (SELECT id FROM dd)
             UNION ALL SELECT 'document crosses splits', doc_id FROM r JOIN q ON query_id = id WHERE grade > 0 GROUP BY doc_id HAVING count(DISTINCT split) > 1
             UNION ALL SELECT 'no positive document', id FROM q WHERE id NOT IN (SELECT query_id FROM r WHERE grade > 0)
         ) SELECT rule, count(*) AS n, min(id) AS least FROM v GROUP BY rule""",
-    "scope_resolution": f"""{_with(CATALOGUE, f"asked(query_id, scope) AS (VALUES {_values(SCOPES)})")},
+    "scope_resolution": f"""{_with(CATALOGUE, SCOPED)},
         b AS (SELECT query_id, max(doc_id) FILTER (WHERE scope = doc_id) AS exact, count(*) AS n, min(doc_id) AS least FROM asked JOIN known ON scope = doc_id OR scope = name OR scope = path GROUP BY query_id),
         f AS (SELECT a.query_id, scope, n, coalesce(exact, CASE WHEN n = 1 THEN least END) AS doc_id FROM asked a LEFT JOIN b USING (query_id))
-        SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, CASE WHEN scope IS NULL THEN 'all' WHEN n IS NULL THEN 'unknown' WHEN doc_id IS NULL THEN 'ambiguous' WHEN state <> 'complete' THEN 'incomplete' ELSE 'ok' END AS outcome
+        SELECT query_id, doc_id, CASE WHEN scope IS NULL THEN 'all' WHEN n IS NULL THEN 'unknown' WHEN doc_id IS NULL THEN 'ambiguous' WHEN state <> 'complete' THEN 'incomplete' ELSE 'ok' END AS outcome
         FROM f LEFT JOIN known USING (doc_id)""",
-    "scope_legacy": f"""{_with(CATALOGUE, f"asked(query_id, scope) AS (VALUES {_values(SCOPES)})")},
+    "scope_legacy": f"""{_with(CATALOGUE, SCOPED)},
         h AS (SELECT query_id, min(doc_id) AS hit FROM asked JOIN known ON contains(doc_id || ' ' || name || ' ' || path, scope) WHERE scope <> '' GROUP BY query_id)
-        SELECT CAST(query_id AS BIGINT) AS query_id, coalesce(hit, scope) AS resolved FROM asked LEFT JOIN h USING (query_id)""",
+        SELECT query_id, coalesce(hit, scope) AS resolved FROM asked LEFT JOIN h USING (query_id)""",
     "document_tree": f"""{_with(_chunks(), _concepts('chunks', 'chunk_id', 'clean_text'))},
         l AS (SELECT *, trim(string_split(clean_text, chr(10))[1], ' #：:') AS line FROM chunks),
         c AS (SELECT doc_id, CASE WHEN length(line) BETWEEN 2 AND 30 THEN line ELSE '未分类' END AS chapter, concept, min(sequence * 10 + place) AS pos FROM l JOIN concepts USING (chunk_id) GROUP BY ALL)

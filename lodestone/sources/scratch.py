@@ -38,8 +38,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, most: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame:
-    """df marked for broadcast only after a pass shows at most ``most`` rows that take at most ``most_bytes`` as JSON."""
+def is_small(df: DataFrame, most: int = 10_000, most_bytes: int = 64 << 20) -> bool:
+    """Whether a pass shows at most ``most`` rows that take at most ``most_bytes`` as JSON."""
     size = F.sum(F.length(F.to_json(F.struct("*"))))
     seen = df.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(size, F.lit(0)).alias("size")).first()
-    return F.broadcast(df) if seen.n <= most and seen.size <= most_bytes else df
+    return seen.n <= most and seen.size <= most_bytes
+
+
+def broadcast_if_small(df: DataFrame, most: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """df marked for broadcast only after ``is_small`` has looked at it."""
+    return F.broadcast(df) if is_small(df, most, most_bytes) else df
