@@ -75,6 +75,54 @@ class BoundedCache(dict):
             self.weight //= 2
 
 
+class RecentCache(BoundedCache):
+    """A BoundedCache of two generations: entries of the older that are used move to the younger, the rest is lost with it.
+
+    Either generation may reach the bound.
+    """
+
+    def __init__(self, most: int):
+        super().__init__(most)
+        self.older: dict = {}
+        self.missed, self.misses = {}, 0
+
+    def make_room(self) -> None:
+        if max(len(self), self.weight) > self.most:
+            self.older = dict(self)
+            self.clear()
+            self.weight = 0
+
+    def __missing__(self, key):
+        """An entry of the older generation; else the key is noted once in ``missed`` and stands for no bytes."""
+        held = self.older.pop(key, None)
+        if held is not None:
+            self[key] = held
+            self.weight += 200 + 2 * (len(key) + len(held))
+            return held
+        self.misses += 1
+        self.missed[key] = None
+        return b""
+
+    def joined(self, sequences: list[list], learn: Callable[[list], None]) -> list[bytes]:
+        """The entries of each sequence of keys, strung together; ``learn`` puts in entries of unknown keys.
+
+        A sequence is looked up once, and again only if it held an unknown key.
+        """
+        self.make_room()
+        self.missed, self.misses = {}, 0
+        get, out, again = self.__getitem__, [], []
+        for i, keys in enumerate(sequences):
+            before = self.misses
+            out.append(b"".join(map(get, keys)))
+            if self.misses > before:
+                again.append(i)
+        if again:
+            learn(list(self.missed))
+            for i in again:
+                out[i] = b"".join(map(get, sequences[i]))
+        return out
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, tuple[str, pa.DataType]], work: Callable[..., list[list]], with_ids: bool = False) -> DataFrame:
     """Run ``work`` over whole texts (null as empty), keeping each row's id.
 

@@ -5,8 +5,8 @@ right id -> merged id, which is also the rank).  The distinct pre-tokens of a
 slice of texts become token-position rows (word, position, symbol, bytes); one
 recursive query joins neighbouring positions with the merge table, picks each
 word's leftmost pair of least rank, contracts it, and repeats until no word
-has a pair left.  Decoding joins token rows with the vocabulary and puts their
-bytes together by an ordered aggregation, once per distinct run of tokens.
+has a pair left.  Decoding joins the token rows of a slice's distinct sequences
+with the vocabulary and puts their bytes together by an ordered aggregation.
 
 Long words are first cut wherever no token of the vocabulary reaches across,
 which no contraction can either.  Parts that are still long go through a
@@ -34,11 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.batches import BoundedCache, map_texts, slices
+from lodestone.llm.batches import RecentCache, map_texts, slices
 from lodestone.llm.cuts import Vocabulary
 
-#: Bytes that the words, or the runs, of a worker's cache take at most, and what an entry takes besides its text.
-CACHED_BYTES, ENTRY_BYTES = 100_000_000, 200
+#: Bytes that either generation of the words, and of the decoded runs, of a worker's cache takes, and what an entry takes besides its text.
+CACHED_BYTES, CACHED_RUN_BYTES, ENTRY_BYTES = 100_000_000, 20_000_000, 200
+#: Tokens of a run that is decoded as one, and of the runs that one query takes.
+RUN_TOKENS, TOKENS_AT_ONCE = 65_536, 1_000_000
 #: Characters of text encoded at once.
 CHARS_AT_ONCE = 4_000_000
 #: Words of more bytes are cut where no token reaches across.
@@ -135,9 +137,8 @@ class Codec:
         pairs = [(self.ranks[x[:k]], self.ranks[x[k:]], r) for x, r in self.ranks.items() for k in range(1, len(x)) if x[:k] in self.ranks and x[k:] in self.ranks]
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         size = max(self.ranks.values()) + 1
-        #: Tokens that open with no letter or digit: where the decoder cuts its runs.
-        self.opens = np.zeros(size, dtype=bool)
-        self.opens[[r for x, r in self.ranks.items() if x[0] < 0x80 and not x[:1].isalnum()]] = True
+        self.known = np.zeros(size, dtype=bool)
+        self.known[list(self.ranks.values())] = True
         #: Tokens that no other one built on them ranks before.
         safe = np.ones(size, dtype=bool)
         safe[[part for a, b, r in pairs for part in (a, b) if r < part]] = False
@@ -147,8 +148,8 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": "", "preserve_insertion_order": False})
         self._load("merges", ab=[a << 32 | b for a, b, _ in pairs], rank=pa.array([r for _, _, r in pairs], pa.int32()), safe=safe[[r for _, _, r in pairs]])
         self._load("vocabulary", id=list(self.ranks.values()), bytes_hex=[x.hex() for x in self.ranks])
-        self.words = BoundedCache(CACHED_BYTES)
-        self.runs = BoundedCache(CACHED_BYTES)
+        self.words = RecentCache(CACHED_BYTES)
+        self.runs = RecentCache(CACHED_RUN_BYTES)
 
     def _load(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
@@ -242,36 +243,30 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [(self.pattern if BEYOND_LATIN.search(t) else self.latin).findall(t) for t in texts]
-        self.words.make_room()
-        known = self.words
-        new = [w for w in set().union(*cut) if w not in known]
-        if new:
-            self.learn_words(new)
-        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        return self.words.joined(cut, self.learn_words)
 
     def learn_runs(self, runs: list[bytes]) -> None:
+        """Put the bytes of the runs of ids in the cache."""
         sizes = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs)) // 4
-        r = np.repeat(np.arange(len(runs), dtype=np.int32), sizes)
-        p = np.arange(len(r), dtype=np.int32)
-        self.db.register("runs", pa.table({"r": r, "p": p, "s": np.frombuffer(b"".join(runs), dtype="<u4").astype(np.int32)}))
-        for i, whole in self.db.execute(DECODE).fetchall():
-            self.runs[runs[i]] = bytes.fromhex(whole)
+        ends, start = np.cumsum(sizes), 0
+        while start < len(runs):
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + TOKENS_AT_ONCE, side="right")))
+            s = np.frombuffer(b"".join(runs[start:stop]), dtype="<u4")
+            if len(s) and not (s.max() < len(self.known) and self.known[s].all()):
+                raise KeyError("an id is not in the vocabulary")
+            r = np.repeat(np.arange(start, stop, dtype=np.int32), sizes[start:stop])
+            self.db.register("runs", pa.table({"r": r, "p": np.arange(len(s), dtype=np.int32), "s": s.astype(np.int32)}))
+            found = self.db.execute(DECODE).fetchall()
+            self.db.unregister("runs")
+            self.runs.update((runs[i], bytes.fromhex(whole)) for i, whole in found)
+            start = stop
         self.runs.weight += sum(ENTRY_BYTES + 2 * len(x) for x in runs)
-        self.db.unregister("runs")
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence; unknown ids raise KeyError."""
-        cut = []
-        for flat in ids:
-            at = np.flatnonzero(self.opens[np.frombuffer(flat, dtype="<u4")]) * 4
-            edges = [0, *at[at > 0].tolist(), len(flat)]
-            cut.append([flat[a:b] for a, b in zip(edges, edges[1:], strict=False)] if flat else [])
-        self.runs.make_room()
-        known = self.runs
-        new = [x for x in set().union(*cut) if x not in known]
-        if new:
-            self.learn_runs(new)
-        return [b"".join(map(self.runs.__getitem__, runs)) for runs in cut]
+        cut = [[flat[a : a + 4 * RUN_TOKENS] for a in range(0, len(flat), 4 * RUN_TOKENS)] for flat in ids]
+        return self.runs.joined(cut, self.learn_runs)
 
 
 @lru_cache(maxsize=2)
