@@ -1,6 +1,6 @@
 """Command line: build an index, ask it, list what it holds.
 
-    python -m lodestone build --index DIR FILE...
+    python -m lodestone build --index DIR [--update] FILE...
     python -m lodestone ask --index DIR [--scope DOC] [--mode MODE] QUESTION
     python -m lodestone list|tree|reset --index DIR
 """
@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 from lodestone.config import Config
 from lodestone.engine import MODES, Engine
+from lodestone.sources.index import Index
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -24,13 +25,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--scope", default=None)
     parser.add_argument("--mode", choices=sorted(MODES), default="evidence")
     parser.add_argument("--size", type=int, default=800)
+    parser.add_argument("--update", action="store_true", help="build into an index that is there, replacing documents it holds")
     given = parser.parse_intermixed_args(args)
     spark = spark or SparkSession.builder.appName("lodestone").getOrCreate()
     config = Config.load()
     path = given.index or config.index_path
     if given.command == "build":
-        engine = Engine.create(spark, path, config)
-        engine.ingest_files(*given.rest, size=given.size)
+        there = given.update and Index(spark, path).exists()
+        engine = Engine.open(spark, path, config) if there else Engine.create(spark, path, config)
+        engine.ingest_files(*given.rest, size=given.size, update=given.update)
         print(f"{engine.documents().count()} documents")
         return 0
     engine = Engine.open(spark, path, config)

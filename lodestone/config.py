@@ -22,12 +22,13 @@ class Config:
     vector_recall_k: int = VECTOR_RECALL_K
     final_top_k: int = FINAL_TOP_K
     batch_size: int = 20
+    resume_chunks: int = 1_000_000
     options: Options = field(default_factory=Options)
 
     def __post_init__(self):
         if self.retrieval_profile not in {"evidence", *PROFILES}:
             raise ConfigurationError(f"unknown profile: {self.retrieval_profile}")
-        for name in ("vector_recall_k", "final_top_k", "batch_size"):
+        for name in ("vector_recall_k", "final_top_k", "batch_size", "resume_chunks"):
             if type(getattr(self, name)) is not int or getattr(self, name) < 1:
                 raise ConfigurationError(f"{name} must be a positive integer")
 

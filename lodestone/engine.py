@@ -13,9 +13,9 @@ from lodestone.config import Config
 from lodestone.errors import ConfigurationError, StorageError
 from lodestone.functions import embedding
 from lodestone.functions.text import strip
-from lodestone.operators import assemble, chunking, dense, fusion, graph, lexical, links, profiles, structure, topics
+from lodestone.operators import assemble, chunking, dense, fusion, graph, lexical, links, profiles, scopes, structure, topics
 from lodestone.sources import readers
-from lodestone.sources.index import Index
+from lodestone.sources.index import Index, checked_scopes
 
 #: Names of retrieval modes and the profiles they stand for.
 MODES = {"embedding": "vector", "embedding_graph": "full", "evidence": "evidence"} | {p: p for p in profiles.PROFILES}
@@ -53,55 +53,45 @@ class Engine:
 
     # -- ingestion
 
-    def ingest(self, documents: DataFrame, format: str = "markdown", size: int = 800) -> None:
-        """Documents (doc_id, text, and name and path if known), all at once."""
+    def ingest(self, documents: DataFrame, format: str = "markdown", size: int = 800, update: bool = False, batch: tuple[str, int] | None = None) -> None:
+        """Documents (doc_id, text, and name and path if known), all at once; known ones are an error, or replaced if ``update``."""
         named = documents.withColumn("doc_id", F.col("doc_id").cast("string"))
         for column in ("name", "path"):
             if column not in named.columns:
                 named = named.withColumn(column, F.col("doc_id"))
-        self._add(named, structure.parse_documents(named, format=format, size=size))
+        self._add(named, structure.parse_documents(named, format=format, size=size), update, batch)
 
-    def ingest_files(self, *paths: str, size: int = 800, pages_of=readers.pdf_pages) -> None:
+    def ingest_files(self, *paths: str, size: int = 800, pages_of=readers.pdf_pages, update: bool = False) -> None:
         found = readers.files(self.spark, *paths)
-        self._add(found, readers.parse_files(found, size, pages_of))
+        self._add(found, readers.parse_files(found, size, pages_of), update)
 
-    def _add(self, documents: DataFrame, parsed: DataFrame) -> None:
+    def _add(self, documents: DataFrame, parsed: DataFrame, update: bool = False, batch: tuple[str, int] | None = None) -> None:
         self.index.check_embedding(self.identity, record=True)
-        self.index.add_all(documents, parsed.withColumn("embedding", self.embed(F.col("clean_text"))))
+        self.index.add_all(documents, parsed.withColumn("embedding", self.embed(F.col("clean_text"))), update=update, batch=batch)
 
-    def ingest_plain(self, documents: DataFrame, size: int = 800) -> None:
+    def ingest_plain(self, documents: DataFrame, size: int = 800, update: bool = False) -> None:
         """Plain chunks with concepts, their graph and topics, for the graph profiles."""
         self.index.check_embedding(self.identity, record=True)
         named = documents.withColumn("doc_id", F.col("doc_id").cast("string"))
         rows = chunking.split_documents(named, size=size).withColumn("embedding", self.embed(F.col("clean_text")))
-        found = graph.chunk_concepts(rows)
+        found = graph.chunk_concepts(rows, keep=("doc_id",))
         listed = found.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("place", "concept"))).alias("c")).select("chunk_id", F.col("c.concept").alias("concepts"))
         themed = rows.join(listed, "chunk_id", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
         names = named.select("doc_id", *(F.col(c) if c in named.columns else F.col("doc_id").alias(c) for c in ("name", "path")))
-        self.index.add_all(names, rows, with_links=False, concepts=found, edges=graph.concept_edges(found), topics=topics.build_topics(themed))
+        self.index.add_all(names, rows, with_links=False, update=update, concepts=found, edges=graph.concept_edges(found, by=("doc_id",)), topics=topics.build_topics(themed))
 
     def prepare(self, documents: DataFrame, format: str = "markdown", size: int = 800) -> None:
         """Save parsed chunks of all documents before any is embedded."""
         self.index.prepare(documents, structure.parse_documents(documents, format=format, size=size))
 
-    def resume(self) -> list[str]:
-        """Embed what prepared documents still lack, in batches; ids completed."""
+    def resume_all(self) -> DataFrame:
+        """Embed what prepared documents still lack, in waves of whole documents; doc_id of those completed."""
         self.index.check_embedding(self.identity, record=True)
-        done = []
-        for doc_id, entry in sorted(self.index.manifest()["documents"].items()):
-            if entry["state"] == "complete":
-                continue
-            start, total = entry["processed"], entry["total"]
-            while True:
-                end = min(start + self.config.batch_size, total)
-                parsed = self.index.table("parsed")
-                rows = parsed.filter((F.col("doc_id") == doc_id) & F.col("sequence").between(start, end - 1))
-                self.index.write_batch(doc_id, rows.withColumn("embedding", self.embed(F.col("clean_text"))), start, end)
-                start = end
-                if start >= total:
-                    break
-            done.append(doc_id)
-        return done
+        return self.index.resume(self.embed, self.config.resume_chunks)
+
+    def resume(self) -> list[str]:
+        """As ``resume_all``, for a number of documents whose ids fit on the driver."""
+        return sorted(r.doc_id for r in self.resume_all().collect())
 
     # -- reading
 
@@ -124,15 +114,20 @@ class Engine:
 
     # -- retrieval
 
-    def _asked(self, queries: DataFrame) -> DataFrame:
-        """Questions with resolved scopes; blank ones are kept for their empty answer."""
-        if "scope" in queries.columns:
-            # Scopes name documents of a bounded batch of questions.
-            known = {s: self.index.resolve_scope(s) for s in (r.scope for r in queries.select("scope").distinct().collect()) if s is not None}
-            if known:
-                names = self.spark.createDataFrame(list(known.items()), "scope string, resolved string")
-                queries = queries.join(names, "scope", "left").withColumn("scope", F.col("resolved")).drop("resolved")
-        return queries
+    def _asked(self, queries: DataFrame, loosely: bool = False) -> DataFrame:
+        """Questions with resolved scopes; blank ones are kept for their empty answer.
+
+        A scope must name one complete document; ``loosely``, a part of its id,
+        name or path will do, and what names none finds nothing.
+        """
+        if "scope" not in queries.columns:
+            return queries
+        known = self.index.documents()
+        if loosely:
+            return scopes.resolve_loosely(queries, known).withColumn("scope", F.col("resolved")).drop("resolved")
+        asked = queries.select("scope").distinct()
+        found = checked_scopes(scopes.resolve(asked, known)).select("scope", F.col("doc_id").alias("resolved"))
+        return queries.join(found, queries["scope"].eqNullSafe(found["scope"]), "left").drop(found["scope"]).withColumn("scope", F.col("resolved")).drop("resolved")
 
     def check_profile(self, profile: str) -> None:
         can = self.index.capabilities()
@@ -154,7 +149,7 @@ class Engine:
         profile = profile or self.config.retrieval_profile
         self.check_profile(profile)
         began = time.perf_counter()
-        queries = self._asked(queries)
+        queries = self._asked(queries, loosely=profile != "evidence")
         asked = queries.filter(strip(F.col("question")) != "").withColumn("embedding", self.embed(F.col("question")))
         rows = self.index.complete("chunks")
         self.timings["scope"] = time.perf_counter() - began
@@ -175,10 +170,10 @@ class Engine:
         rows = rows if rows is not None else self.index.complete("chunks")
         scoped = "scope" in asked.columns
         near = dense.dense_topk(asked.select("query_id", "embedding", *(["scope"] if scoped else [])), rows, options.candidate_k, scope_col="doc_id" if scoped else None)
-        stats = lexical.statistics(self.index.table("chunks"), self.index.table("postings"))
+        stats, index = self.index.statistics(), self.index.postings_of(lexical.question_terms(asked))
         seen = rows.select("chunk_id", F.col("doc_id").alias("scope")) if scoped else rows.select("chunk_id", F.lit(None).cast("string").alias("scope"))
         with_scope = asked if scoped else asked.withColumn("scope", F.lit(None).cast("string"))
-        words = lexical.bm25_topk(with_scope, self.index.table("postings"), stats, options.lexical_k, visible=seen)
+        words = lexical.bm25_topk(with_scope, index, stats, options.lexical_k, visible=seen)
         pool = fusion.hybrid(near, words, options.candidate_k, options.rrf_k)
         if self.reranker is None:
             return pool

@@ -15,19 +15,19 @@ from lodestone.functions.text import concept_candidates, query_terms, valid_conc
 SHORTEST, LONGEST = 2, 24
 
 
-def chunk_concepts(chunks: DataFrame, limit: int = 6, id_col: str = "chunk_id", text_col: str = "clean_text") -> DataFrame:
-    """id, concept, n, place (1-based): the most frequent, ties by first place."""
-    rows = chunks.select(id_col, F.posexplode(concept_candidates(F.col(text_col))).alias("at", "concept"))
-    rows = rows.groupBy(id_col, "concept").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+def chunk_concepts(chunks: DataFrame, limit: int = 6, id_col: str = "chunk_id", text_col: str = "clean_text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, concept, n, place (1-based): the most frequent, ties by first place; and the chunk's columns to ``keep``."""
+    rows = chunks.select(id_col, *keep, F.posexplode(concept_candidates(F.col(text_col))).alias("at", "concept"))
+    rows = rows.groupBy(id_col, *keep, "concept").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     order = Window.partitionBy(id_col).orderBy(F.desc("n"), "at")
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).drop("at")
 
 
-def concept_edges(concepts: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """source, target, weight: chunks that hold both concepts, each way."""
-    own = concepts.filter(valid_concept(F.col("concept"))).select(id_col, "concept").distinct()
-    pairs = own.withColumnRenamed("concept", "source").join(own.withColumnRenamed("concept", "target"), id_col)
-    return pairs.filter("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+def concept_edges(concepts: DataFrame, id_col: str = "chunk_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """source, target, weight: chunks that hold both concepts, each way; counted apart for each value of the columns ``by``."""
+    own = concepts.filter(valid_concept(F.col("concept"))).select(id_col, *by, "concept").distinct()
+    pairs = own.withColumnRenamed("concept", "source").join(own.withColumnRenamed("concept", "target"), [id_col, *by])
+    return pairs.filter("source <> target").groupBy("source", "target", *by).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
