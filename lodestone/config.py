@@ -32,6 +32,20 @@ class Config:
             if type(getattr(self, name)) is not int or getattr(self, name) < 1:
                 raise ConfigurationError(f"{name} must be a positive integer")
 
+    @classmethod
+    def from_file(cls, path: str) -> Config:
+        """Settings of a file of NAME=value lines (blank lines and # comments between), under those of the environment."""
+        values = {}
+        with open(path, encoding="utf-8") as lines:
+            for line in map(str.strip, lines):
+                name, sign, value = line.removeprefix("export ").partition("=")
+                if line and not line.startswith("#"):
+                    if not sign:
+                        raise ConfigurationError(f"not a setting: {line}")
+                    value = value.strip()
+                    values[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
+        return cls.load(values)
+
     @classmethod
     def load(cls, values: Mapping[str, str] | None = None) -> Config:
         given = {**(values or {}), **os.environ}

@@ -16,6 +16,7 @@ from lodestone.functions.text import strip
 from lodestone.operators import assemble, chunking, dense, fusion, graph, lexical, links, profiles, scopes, structure, topics
 from lodestone.sources import readers
 from lodestone.sources.index import Index, checked_scopes
+from lodestone.sources.scratch import saved
 
 #: Names of retrieval modes and the profiles they stand for.
 MODES = {"embedding": "vector", "embedding_graph": "full", "evidence": "evidence"} | {p: p for p in profiles.PROFILES}
@@ -155,42 +156,84 @@ class Engine:
         self.timings["scope"] = time.perf_counter() - began
         if profile != "evidence":
             own, edges, found = (self.index.table(t) for t in ("concepts", "edges", "topics"))
-            return profiles.retrieve(profile, asked, rows, own, edges, found, top_k or self.config.final_top_k, recall_k=self.config.vector_recall_k)
-        options = self.config.options if top_k is None else replace(self.config.options, max_chunks=top_k)
-        pool = self.trace(asked, rows, options)
+            return profiles.retrieve(profile, asked, rows, own, edges, found, top_k or self.config.final_top_k, recall_k=self.config.vector_recall_k, reranker=self.reranker)
+        return self._select(queries, self.trace(asked, rows, self._options(top_k)), rows, self._options(top_k), count_tokens)
+
+    def _options(self, top_k: int | None) -> assemble.Options:
+        return self.config.options if top_k is None else replace(self.config.options, max_chunks=top_k)
+
+    def _select(self, queries: DataFrame, pool: DataFrame, rows: DataFrame, options: assemble.Options, count_tokens: Callable[[str], int] | None) -> DataFrame:
         score, rank = ("rerank_score", "final_rank") if self.reranker else ("fusion_score", "fusion_rank")
         ranked = pool.filter("omission_reason is null").select("query_id", "chunk_id", F.col(rank).alias("rank"), F.col(score).alias("score"))
         stored = self.index.table("links")
-        linked = links.link_targets(ranked, stored, rows.drop("embedding")) if stored is not None else links.link_targets(ranked, links.build_links(rows.limit(0)), rows.drop("embedding"))
+        linked = links.link_targets(ranked, stored if stored is not None else links.build_links(rows.limit(0)), rows.drop("embedding"))
         return assemble.assemble_contexts(ranked, linked, rows.drop("embedding"), options, queries, count_tokens)
 
-    def trace(self, asked: DataFrame, rows: DataFrame | None = None, options: assemble.Options | None = None) -> DataFrame:
-        """Every candidate with its ranks, scores and why it was left out."""
+    def explain(self, queries: DataFrame, top_k: int | None = None, count_tokens: Callable[[str], int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Evidence retrieval with what led to it: (selections, details, counts), each written once.
+
+        details: every candidate with ranks, scores, final_role or
+        omission_reason.  counts: vector_candidates, lexical_candidates,
+        candidate_union, fused_candidates, reranked_candidates and selected of
+        every question.  ``timings`` then holds the seconds of all stages, each
+        run and written on its own.
+        """
+        self.check_profile("evidence")
+        self.timings = {}
+        timed = self._timed
+        queries = timed("scope", lambda: saved(self._asked(queries), "asked"))
+        options, rows = self._options(top_k), self.index.complete("chunks")
+        asked = timed("query_embedding", lambda: saved(queries.filter(strip(F.col("question")) != "").withColumn("embedding", self.embed(F.col("question"))), "embedded"))
+        pool = self.trace(asked, rows, options, timed)
+        selected = timed("selection_context", lambda: saved(self._select(queries, pool, rows, options, count_tokens), "selected"))
+        details = saved(fusion.with_decisions(pool, selected), "details")
+        held = lambda c: F.count(F.when(c, 1))
+        per = pool.groupBy("query_id").agg(
+            F.count("vector_rank").alias("vector_candidates"),
+            F.count("lexical_rank").alias("lexical_candidates"),
+            F.count(F.lit(1)).alias("candidate_union"),
+            held(~F.col("omission_reason").eqNullSafe("fusion_cap")).alias("fused_candidates"),
+            (held(~F.col("omission_reason").eqNullSafe("fusion_cap")) if self.reranker else F.lit(0)).cast("long").alias("reranked_candidates"),
+        )
+        sizes = selected.select("query_id", F.size("items").cast("long").alias("selected"))
+        counts = sizes.join(per, "query_id", "left").na.fill(0)
+        return selected, details, counts
+
+    def _timed(self, stage: str, work: Callable[[], DataFrame]) -> DataFrame:
+        began = time.perf_counter()
+        out = work()
+        self.timings[stage] = time.perf_counter() - began
+        return out
+
+    def trace(self, asked: DataFrame, rows: DataFrame | None = None, options: assemble.Options | None = None, timed: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None) -> DataFrame:
+        """Every candidate with its ranks, scores and why it was left out; ``timed`` runs each stage on its own."""
         options = options or self.config.options
         rows = rows if rows is not None else self.index.complete("chunks")
+        step = (lambda name, df: timed(name, lambda: saved(df, name))) if timed else (lambda name, df: df)
         scoped = "scope" in asked.columns
-        near = dense.dense_topk(asked.select("query_id", "embedding", *(["scope"] if scoped else [])), rows, options.candidate_k, scope_col="doc_id" if scoped else None)
+        near = step("vector_recall", dense.dense_topk(asked.select("query_id", "embedding", *(["scope"] if scoped else [])), rows, options.candidate_k, scope_col="doc_id" if scoped else None))
         stats, index = self.index.statistics(), self.index.postings_of(lexical.question_terms(asked))
         seen = rows.select("chunk_id", F.col("doc_id").alias("scope")) if scoped else rows.select("chunk_id", F.lit(None).cast("string").alias("scope"))
         with_scope = asked if scoped else asked.withColumn("scope", F.lit(None).cast("string"))
-        words = lexical.bm25_topk(with_scope, index, stats, options.lexical_k, visible=seen)
-        pool = fusion.hybrid(near, words, options.candidate_k, options.rrf_k)
+        words = step("lexical", lexical.bm25_topk(with_scope, index, stats, options.lexical_k, visible=seen))
+        pool = step("fusion", fusion.hybrid(near, words, options.candidate_k, options.rrf_k))
         if self.reranker is None:
             return pool
         pairs = pool.filter("omission_reason is null").select("query_id", "chunk_id").join(asked.select("query_id", "question"), "query_id").join(rows.select("chunk_id", "clean_text"), "chunk_id")
-        return fusion.apply_rerank(pool, self.reranker(pairs))
+        return step("rerank", fusion.apply_rerank(pool, self.reranker(step("chunk_data", pairs))))
 
     def retrieve_text(self, question: str, scope: str | None = None, profile: str | None = None) -> tuple[str, str, str]:
         """(path, comma-joined chunk ids, context) of one question."""
         asked = self.spark.createDataFrame([(1, question, scope)], "query_id long, question string, scope string")
         name = profile or self.config.retrieval_profile
-        out = self.retrieve(asked, name)
         if name == "evidence":
-            r = out.first()
-            return f"evidence -> selected {len(r['items'])}", ",".join(x.chunk_id for x in r["items"]), r.context
-        r = profiles.render_context(out, self.index.complete("chunks")).first()
+            selected, _, counts = self.explain(asked)
+            r, n = selected.first(), counts.first()
+            return f"evidence recall {n.candidate_union} -> fusion {n.fused_candidates} -> selected {n.selected}", ",".join(x.chunk_id for x in r["items"]), r.context
+        out = saved(self.retrieve(asked, name), "retrieved")
+        r, n = profiles.render_context(out, self.index.complete("chunks")).first(), out.agg(F.coalesce(F.max("candidates"), F.lit(0)).alias("n")).first().n
         ids = r.chunk_ids if r else ""
-        return f"{name} -> selected {len(ids.split(',')) if ids else 0}", ids, r.context if r else ""
+        return f"{name} recall {n} -> selected {len(ids.split(',')) if ids else 0}", ids, r.context if r else ""
 
     def retrieve_semantic(self, question: str, scope: str | None = None, mode: str = "embedding_graph") -> tuple[str, str, str]:
         if mode not in MODES:

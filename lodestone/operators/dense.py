@@ -1,9 +1,9 @@
 """Exact dense retrieval: every query against every vector, in blocks.
 
-Queries are the small side: they are taken QUERIES_AT_ONCE and sent to the
-executors as a matrix.  Each batch of vectors is scored by one matrix product;
-a task keeps its best k per query over all its batches and sends only those,
-and a window ranks what the tasks send.
+Queries are the small side: QUERY_BYTES of them are sent to the executors as a
+matrix for one scan of the vectors.  Each batch of vectors is scored by matrix
+products of SCORES_AT_ONCE entries; a task keeps its best k per query over all
+its batches and sends only those, and a window ranks what the tasks send.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-QUERIES_AT_ONCE = 2_048
+QUERY_BYTES, SCORES_AT_ONCE = 64 << 20, 4_000_000
 #: Scores are compared to so many places, so that sums in another order tie alike.
 PLACES = 9
 
@@ -52,7 +52,7 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list, list, np.ndarray]]:
         ids.append(r.query_id)
         scopes.append(r.scope if scoped else None)
         rows.append(np.array(r.embedding, dtype=float))
-        if len(ids) == QUERIES_AT_ONCE:
+        if len(ids) * rows[0].nbytes >= QUERY_BYTES:
             yield ids, scopes, np.vstack(rows)
             ids, scopes, rows = [], [], []
     if ids:
@@ -83,11 +83,19 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 40, id_col: str
                     raise ValueError("vectors and queries differ in dimension")
                 keys = np.empty(len(column), dtype=object)
                 keys[:] = batch.column(0).to_pylist()
-                scores = matrix @ flat.reshape(len(column), matrix.shape[1]).T
+                vectors = flat.reshape(len(column), matrix.shape[1]).T
                 homes = np.array(batch.column(2).to_pylist(), dtype=object) if scope_col else None
-                for q, row in enumerate(scores):
-                    at = slice(None) if scopes[q] is None or homes is None else homes == scopes[q]
-                    best[q].add(keys[at], row[at])
+                step = max(1, SCORES_AT_ONCE // max(1, len(column)))
+                for first in range(0, len(ids), step):
+                    scores = matrix[first : first + step] @ vectors
+                    # Only what may be among a query's k best is looked at with its id: its score reaches the batch's k-th.
+                    least = np.round(np.partition(scores, -k, axis=1)[:, -k], PLACES) if k < scores.shape[1] else np.full(len(scores), -np.inf)
+                    for q, row in enumerate(scores, first):
+                        if scopes[q] is not None and homes is not None:
+                            at = homes == scopes[q]
+                        else:
+                            at = np.flatnonzero(np.round(row, PLACES) >= least[q - first])
+                        best[q].add(keys[at], row[at])
             for q, found in zip(ids, best, strict=True):
                 if len(found.keys):
                     arrays = [pa.array([q] * len(found.keys), query_arrow), pa.array(found.keys.tolist(), id_arrow), pa.array(found.scores, pa.float64()), pa.array(found.places, pa.float64())]

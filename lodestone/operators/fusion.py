@@ -76,3 +76,19 @@ def apply_rerank(pool: DataFrame, scores: DataFrame, id_col: str = "chunk_id") -
     reason = F.when(F.col("omission_reason").isNull() & F.col("rerank_score").isNull(), "reranker_omitted").otherwise(F.col("omission_reason"))
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "fusion_rank", id_col)
     return out.withColumn("omission_reason", reason).withColumn("final_rank", F.when(F.col("rerank_score").isNotNull(), F.row_number().over(order)))
+
+
+def with_decisions(trace: DataFrame, selections: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """The trace with final_role, and for every candidate that was not chosen why.
+
+    ``selections``: query_id, items (id and role) and decisions (id and
+    status), as context assembly gives them.  The last decision on a candidate
+    counts; one that none mentions was not_selected.  Chosen passages that were
+    no candidates, which links brought in, get rows of their own.
+    """
+    roles = selections.select("query_id", F.explode("items").alias("i")).select("query_id", F.col(f"i.{id_col}").alias(id_col), F.col("i.role").alias("final_role"))
+    said = selections.select("query_id", F.posexplode("decisions").alias("at", "d")).filter(f"d.{id_col} is not null and d.status <> 'selected'")
+    last = said.groupBy("query_id", F.col(f"d.{id_col}").alias(id_col)).agg(F.max_by("d.status", "at").alias("_last"))
+    out = trace.join(roles, ["query_id", id_col], "full").join(last, ["query_id", id_col], "left")
+    reason = F.when(F.col("final_role").isNull(), F.coalesce("omission_reason", "_last", F.lit("not_selected")))
+    return out.withColumn("omission_reason", reason).drop("_last")

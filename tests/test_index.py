@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from lodestone import __main__ as command
 from lodestone.config import Config
 from lodestone.engine import Engine
-from lodestone.errors import StorageError
+from lodestone.errors import ConfigurationError, StorageError
+from lodestone.functions.sql import register
+from lodestone.functions.text import lexical_terms
+from lodestone.operators.assemble import Options
 from lodestone.sources.index import Index
 from lodestone.streaming.ingest import start_index
 
@@ -189,3 +192,49 @@ def test_loose_scopes_of_the_older_profiles(spark, tmp_path):
     asked = spark.createDataFrame([(1, "apples", "uide"), (2, "apples", "nowhere"), (3, "apples", "notes"), (4, "apples", None)], "query_id long, question string, scope string")
     got = made.retrieve(asked, "vector_keyword").join(made.index.table("chunks").select("chunk_id", "doc_id"), "chunk_id")
     assert {(r.query_id, r.doc_id) for r in got.collect()} == {(1, "guide-1"), (3, "notes"), (4, "guide-1"), (4, "notes")}
+
+
+def test_every_candidate_has_a_role_or_a_reason(spark, tmp_path):
+    made = Engine.create(spark, str(tmp_path / "index"), Config(options=Options(candidate_k=4, max_chunks=2, max_supplements=1, context_budget=4000)))
+    made.ingest(docs(spark, ("a", "# Section 1\nApples red. See section 2.\n\n# Section 2\nNothing alike."), *((f"d{i}", f"# D{i}\napples {i}") for i in range(6))), size=60)
+    asked = spark.createDataFrame([(1, "apples red", None), (2, " ", None)], "query_id long, question string, scope string")
+    selected, details, counts = made.explain(asked)
+    items = {x.chunk_id: x.role for r in selected.collect() for x in r["items"]}
+    seen = {(r.query_id, r.chunk_id): (r.final_role, r.omission_reason) for r in details.collect()}
+    assert {c: role for (_, c), (role, _) in seen.items() if role} == items and all((role is None) != (why is None) for role, why in seen.values())
+    assert "fusion_cap" in {why for _, why in seen.values()} and {why for _, why in seen.values()} & {"cap_skipped", "budget_skipped"}
+    n = {r.query_id: r for r in counts.collect()}
+    assert n[1].candidate_union == details.filter('fusion_rank is not null').count() and n[1].fused_candidates == 4 and n[1].selected == len(items) and n[2].candidate_union == 0
+    assert set(made.timings) == {"scope", "query_embedding", "vector_recall", "lexical", "fusion", "selection_context"} and all(t >= 0 for t in made.timings.values())
+    assert made.retrieve_text("apples red")[0] == f"evidence recall {n[1].candidate_union} -> fusion 4 -> selected {len(items)}"
+
+
+def test_older_profiles_rerank_their_recall(spark, tmp_path):
+    plain = Engine.create(spark, str(tmp_path / "plain"), Config(vector_recall_k=3, final_top_k=2), kind="plain")
+    plain.ingest_plain(docs(spark, *((f"d{i}", f"apples number {i}" + " and more" * i) for i in range(6))))
+    asked = spark.createDataFrame([(1, "apples number", None)], "query_id long, question string, scope string")
+    first = [r.chunk_id for r in plain.retrieve(asked, "vector_keyword", top_k=3).orderBy("rank").collect()]
+    seen = []
+
+    def turned(pairs):
+        seen.append(pairs.count())
+        return pairs.filter(F.col("chunk_id") != first[0]).select("query_id", "chunk_id", (-F.length("clean_text")).cast("double").alias("rerank_score"))
+
+    again = Engine(plain.index, plain.config, reranker=turned).retrieve(asked, "vector_keyword").orderBy("rank").collect()
+    assert seen == [3] and [r.chunk_id for r in again] == sorted(first[1:], key=lambda c: int(c[1])) and all(r.score < 0 for r in again)
+    assert plain.retrieve_text("apples number", profile="vector")[0].startswith("vector recall 3 -> selected 2")
+
+
+def test_settings_files_and_sql_terms(spark, tmp_path):
+    path = tmp_path / ".env"
+    path.write_text("# settings\nFINAL_TOP_K=4\nexport EVIDENCE_MAX_CHUNKS='3'\n\nKB_PATH=\"x y\"\n")
+    found = Config.from_file(str(path))
+    assert (found.final_top_k, found.options.max_chunks, found.index_path) == (4, 3, "x y")
+    path.write_text("nonsense\n")
+    with pytest.raises(ConfigurationError):
+        Config.from_file(str(path))
+    register(spark)
+    texts = ["营业收入 Revenue_2024 Ａ-1 中", "", None, "___ 数据 x", "ﬁne ²"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("native", lexical_terms(F.col("t")))
+    got.createOrReplaceTempView("said_terms")
+    assert all(r.a == r.native for r in spark.sql("select lexical_terms(t) a, native from said_terms").collect())
