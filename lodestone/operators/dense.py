@@ -13,6 +13,7 @@ from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -107,3 +108,30 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 40, id_col: str
         found = given.select(F.lit(None).cast(query_field.dataType).alias("query_id"), id_col, F.lit(0.0).alias("vector_score"), F.lit(0.0).alias("_places")).filter(F.lit(False))
     order = Window.partitionBy("query_id").orderBy(F.desc("_places"), id_col)
     return found.withColumn("vector_rank", F.row_number().over(order)).filter(F.col("vector_rank") <= k).drop("_places")
+
+
+def all_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """query_id, id, score: every query's dot product with every vector of its dimension.
+
+    For what must be scored as a whole, such as topics: blocks of queries meet
+    batches of vectors in matrix products, SCORES_AT_ONCE entries at a time.
+    """
+    id_field, query_field = vectors.schema[id_col], queries.schema["query_id"]
+    query_arrow = to_arrow_type(query_field.dataType)
+    schema = f"query_id {query_field.dataType.simpleString()}, `{id_col}` {id_field.dataType.simpleString()}, score double"
+    given = vectors.select(id_col, "embedding")
+    found = given.select(F.lit(None).cast(query_field.dataType).alias("query_id"), id_col, F.lit(0.0).alias("score")).filter(F.lit(False))
+    for ids, _, matrix in _blocks(queries):
+
+        def run(batches: Iterator[pa.RecordBatch], ids: list = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+            asked, step = pa.array(ids, query_arrow), max(1, SCORES_AT_ONCE // max(1, len(ids)))
+            for batch in batches:
+                fit = np.flatnonzero(pc.fill_null(pc.list_value_length(batch.column(1)), -1).to_numpy(zero_copy_only=False) == matrix.shape[1])
+                for first in range(0, len(fit), step):
+                    part = batch.take(pa.array(fit[first : first + step]))
+                    scores = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, matrix.shape[1]) @ matrix.T
+                    places = [np.repeat(np.arange(part.num_rows), len(ids)), np.tile(np.arange(len(ids)), part.num_rows)]
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(places[1])), part.column(0).take(pa.array(places[0])), pa.array(scores.ravel())], names=["query_id", id_col, "score"])
+
+        found = found.unionByName(given.mapInArrow(run, schema))
+    return found

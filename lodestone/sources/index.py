@@ -427,6 +427,23 @@ class Index:
         done = self._visible("documents", now)
         return rows.limit(0) if done is None else rows.join(done.select("doc_id"), "doc_id", "left_semi")
 
+    def chunks(self, ids: DataFrame | None = None, scope: str | None = None, with_concepts: bool = False) -> DataFrame:
+        """Chunks of complete documents: all, those of the given chunk_ids, those of one document; with their concepts in order if asked."""
+        rows = self.complete("chunks")
+        if scope is not None:
+            rows = rows.filter(F.col("doc_id") == self.resolve_scope(scope))
+        if ids is not None:
+            rows = rows.join(broadcast_if_small(ids.select("chunk_id").distinct()), "chunk_id", "left_semi")
+        if not with_concepts:
+            return rows
+        none, found = F.array().cast("array<string>"), self.table("concepts")
+        if found is None:
+            return rows.withColumn("concepts", none)
+        if ids is not None:
+            found = found.join(broadcast_if_small(ids.select("chunk_id").distinct()), "chunk_id", "left_semi")
+        named = found.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("place", "concept"))).alias("c")).select("chunk_id", F.col("c.concept").alias("concepts"))
+        return rows.join(named, "chunk_id", "left").withColumn("concepts", F.coalesce("concepts", none))
+
     def postings_of(self, terms: DataFrame) -> DataFrame:
         """The postings in the buckets of the given terms; the driver sees at most BUCKETS numbers."""
         rows = self.table("postings")

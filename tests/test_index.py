@@ -238,3 +238,22 @@ def test_settings_files_and_sql_terms(spark, tmp_path):
     got = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("native", lexical_terms(F.col("t")))
     got.createOrReplaceTempView("said_terms")
     assert all(r.a == r.native for r in spark.sql("select lexical_terms(t) a, native from said_terms").collect())
+
+
+def test_chunks_by_ids_and_scope_with_concepts(spark, tmp_path):
+    made = Engine.create(spark, str(tmp_path / "plain"), kind="plain")
+    made.ingest_plain(docs(spark, ("a", "pears apples pears"), ("b", "plums"), ("c", "12")))
+    ids = spark.createDataFrame([("a::chunk_000000",), ("c::chunk_000000",), ("a::chunk_000000",), ("no",)], "chunk_id string")
+    assert {r.doc_id: r.concepts for r in made.index.chunks(ids, with_concepts=True).collect()} == {"a": ["pears", "apples"], "c": []}
+    assert rows(made.index.chunks(scope="b"), "doc_id") == [("b",)] and made.index.chunks().count() == 3
+
+
+def test_topic_scores_make_no_nested_loop(spark):
+    from lodestone.operators import profiles
+
+    found = spark.createDataFrame([("t", [1.0, 0.0], ["c0", "c1"]), ("u", [0.0, -1.0], ["c2"]), ("v", [1.0], ["c3"])], "topic_id string, centroid array<double>, chunk_ids array<string>")
+    chunks = spark.createDataFrame([(f"c{i}", "d" if i else "e") for i in range(4)], "chunk_id string, doc_id string")
+    asked = spark.createDataFrame([(1, [0.5, 0.5], None), (2, [0.5, 0.5], "e")], "query_id long, embedding array<double>, scope string")
+    scores = profiles.topic_scores(asked, found, chunks)
+    assert sorted((r.query_id, r.chunk_id, round(r.score, 6)) for r in scores.collect()) == [(1, "c0", 0.04), (1, "c1", 0.04), (1, "c2", 0.0), (2, "c0", 0.04)]
+    assert "NestedLoop" not in (plan := scores._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan
