@@ -72,3 +72,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["ask", "--index", index, "green", "pears"], spark) == 0
     assert main(["list", "--index", index], spark) == 0
     assert "Green pears" in capsys.readouterr().out
+
+
+def test_reports_have_settings_notes_and_all_metrics(spark, tmp_path):
+    summary = spark.createDataFrame([("one", 0.5, None), ("two", 0.25, 1.0)], "system string, recall double, p50 double")
+    text = sinks.write_report(summary, summary, str(tmp_path / "r"), {"model": "a|b", "top_k": 3}, "Comparison", ("Smoke runs show no speed.",))
+    assert text.splitlines()[:3] == ["# Comparison", "", "Smoke runs show no speed."]
+    for line in ("| model | a/b |", "| top_k | 3 |", "## Metrics of one", "| p50 | unavailable |", "## Metrics of two", "| p50 | 1.0 |"):
+        assert line in text
+    documents, queries, relevance = data(spark)
+    sinks.write_dataset(documents, queries, relevance, str(tmp_path / "set"), {"excluded": documents.limit(1)})
+    assert spark.read.json(str(tmp_path / "set/queries")).count() == 2 and spark.read.json(str(tmp_path / "set/audit/excluded")).count() == 1
