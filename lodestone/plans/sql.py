@@ -189,6 +189,47 @@ STRUCTURED = """
         FROM (SELECT source || '-' || CAST(doc_id // 50 AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY source, doc_id // 50 ORDER BY doc_id) AS k FROM documents)
     )"""
 
+#: CTEs that end in parsed: the chunks of the structured documents, a section a text, by the rules of lines, sentences and windows.
+PARSED = rf"""
+    bodies AS (
+        SELECT doc, k, greatest(k - 1, 1) AS label, '# Section ' || greatest(k - 1, 1) || chr(10) || chr(10) || text || chr(10) || chr(10) || 'See section ' || (k % 3 + 1) || '. See clause 99.' || chr(10) || chr(10) AS body
+        FROM (SELECT source || '-' || CAST(doc_id // 50 AS VARCHAR) AS doc, row_number() OVER (PARTITION BY source, doc_id // 50 ORDER BY doc_id) AS k, text FROM documents)
+    ),
+    placed AS (
+        SELECT *, CAST(sum(length(body)) OVER w AS BIGINT) - length(body) AS begins, CAST(sum(length(body) - length(replace(body, chr(10), ''))) OVER w AS BIGINT) - (length(body) - length(replace(body, chr(10), ''))) AS above
+        FROM bodies WINDOW w AS (PARTITION BY doc ORDER BY k)
+    ),
+    numbered AS (SELECT doc, k, begins, unnest(x) AS said, unnest(range(len(x))) AS i FROM (SELECT doc, k, begins, string_split(body, chr(10)) AS x FROM placed)),
+    laid AS (SELECT doc, k, said, begins + CAST(sum(length(said) + 1) OVER (PARTITION BY doc, k ORDER BY i) AS BIGINT) - length(said) - 1 AS spot FROM numbered),
+    tight AS (SELECT doc, k, spot + length(said) - length(regexp_replace(said, '^\s+', '')) AS a, {STRIP.format('said')} AS said FROM laid WHERE {STRIP.format('said')} <> ''),
+    cut AS (
+        SELECT doc, k, a, CASE WHEN length(said) <= 800 THEN [said]
+               ELSE string_split(regexp_replace(regexp_replace(said, '([。！？!?；;]+["''”’）)]*)', '\1' || chr(1), 'g'), '\.(\s)', '.' || chr(1) || '\1', 'g'), chr(1)) END AS parts
+        FROM tight
+    ),
+    dealt AS (SELECT doc, k, a, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM cut),
+    sentences AS (SELECT doc, k, a + CAST(sum(length(part)) OVER (PARTITION BY doc, k, a ORDER BY i) AS BIGINT) - length(regexp_replace(part, '^\s+', '')) AS a, {STRIP.format('part')} AS said FROM dealt),
+    windows AS (SELECT doc, k, a, length(said) AS size, unnest(range(0, length(said), 800)) AS x FROM sentences WHERE said <> ''),
+    pieces AS (
+        SELECT doc, k, a + x AS first, a + least(x + 800, size) AS last, size > 800 AS part, row_number() OVER (PARTITION BY doc, k ORDER BY a + x) AS n FROM windows
+    ),
+    steps AS (
+        SELECT p.doc, p.k, p.n, any_value(p.first) AS first, any_value(p.part) AS part, CASE WHEN any_value(p.part) THEN p.n + 1 ELSE coalesce(min(q.n), any_value(p.most) + 1) END AS beyond
+        FROM (SELECT *, max(n) OVER (PARTITION BY doc, k) AS most FROM pieces) p LEFT JOIN pieces q ON p.doc = q.doc AND p.k = q.k AND q.n > p.n AND (q.part OR q.last > p.first + 800)
+        GROUP BY p.doc, p.k, p.n
+    ),
+    walked AS (
+        SELECT doc, k, n, first, part, beyond FROM steps WHERE n = 1
+        UNION ALL SELECT s.doc, s.k, s.n, s.first, s.part, s.beyond FROM walked w JOIN steps s ON s.doc = w.doc AND s.k = w.k AND s.n = w.beyond
+    ),
+    spans AS (SELECT w.doc, w.k, w.first, p.last, w.part, row_number() OVER (PARTITION BY w.doc ORDER BY w.first) - 1 AS sequence FROM walked w JOIN pieces p ON p.doc = w.doc AND p.k = w.k AND p.n = w.beyond - 1),
+    parsed AS (
+        SELECT doc AS doc_id, k, label, sequence, doc || '::chunk_' || lpad(CAST(sequence AS VARCHAR), 6, '0') AS chunk_id, doc || '::section_' || begins AS section_id, first, last, part,
+               'lines ' || (1 + above + length(regexp_replace(substr(body, 1, first - begins), '[^\n]', '', 'g'))) || '-' || (1 + above + length(regexp_replace(substr(body, 1, last - 1 - begins), '[^\n]', '', 'g'))) AS locator,
+               substr(body, first - begins + 1, last - first) AS said
+        FROM spans JOIN placed USING (doc, k)
+    )"""
+
 CATALOGUE = """
     known AS (
         SELECT doc_id, CASE WHEN n % 9 = 4 THEN 'same' ELSE 'name-' || n END AS name, '/data/' || doc_id AS path, CASE WHEN n = 2 THEN 'building' ELSE 'complete' END AS state
@@ -327,6 +368,21 @@ ORACLES: dict[str, str] = {
         t AS (SELECT query_id, lexical_rank AS rank, chunk_id, '[S' || lexical_rank || '] 文档=' || doc_id || ' 片段=' || chunk_id || chr(10) || context_text AS block FROM lex JOIN c USING (chunk_id) WHERE lexical_rank <= 6),
         g AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM t GROUP BY query_id)
         SELECT query_id, chunk_ids, md5(context) AS context_md5, length(context) AS size FROM g""",
+    "structure_chunks": f"""WITH RECURSIVE {PARSED} SELECT chunk_id, doc_id, sequence, section_id, 'Section ' || label AS path, locator, first AS source_start, last AS source_end, part AS partial, md5(said) AS text_md5 FROM parsed""",
+    "structure_links": f"""WITH RECURSIVE {PARSED},
+        held AS (SELECT doc_id, label, k, list(chunk_id ORDER BY sequence) AS ids FROM parsed GROUP BY doc_id, label, k),
+        labels AS (SELECT doc_id, CAST(label AS VARCHAR) AS number, count(*) AS sections, any_value(ids) AS ids FROM held GROUP BY doc_id, label),
+        told AS (
+            SELECT doc AS doc_id, 'section' AS unit, CAST(k % 3 + 1 AS VARCHAR) AS number, begins + length(body) - length(k % 3 + 1 || '. See clause 99.' || chr(10) || chr(10)) - 8 AS spot FROM placed
+            UNION ALL SELECT doc, 'clause', '99', begins + length(body) - 12 FROM placed
+        ),
+        found AS (SELECT t.doc_id, unit, t.number, spot, coalesce(sections, 0) AS sections, CASE WHEN sections = 1 AND unit = 'section' THEN ids ELSE [] END AS targets FROM told t LEFT JOIN labels l ON l.doc_id = t.doc_id AND l.number = t.number AND unit = 'section'),
+        beside AS (SELECT a.doc_id, a.chunk_id AS a, b.chunk_id AS b FROM parsed a JOIN parsed b ON a.section_id = b.section_id AND b.sequence = a.sequence + 1)
+        SELECT doc_id, chunk_id AS source_id, section_id AS target_id, 'section_member' AS kind, locator AS basis, 'resolved' AS status, first AS source_start, last AS source_end, '' AS target_ids FROM parsed
+        UNION ALL SELECT doc_id, a, b, 'adjacent', 'consecutive chunks in same section', 'resolved', 0, 0, '' FROM beside
+        UNION ALL SELECT doc_id, b, a, 'adjacent', 'consecutive chunks in same section', 'resolved', 0, 0, '' FROM beside
+        UNION ALL SELECT f.doc_id, p.chunk_id, targets[1], 'explicit_reference', unit || ' ' || number, CASE sections WHEN 0 THEN 'missing' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END, spot, spot + length(unit) + 1 + length(number), array_to_string(targets, ',')
+            FROM found f ASOF JOIN parsed p ON f.doc_id = p.doc_id AND f.spot >= p.first""",
     "adjacent_links": f"""{_with(_chunks())}, p AS (SELECT a.chunk_id AS a, b.chunk_id AS b FROM chunks a JOIN chunks b ON a.doc_id = b.doc_id AND b.sequence = a.sequence + 1 AND a.sequence // 3 = b.sequence // 3)
         SELECT a AS source_id, b AS target_id, 'adjacent' AS kind FROM p UNION ALL SELECT b, a, 'adjacent' FROM p""",
     "reference_resolution": f"""{_with(STRUCTURED)}, asked AS (
