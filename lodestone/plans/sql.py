@@ -150,7 +150,49 @@ KEYWORDS = f"""
     )"""
 
 
-def _profile(keyword: bool, graph: bool) -> str:
+#: CTEs that end in members: doc_id, sequence, chunk_id, topic (from 1) by leader clustering of the vectors cv.
+TOPICS = """
+    whole AS (
+        SELECT doc_id, sequence, chunk_id, list(coalesce(value, 0) ORDER BY g.place) AS v
+        FROM (SELECT doc_id, sequence, chunk_id, unnest(range(256)) AS place FROM chunks) g LEFT JOIN cv USING (chunk_id, place) GROUP BY ALL
+    ),
+    walk AS (
+        SELECT doc_id, sequence, chunk_id, CAST(1 AS BIGINT) AS topic, [v] AS sums FROM whole WHERE sequence = 0
+        UNION ALL
+        SELECT doc_id, sequence, chunk_id, topic,
+               CASE WHEN topic > len(sums) THEN list_append(sums, v) ELSE list_transform(sums, lambda s, i: CASE WHEN i = topic THEN list_transform(list_zip(s, v), lambda z: z[1] + z[2]) ELSE s END) END
+        FROM (SELECT *, CAST(CASE WHEN list_max(near) >= 0.78 THEN list_position(near, list_max(near)) ELSE len(sums) + 1 END AS BIGINT) AS topic
+              FROM (SELECT c.doc_id, c.sequence, c.chunk_id, c.v, w.sums, list_transform(w.sums, lambda s: list_dot_product(s, c.v) / sqrt(list_dot_product(s, s))) AS near
+                    FROM walk w JOIN whole c ON c.doc_id = w.doc_id AND c.sequence = w.sequence + 1))
+    ),
+    members AS (SELECT doc_id, sequence, chunk_id, topic FROM walk)"""
+
+#: Cosines of questions and topics, spread over the topics' members.
+TOPIC_SCORES = """
+    centre AS (SELECT doc_id, topic, place, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id, topic)) AS value FROM (SELECT doc_id, topic, place, sum(value) AS v FROM members JOIN cv USING (chunk_id) GROUP BY ALL)),
+    alike AS (SELECT query_id, doc_id, topic, sum(q.value * c.value) AS cosine FROM qv q JOIN centre c USING (place) GROUP BY ALL)"""
+
+EXACT = rf"""
+    tokens AS (SELECT query_id, list_distinct(regexp_extract_all({NORMAL.format('question')}, '\d+(?:\.\d+)?%?')) AS t FROM questions),
+    wanted AS (SELECT query_id, len(t) AS of, unnest(t) AS token FROM tokens),
+    exact AS (SELECT query_id, chunk_id, 0.18::DOUBLE AS score FROM wanted JOIN normals ON contains(normal, token) GROUP BY query_id, chunk_id HAVING count(*) = any_value(of))"""
+
+#: The neighbours of the six best get 0.82 of their scores, if that is more.
+BRIDGED = """
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS pos FROM summed QUALIFY pos <= 6),
+    reached AS (SELECT query_id, n.chunk_id, score * 0.82::DOUBLE AS score FROM best JOIN chunks c USING (chunk_id) JOIN chunks n ON n.doc_id = c.doc_id AND abs(n.sequence - c.sequence) = 1),
+    total AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, score FROM summed UNION ALL SELECT * FROM reached) GROUP BY ALL)"""
+
+MARKERS = ["分别", "比较", "原因", "条件", "步骤", "影响", "以及", "同时"]
+
+
+def _most(budget: str) -> str:
+    """How many passages a question gets, by its marks of complexity."""
+    marks = " + ".join(f"contains(question, '{m}')::BIGINT" for m in MARKERS)
+    return f"CAST(least({budget}, 3 + least(3, {marks} + greatest(0, len(regexp_extract_all(question, '[？?；;]')) - 1))) AS BIGINT)"
+
+
+def _profile(keyword: bool = True, graph: bool = True, topic: bool = False, full: bool = False) -> str:
     parts = [_chunks(), QUESTIONS, _dense()]
     sums = ["SELECT query_id, chunk_id, 0.7::DOUBLE * vector_score AS score FROM near"]
     if keyword:
@@ -159,9 +201,17 @@ def _profile(keyword: bool, graph: bool) -> str:
     if graph:
         parts += [_concepts("chunks", "chunk_id", "clean_text"), EDGES, HITS]
         sums.append("SELECT query_id, chunk_id, least(0.2::DOUBLE, hits * 0.07::DOUBLE) FROM hits")
-    return f"""{_with(*parts)}, total AS (SELECT query_id, chunk_id, sum(score) AS score FROM ({' UNION ALL '.join(sums)}) GROUP BY ALL)
-    SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank
-    FROM total QUALIFY rank <= 6"""
+    if topic:
+        parts += [TOPICS, TOPIC_SCORES]
+        sums.append("SELECT query_id, chunk_id, 0.08::DOUBLE * greatest(0, cosine) FROM alike JOIN members USING (doc_id, topic)")
+    if full:
+        parts.append(EXACT)
+        sums.append("SELECT * FROM exact")
+    parts.append(f"summed AS (SELECT query_id, chunk_id, sum(score) AS score FROM ({' UNION ALL '.join(sums)}) GROUP BY ALL)")
+    parts.append(BRIDGED if full else "total AS (SELECT * FROM summed)")
+    parts.append("ranked AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM total QUALIFY rank <= 6)")
+    parts.append(f"most AS (SELECT query_id, {_most('6') if full else '6'} AS most FROM questions)")
+    return f"{_with(*parts).replace('WITH', 'WITH RECURSIVE', 1)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ranked JOIN most USING (query_id) WHERE rank <= most"
 
 
 JUDGED = f"""{LEXICAL},
@@ -283,8 +333,6 @@ COVERAGE = """
         UNION ALL SELECT 'false_reference_expansion', sum(wrong), CAST(sum(checked) AS BIGINT) FROM per
     )"""
 
-MARKERS = ["分别", "比较", "原因", "条件", "步骤", "影响", "以及", "同时"]
-
 ORACLES: dict[str, str] = {
     "hybrid_retrieve": f"{HYBRID} SELECT query_id, chunk_id, round(fusion_score, 9) AS score, fusion_rank FROM trace WHERE fusion_rank <= 6",
     "candidate_trace": f"""{HYBRID} SELECT query_id, chunk_id, vector_rank, round(vector_score, 6) AS vector_score, lexical_rank, round(lexical_score, 6) AS lexical_score,
@@ -356,11 +404,20 @@ ORACLES: dict[str, str] = {
                    CASE WHEN doc_id % 3 = 1 THEN '原因' ELSE '' END || translate(text, ',:', '；?') || CASE WHEN doc_id % 3 = 0 THEN '分别比较' ELSE '' END AS question
             FROM documents
         )
-        SELECT doc_id, budget, CAST(least(budget, 3 + least(3, {' + '.join(f"contains(question, '{m}')::BIGINT" for m in MARKERS)}
-               + greatest(0, len(regexp_extract_all(question, '[？?；;]')) - 1))) AS BIGINT) AS most FROM q""",
+        SELECT doc_id, budget, {_most('budget')} AS most FROM q""",
     "profile_vector": _profile(False, False),
     "profile_vector_keyword": _profile(True, False),
     "profile_vector_graph": _profile(True, True),
+    "profile_vector_topic_graph": _profile(topic=True),
+    "profile_full": _profile(topic=True, full=True),
+    "topic_clusters": f"""{_with(_chunks(), _vectors('chunks', 'chunk_id', 'clean_text', 'cv'), TOPICS, _concepts('chunks', 'chunk_id', 'clean_text')).replace('WITH', 'WITH RECURSIVE', 1)},
+        named AS (
+            SELECT doc_id, topic, string_agg(concept, ' / ' ORDER BY pos) AS names
+            FROM (SELECT doc_id, topic, concept, min(sequence * 10 + place) AS pos FROM members JOIN concepts USING (chunk_id) GROUP BY ALL) GROUP BY ALL
+        ),
+        l AS (SELECT chunk_id, trim(string_split(clean_text, chr(10))[1], ' #：:') AS line FROM chunks),
+        grouped AS (SELECT doc_id, topic, string_agg(chunk_id, ',' ORDER BY sequence) AS chunk_ids, arg_min(CASE WHEN length(line) BETWEEN 2 AND 30 THEN line ELSE '未分类' END, sequence) AS chapter FROM members JOIN l USING (chunk_id) GROUP BY ALL)
+        SELECT doc_id || '::topic_' || lpad(CAST(topic - 1 AS VARCHAR), 4, '0') AS topic_id, doc_id, coalesce(substr(names, 1, 60), chapter) AS title, chunk_ids FROM grouped LEFT JOIN named USING (doc_id, topic)""",
     "topic_centroids": """WITH e AS (SELECT label, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS place FROM embeddings),
         m AS (SELECT label, place, avg(v) AS v FROM e GROUP BY ALL)
         SELECT CAST(label AS BIGINT) AS label, CAST(place AS BIGINT) AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) AS value FROM m""",
