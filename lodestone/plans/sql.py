@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestone.functions.text import SPACES
 from lodestone.plans.catalogue import HAN, LATIN
+from lodestone.plans.stored import NOTE
 
 #: White space as Python's str methods see it, at either end.
 TRIM = f"trim({{}}, {' || '.join(f'chr({ord(c)})' for c in SPACES)})"
@@ -167,6 +168,16 @@ TOPICS = """
     ),
     members AS (SELECT doc_id, sequence, chunk_id, topic FROM walk)"""
 
+#: What the members of a topic are called and listed as.
+CHAPTERS = "chapters AS (SELECT chunk_id, CASE WHEN length(line) BETWEEN 2 AND 30 THEN line ELSE '未分类' END AS chapter FROM (SELECT chunk_id, trim(string_split(clean_text, chr(10))[1], ' #：:') AS line FROM chunks))"
+NAMED = """
+    named AS (
+        SELECT doc_id, topic, string_agg(concept, ' / ' ORDER BY pos) AS names
+        FROM (SELECT doc_id, topic, concept, min(sequence * 10 + place) AS pos FROM members JOIN concepts USING (chunk_id) GROUP BY ALL) GROUP BY ALL
+    ),
+    grouped AS (SELECT doc_id, topic, string_agg(chunk_id, ',' ORDER BY sequence) AS chunk_ids, arg_min(chapter, sequence) AS chapter FROM members JOIN chapters USING (chunk_id) GROUP BY ALL),
+    clusters AS (SELECT doc_id || '::topic_' || lpad(CAST(topic - 1 AS VARCHAR), 4, '0') AS topic_id, doc_id, coalesce(substr(names, 1, 60), chapter) AS title, chunk_ids FROM grouped LEFT JOIN named USING (doc_id, topic))"""
+
 #: Cosines of questions and topics, spread over the topics' members.
 TOPIC_SCORES = """
     centre AS (SELECT doc_id, topic, place, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id, topic)) AS value FROM (SELECT doc_id, topic, place, sum(value) AS v FROM members JOIN cv USING (chunk_id) GROUP BY ALL)),
@@ -280,6 +291,24 @@ PARSED = rf"""
         FROM spans JOIN placed USING (doc, k)
     )"""
 
+#: CTEs over parsed that end in links.
+LINKS = """
+    held AS (SELECT doc_id, label, k, list(chunk_id ORDER BY sequence) AS ids FROM parsed GROUP BY doc_id, label, k),
+    labels AS (SELECT doc_id, CAST(label AS VARCHAR) AS number, count(*) AS sections, any_value(ids) AS ids FROM held GROUP BY doc_id, label),
+    told AS (
+        SELECT doc AS doc_id, 'section' AS unit, CAST(k % 3 + 1 AS VARCHAR) AS number, begins + length(body) - length(k % 3 + 1 || '. See clause 99.' || chr(10) || chr(10)) - 8 AS spot FROM placed
+        UNION ALL SELECT doc, 'clause', '99', begins + length(body) - 12 FROM placed
+    ),
+    found AS (SELECT t.doc_id, unit, t.number, spot, coalesce(sections, 0) AS sections, CASE WHEN sections = 1 AND unit = 'section' THEN ids ELSE [] END AS targets FROM told t LEFT JOIN labels l ON l.doc_id = t.doc_id AND l.number = t.number AND unit = 'section'),
+    beside AS (SELECT a.doc_id, a.chunk_id AS a, b.chunk_id AS b FROM parsed a JOIN parsed b ON a.section_id = b.section_id AND b.sequence = a.sequence + 1),
+    links AS (
+        SELECT doc_id, chunk_id AS source_id, section_id AS target_id, 'section_member' AS kind, locator AS basis, 'resolved' AS status, first AS source_start, last AS source_end, '' AS target_ids FROM parsed
+        UNION ALL SELECT doc_id, a, b, 'adjacent', 'consecutive chunks in same section', 'resolved', 0, 0, '' FROM beside
+        UNION ALL SELECT doc_id, b, a, 'adjacent', 'consecutive chunks in same section', 'resolved', 0, 0, '' FROM beside
+        UNION ALL SELECT f.doc_id, p.chunk_id, targets[1], 'explicit_reference', unit || ' ' || number, CASE sections WHEN 0 THEN 'missing' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END, spot, spot + length(unit) + 1 + length(number), array_to_string(targets, ',')
+            FROM found f ASOF JOIN parsed p ON f.doc_id = p.doc_id AND f.spot >= p.first
+    )"""
+
 CATALOGUE = """
     known AS (
         SELECT doc_id, CASE WHEN n % 9 = 4 THEN 'same' ELSE 'name-' || n END AS name, '/data/' || doc_id AS path, CASE WHEN n = 2 THEN 'building' ELSE 'complete' END AS state
@@ -410,14 +439,8 @@ ORACLES: dict[str, str] = {
     "profile_vector_graph": _profile(True, True),
     "profile_vector_topic_graph": _profile(topic=True),
     "profile_full": _profile(topic=True, full=True),
-    "topic_clusters": f"""{_with(_chunks(), _vectors('chunks', 'chunk_id', 'clean_text', 'cv'), TOPICS, _concepts('chunks', 'chunk_id', 'clean_text')).replace('WITH', 'WITH RECURSIVE', 1)},
-        named AS (
-            SELECT doc_id, topic, string_agg(concept, ' / ' ORDER BY pos) AS names
-            FROM (SELECT doc_id, topic, concept, min(sequence * 10 + place) AS pos FROM members JOIN concepts USING (chunk_id) GROUP BY ALL) GROUP BY ALL
-        ),
-        l AS (SELECT chunk_id, trim(string_split(clean_text, chr(10))[1], ' #：:') AS line FROM chunks),
-        grouped AS (SELECT doc_id, topic, string_agg(chunk_id, ',' ORDER BY sequence) AS chunk_ids, arg_min(CASE WHEN length(line) BETWEEN 2 AND 30 THEN line ELSE '未分类' END, sequence) AS chapter FROM members JOIN l USING (chunk_id) GROUP BY ALL)
-        SELECT doc_id || '::topic_' || lpad(CAST(topic - 1 AS VARCHAR), 4, '0') AS topic_id, doc_id, coalesce(substr(names, 1, 60), chapter) AS title, chunk_ids FROM grouped LEFT JOIN named USING (doc_id, topic)""",
+    "topic_clusters": f"""{_with(_chunks(), _vectors('chunks', 'chunk_id', 'clean_text', 'cv'), TOPICS, _concepts('chunks', 'chunk_id', 'clean_text'), CHAPTERS, NAMED).replace('WITH', 'WITH RECURSIVE', 1)}
+        SELECT topic_id, doc_id, title, chunk_ids FROM clusters""",
     "topic_centroids": """WITH e AS (SELECT label, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS place FROM embeddings),
         m AS (SELECT label, place, avg(v) AS v FROM e GROUP BY ALL)
         SELECT CAST(label AS BIGINT) AS label, CAST(place AS BIGINT) AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) AS value FROM m""",
@@ -426,20 +449,7 @@ ORACLES: dict[str, str] = {
         g AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM t GROUP BY query_id)
         SELECT query_id, chunk_ids, md5(context) AS context_md5, length(context) AS size FROM g""",
     "structure_chunks": f"""WITH RECURSIVE {PARSED} SELECT chunk_id, doc_id, sequence, section_id, 'Section ' || label AS path, locator, first AS source_start, last AS source_end, part AS partial, md5(said) AS text_md5 FROM parsed""",
-    "structure_links": f"""WITH RECURSIVE {PARSED},
-        held AS (SELECT doc_id, label, k, list(chunk_id ORDER BY sequence) AS ids FROM parsed GROUP BY doc_id, label, k),
-        labels AS (SELECT doc_id, CAST(label AS VARCHAR) AS number, count(*) AS sections, any_value(ids) AS ids FROM held GROUP BY doc_id, label),
-        told AS (
-            SELECT doc AS doc_id, 'section' AS unit, CAST(k % 3 + 1 AS VARCHAR) AS number, begins + length(body) - length(k % 3 + 1 || '. See clause 99.' || chr(10) || chr(10)) - 8 AS spot FROM placed
-            UNION ALL SELECT doc, 'clause', '99', begins + length(body) - 12 FROM placed
-        ),
-        found AS (SELECT t.doc_id, unit, t.number, spot, coalesce(sections, 0) AS sections, CASE WHEN sections = 1 AND unit = 'section' THEN ids ELSE [] END AS targets FROM told t LEFT JOIN labels l ON l.doc_id = t.doc_id AND l.number = t.number AND unit = 'section'),
-        beside AS (SELECT a.doc_id, a.chunk_id AS a, b.chunk_id AS b FROM parsed a JOIN parsed b ON a.section_id = b.section_id AND b.sequence = a.sequence + 1)
-        SELECT doc_id, chunk_id AS source_id, section_id AS target_id, 'section_member' AS kind, locator AS basis, 'resolved' AS status, first AS source_start, last AS source_end, '' AS target_ids FROM parsed
-        UNION ALL SELECT doc_id, a, b, 'adjacent', 'consecutive chunks in same section', 'resolved', 0, 0, '' FROM beside
-        UNION ALL SELECT doc_id, b, a, 'adjacent', 'consecutive chunks in same section', 'resolved', 0, 0, '' FROM beside
-        UNION ALL SELECT f.doc_id, p.chunk_id, targets[1], 'explicit_reference', unit || ' ' || number, CASE sections WHEN 0 THEN 'missing' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END, spot, spot + length(unit) + 1 + length(number), array_to_string(targets, ',')
-            FROM found f ASOF JOIN parsed p ON f.doc_id = p.doc_id AND f.spot >= p.first""",
+    "structure_links": f"WITH RECURSIVE {PARSED}, {LINKS} SELECT * FROM links",
     "adjacent_links": f"""{_with(_chunks())}, p AS (SELECT a.chunk_id AS a, b.chunk_id AS b FROM chunks a JOIN chunks b ON a.doc_id = b.doc_id AND b.sequence = a.sequence + 1 AND a.sequence // 3 = b.sequence // 3)
         SELECT a AS source_id, b AS target_id, 'adjacent' AS kind FROM p UNION ALL SELECT b, a, 'adjacent' FROM p""",
     "reference_resolution": f"""{_with(STRUCTURED)}, asked AS (
@@ -505,3 +515,39 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, chapter, string_agg(concept, ',' ORDER BY pos, concept) AS concepts FROM c GROUP BY doc_id, chapter""",
     "incremental_ingest": f"{_with(_chunks())} SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(clean_text)) AS BIGINT) AS n_chars FROM chunks GROUP BY doc_id",
 }
+
+#: What the index of plans.stored holds in the end: changed documents with their note, without the removed ones.
+CORPUS = f"""
+    corpus AS (
+        SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, '/data/' || doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN {' || chr(10) || '.join(f"'{line}'" for line in NOTE.split(chr(10)))} ELSE '' END || coalesce(text, '') AS text
+        FROM documents WHERE doc_id % 10 <> 1
+    )"""
+KEPT = (CORPUS, _chunks().replace("FROM documents", "FROM corpus"), _concepts("chunks", "chunk_id", "clean_text"))
+
+ORACLES |= {
+    "index_chunks": f"""{_with(*KEPT, CHAPTERS)}, named AS (SELECT chunk_id, string_agg(concept, ',' ORDER BY place) AS concepts FROM concepts GROUP BY chunk_id)
+        SELECT chunk_id, doc_id, sequence, chapter, coalesce(concepts, '') AS concepts, md5(clean_text) AS text_md5 FROM chunks JOIN chapters USING (chunk_id) LEFT JOIN named USING (chunk_id)""",
+    "index_edges": f"{_with(*KEPT, EDGES)} SELECT source, target, weight FROM edges",
+    "index_documents": f"""{_with(*KEPT, _terms('chunks', 'chunk_id', 'clean_text', 'postings'))}, counted AS (SELECT doc_id, count(*) AS c FROM chunks GROUP BY doc_id),
+        whole AS (SELECT (SELECT count(*) FROM chunks) AS n, (SELECT count(*) FROM postings_all) AS terms)
+        SELECT doc_id, source AS name, path, coalesce(c, 0) AS processed_chunks, coalesce(c, 0) AS total_chunks, 'complete' AS state, n, round(terms / n, 6) AS avgdl FROM corpus LEFT JOIN counted USING (doc_id), whole""",
+    "index_topics": f"""{_with(*KEPT[:2], _vectors('chunks', 'chunk_id', 'clean_text', 'cv'), TOPICS, KEPT[2], CHAPTERS, NAMED).replace('WITH', 'WITH RECURSIVE', 1)}
+        SELECT topic_id, doc_id, title, chunk_ids FROM clusters WHERE CAST(doc_id AS BIGINT) % 3 = 2
+        UNION ALL SELECT doc_id || '::whole', doc_id, 'whole', string_agg(chunk_id, ',' ORDER BY sequence) FROM chunks WHERE CAST(doc_id AS BIGINT) % 3 = 0 GROUP BY doc_id""",
+    "index_retrieve": f"""{_with(*KEPT, QUESTIONS, _dense(), QUESTION_TERMS, KEYWORDS, EDGES, HITS)},
+        scoped AS (SELECT query_id, min(doc_id) AS scope FROM questions LEFT JOIN corpus ON contains(doc_id || ' ' || source || ' ' || path, '/data/' || query_id) WHERE query_id % 2 = 0 GROUP BY query_id),
+        allowed AS (SELECT query_id, chunk_id FROM questions, chunks WHERE query_id % 2 = 1 UNION ALL SELECT query_id, chunk_id FROM scoped JOIN chunks ON scope = doc_id),
+        close AS (SELECT query_id, chunk_id, vector_score FROM near_all JOIN allowed USING (query_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(vector_score, 9) DESC, chunk_id) <= 40),
+        parts AS (
+            SELECT query_id, chunk_id, 0.7::DOUBLE * vector_score AS score FROM close
+            UNION ALL SELECT query_id, chunk_id, score FROM keyed JOIN allowed USING (query_id, chunk_id)
+            UNION ALL SELECT query_id, chunk_id, least(0.2::DOUBLE, hits * 0.07::DOUBLE) FROM hits JOIN allowed USING (query_id, chunk_id)
+        ),
+        total AS (SELECT query_id, chunk_id, sum(score) AS score FROM parts GROUP BY ALL)
+        SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM total QUALIFY rank <= 6""",
+    "index_resume": f"""WITH RECURSIVE {PARSED}, {LINKS},
+        c AS (SELECT doc_id, count(*) AS n FROM parsed GROUP BY doc_id)
+        SELECT doc_id, any_value(n) AS processed_chunks, any_value(n) AS total_chunks, 'complete' AS state,
+               count(*) FILTER (WHERE kind = 'section_member') AS members, count(*) FILTER (WHERE kind = 'adjacent') AS neighbours, count(*) FILTER (WHERE kind = 'explicit_reference') AS references
+        FROM c JOIN links USING (doc_id) GROUP BY doc_id""",
+}

@@ -8,11 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from lodestone.plans.catalogue import QUERIES
+from lodestone.plans import catalogue, stored
 from lodestone.plans.sql import ORACLES
 from lodestone.streaming.ingest import start_ingest
 
 DATA = "/root/testdata/sf0.001"
+QUERIES = catalogue.QUERIES | stored.QUERIES
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
 
 
