@@ -74,8 +74,8 @@ class Engine:
         """Plain chunks with concepts, their graph and topics, for the graph profiles."""
         self.index.check_embedding(self.identity, record=True)
         named = documents.withColumn("doc_id", F.col("doc_id").cast("string"))
-        rows = chunking.split_documents(named, size=size).withColumn("embedding", self.embed(F.col("clean_text")))
-        found = graph.chunk_concepts(rows, keep=("doc_id",))
+        rows = saved(chunking.split_documents(named, size=size).withColumn("embedding", self.embed(F.col("clean_text"))), "chunks")  # embedded once for chunks and topics
+        found = saved(graph.chunk_concepts(rows, keep=("doc_id",)), "concepts")
         listed = found.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("place", "concept"))).alias("c")).select("chunk_id", F.col("c.concept").alias("concepts"))
         themed = rows.join(listed, "chunk_id", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
         names = named.select("doc_id", *(F.col(c) if c in named.columns else F.col("doc_id").alias(c) for c in ("name", "path")))
