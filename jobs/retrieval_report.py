@@ -27,7 +27,7 @@ from jobs import settings as given
 from lodestone.operators.chunking import split_documents
 from lodestone.operators.containment import holding
 from lodestone.operators.evaluate import ranking_metrics
-from lodestone.operators.lexical import bm25_topk, postings_of, question_terms
+from lodestone.operators.lexical import asked_topk
 from lodestone.sources.scratch import broadcast_if_small, saved, spread
 
 DEFAULTS = {"chunk_size": 800, "recall_k": 40, "cut": 10, "test_every": 2, "judging_gram": 16}
@@ -43,8 +43,7 @@ def run(spark: SparkSession, documents: str, benchmark: str, out: str, settings:
     split = F.when(F.col("query_id") % use["test_every"] == 0, "test").otherwise("dev")
     asked = saved(items.withColumn("split", split), "asked")
     rows = saved(split_documents(docs, size=use["chunk_size"]).select("chunk_id", "doc_id", "clean_text"), "chunks")
-    index, stats = postings_of(rows, question_terms(asked).select("term").distinct())
-    top = bm25_topk(asked.select("query_id", "question"), saved(index, "postings"), stats, use["recall_k"])
+    top = asked_topk(asked.select("query_id", "question"), rows, use["recall_k"])
     by_split = broadcast_if_small(asked.select("query_id", "split"))
     ranked = top.join(rows.select("chunk_id", "doc_id"), "chunk_id").join(by_split, "query_id")
     counts = {"documents": docs.count(), "questions": asked.count(), "chunks": rows.count()}

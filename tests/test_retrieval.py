@@ -51,6 +51,23 @@ def test_bm25_statistics_ignore_scope(spark):
     assert math.isclose(got["q", "a"], -math.log(2.5 / 1.5) * norm(1, 2)) and math.isclose(got["r", "b"], -1e-6 * norm(2, 3))
 
 
+def test_asked_topk_without_an_index(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "SCORES_AT_ONCE", 4)  # two chunks at once
+    rows = spark.createDataFrame([(f"{i:02d}", f"{i % 3}", " ".join(("red apple", "red red -- pear", "blue _", "增长 red")[i % 4 : i % 4 + 2 if i > 8 else 4])) for i in range(11)] + [("zz", "9", None)], "chunk_id string, doc_id string, clean_text string")
+    rows = rows.unionByName(spark.createDataFrame([("a", "0", "red apple"), ("b", "1", "red red pear"), ("c", "2", "blue 增长"), ("d", "1", "pear")], rows.schema))
+    asked = spark.createDataFrame([("q", "apple APPLE red", None), ("r", "red pear", "1"), ("s", "nowhere", None), ("t", None, None), ("u", "增长", "2")], "query_id string, question string, scope string")
+    seen, index = rows.select("chunk_id", rows.doc_id.alias("scope")), lexical.postings(rows)
+    want = lexical.bm25_topk(asked, index, lexical.statistics(rows, index), 3, visible=seen).orderBy("query_id", "lexical_rank").collect()
+    for at_once in (2, 100):
+        monkeypatch.setattr(lexical, "QUESTIONS_AT_ONCE", at_once)
+        got = lexical.asked_topk(asked, rows, 3, scope_col="doc_id").orderBy("query_id", "lexical_rank")
+        assert [(r.query_id, r.chunk_id, r.lexical_rank) for r in got.collect()] == [(r.query_id, r.chunk_id, r.lexical_rank) for r in want]
+        assert all(math.isclose(a.bm25, b.bm25) for a, b in zip(got.collect(), want, strict=True))
+    assert {r.query_id for r in want} == {"q", "r", "u"} and lexical.asked_topk(asked.limit(0), rows).collect() == []
+    plan = lexical.asked_topk(asked, rows, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # no pairs of questions and chunks
+
+
 def test_graph(spark):
     rows = spark.createDataFrame([("1", "alpha beta alpha"), ("2", "alphabet gamma"), ("3", "delta")], "chunk_id string, clean_text string")
     own = graph.chunk_concepts(rows)
