@@ -68,6 +68,21 @@ def test_asked_topk_without_an_index(spark, monkeypatch):
     assert "Join" not in plan  # no pairs of questions and chunks
 
 
+def test_concepts_are_counted_without_a_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([("1", "beta alpha beta gamma alpha delta"), ("2", None), ("3", "12 !")], "chunk_id string, clean_text string")
+    found = graph.chunk_concepts(rows, limit=3)
+    assert [tuple(r) for r in found.orderBy("place").collect()] == [("1", "beta", 2, 1), ("1", "alpha", 2, 2), ("1", "gamma", 1, 3)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_of_topics_cross_batches(spark, monkeypatch):
+    rows = [(f"d{i // 7}", i % 7, f"c{i}", [1.0, 0.0] if i % 2 else [0.0, 1.0], "t", ["x"]) for i in range(40)]
+    given = spark.createDataFrame(rows[::-1], "doc_id string, sequence int, chunk_id string, embedding array<double>, chapter string, concepts array<string>")
+    monkeypatch.setattr(topics, "ROWS_AT_ONCE", 3)
+    got = {r.topic_id: r.chunk_ids for r in topics.build_topics(given).collect()}
+    assert len(got) == 12 and got["d0::topic_0000"] == ["c0", "c2", "c4", "c6"] and got["d1::topic_0001"] == ["c8", "c10", "c12"]
+
+
 def test_graph(spark):
     rows = spark.createDataFrame([("1", "alpha beta alpha"), ("2", "alphabet gamma"), ("3", "delta")], "chunk_id string, clean_text string")
     own = graph.chunk_concepts(rows)

@@ -66,3 +66,12 @@ def test_embedding(spark):
 
 def test_flags():
     assert [text.as_bool(v) for v in (None, "YES", " on ", "0")] == [False, True, True, False]
+
+
+def test_han_texts_need_no_python(spark):
+    rows = spark.createDataFrame([("营业 revenue 增长",), ("ｆｕｌｌ",)], "t string")
+    import lodestone.functions.text as text
+    from pyspark.sql import functions as F
+
+    assert [r.s for r in rows.select(F.col("t").rlike(text.STABLE).alias("s")).collect()] == [True, False]
+    assert all(__import__("unicodedata").normalize("NFKC", chr(c)) == chr(c) for c in (*range(0x3400, 0x4DC0), *range(0x4E00, 0xA000)))
