@@ -68,6 +68,26 @@ def test_asked_topk_without_an_index(spark, monkeypatch):
     assert "Join" not in plan  # no pairs of questions and chunks
 
 
+def test_concept_hits_of_many_questions_equal_a_plain_walk(spark):
+    words = ["alpha", "alphabet", "bet", "gamma", "gam", "delta", "el", "x-ray", "ra"]
+    rows = [(str(i), f"{words[i % 9]} {words[i * 5 % 9]} {words[i * 7 % 9]} {words[(i + 1) % 9]}") for i in range(12)]
+    own = graph.chunk_concepts(spark.createDataFrame(rows, "chunk_id string, clean_text string"))
+    edges = graph.concept_edges(own).filter("weight > 2")
+    asked = spark.createDataFrame([(f"q{i}", ("bet", "gamma ray", "a delta", "nothing", "alphabets")[i % 5]) for i in range(130)], "query_id string, question string")
+    terms, links, held = {}, [(r.source, r.target) for r in edges.collect()], [(r.chunk_id, r.concept) for r in own.collect()]
+    for r in graph.question_terms(asked).collect():
+        terms.setdefault(r.query_id, set()).add(r.term)
+    touch = lambda some, known: {c for c in known if any(t in c or c in t for t in some)}
+    want = {}
+    for q, some in terms.items():
+        hit = touch(some, {a for a, _ in links})
+        found = touch(some | hit | {b for a, b in links if a in hit}, {c for _, c in held})
+        for chunk, c in held:
+            if c in found:
+                want[q, chunk] = want.get((q, chunk), 0) + 1
+    assert {(r.query_id, r.chunk_id): r.hits for r in graph.concept_hits(asked, own, edges).collect()} == want and len(terms) > graph.BITS
+
+
 def test_concepts_are_counted_without_a_shuffle(spark, monkeypatch):
     rows = spark.createDataFrame([("1", "beta alpha beta gamma alpha delta"), ("2", None), ("3", "12 !")], "chunk_id string, clean_text string")
     found = graph.chunk_concepts(rows, limit=3)
