@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -10,25 +9,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.embedding import embed_text
-from lodestone.functions.text import HAN
+from lodestone.functions.text import terms_of
 from lodestone.operators.structure import CHUNK_FIELDS, parse_text
 
 
-RUN = re.compile(f"([{re.sub(chr(92) * 2 + 'x{([0-9a-f]+)}', lambda m: chr(int(m[1], 16)), HAN)}]+)|[a-z0-9_-]+")
-
-
-def terms_of(text: str | None) -> list[str]:
-    """As ``functions.text.lexical_terms``, of one text."""
-    out = []
-    for run in RUN.finditer(unicodedata.normalize("NFKC", text or "").lower()):
-        said = run.group()
-        if run.group(1):
-            out += [said] if len(said) == 1 else [said[i : i + 2] for i in range(len(said) - 1)]
-        elif re.search("[a-z0-9]", said):
-            out.append(said)
-    return out
-
-
 def register(spark: SparkSession) -> None:
     """parse_document(text, doc_id, format, size) as a table function, text_embedding(text) and lexical_terms(text)."""
     names = [f.split()[0] for f in CHUNK_FIELDS.split(", ")]
