@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
 from lodestone.functions.text import candidates_of, concept_candidates, lexical_terms, terms_of
-from lodestone.operators import graph, lexical
+from lodestone.operators import graph, lexical, profiles
 from lodestone.sources import index
 
 TEXTS = ["Apples and pears_ -- _x9 ___ a-b", "营业收入 grew; 数 KÅ ﬁne İstanbul 公司", "", None, "apples apples 营业收入增长数据报告情况说明项目a1 b2", "--a--_b_ -_- 　x​数据9", "x" * 30 + " " + "y" * 24]
@@ -79,3 +79,28 @@ def test_plain_ingestion_embeds_chunks_once(spark, tmp_path):
     made = Engine.create(spark, str(tmp_path / "plain"), kind="plain", embed=lambda c: embed(c))
     made.ingest_plain(spark.createDataFrame([(f"d{i}", "apples pears") for i in range(5)], "doc_id string, text string"))
     assert calls.value == 5 and {r.weight for r in made.index.table("edges").collect()} == {5}
+
+
+def test_keywords_are_scored_where_chunks_are_read(spark, monkeypatch):
+    asked = [(1, "Apples and pears in 营业收入?", None), (2, "apples x9 a-b b2", "d1"), (3, "??", None), (4, "x9", "none")]
+    asked = spark.createDataFrame(asked, "query_id long, question string, scope string")
+    for questions in (asked, asked.drop("scope"), asked.limit(0)):
+        fast = profiles.keyword_scores(questions, texts(spark))
+        assert shuffles(fast) == 0
+        with monkeypatch.context() as m:
+            m.setattr(profiles, "TERMS_AT_ONCE", -1)  # too many terms for the tasks
+            slow = profiles.keyword_scores(questions, texts(spark))
+        assert fast.schema.simpleString() == slow.schema.simpleString()
+        assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+
+
+def test_the_job_counts_terms_once_and_with_their_documents(spark, tmp_path, monkeypatch):
+    from jobs import document_index
+
+    made, kept = lexical.postings, []
+    monkeypatch.setattr(document_index, "postings", lambda rows, **given: kept.append(given) or made(rows, **given))
+    texts(spark).select("doc_id", F.col("clean_text").alias("text")).write.parquet(str(tmp_path / "documents"))
+    counts = document_index.run(spark, str(tmp_path / "documents"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert kept == [{"keep": ("doc_id",)}] and counts["documents"] == 3
+    found = document_index.current(spark, str(tmp_path / "out"), "postings", "string")
+    assert {(r.doc_id, r.chunk_id.partition("::")[0]) for r in found.collect()} <= {(f"d{i}", f"d{i}") for i in range(3)} and found.count() == counts["postings"]
