@@ -1,12 +1,15 @@
 """Steps whose work must not grow faster than their tables: what is shuffled, and how often tables are read."""
 
+import re
+import sys
+import unicodedata
 from collections import Counter
 from itertools import permutations
 
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
-from lodestone.functions.text import candidates_of, concept_candidates, lexical_terms, terms_of
+from lodestone.functions.text import candidates_of, concept_candidates, has_digits, lexical_terms, numeric_tokens, terms_of
 from lodestone.operators import graph, lexical, profiles
 from lodestone.sources import index
 
@@ -94,6 +97,42 @@ def test_keywords_are_scored_where_chunks_are_read(spark, monkeypatch):
         assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
 
 
+def test_digits_are_seen_in_every_character_that_normalises_to_one(spark):
+    signs = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    wanted = {s for s in signs if re.search("[0-9]", unicodedata.normalize("NFKC", s))}
+    found = spark.createDataFrame([(s,) for s in signs if s in wanted or ord(s) % 7 == 0 or ord(s) < 0x3400], "s string").filter(has_digits(F.concat(F.lit("aé营"), "s", F.lit("я"))))
+    assert {r.s for r in found.collect()} == wanted and len(wanted) > 290
+
+
+NUMBERED = ["1,234 of 10.5% in 2025", "year 2025: 12 and 34", "½ and ２０２５", "1 2 3 4, 10.5 %", "%%. 7.% .5 5. 5.5.5 %7", "٣ only", "no number", "", None, "2025", "20 25", "12.34%", "①②3 a1b2", "99 missing"]
+
+
+def test_exact_numbers_are_looked_up_in_numbers_and_once_for_equal_questions(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"d{i % 3}", f"c{i}", t, i) for i, t in enumerate(NUMBERED * 2)], "doc_id string, chunk_id string, clean_text string, sequence int")
+    asked = spark.createDataFrame([(i, t, "d1" if i % 4 == 3 else "none" if i == 8 else None) for i, t in enumerate(NUMBERED * 3)], "query_id long, question string, scope string")
+    tokens = {r.query_id: set(r.t) for r in asked.select("query_id", numeric_tokens(F.col("question")).alias("t")).collect()}
+    normal = {r.chunk_id: (r.doc_id, r.normal) for r in profiles.normal_chunks(rows).collect()}
+    scope = {r.query_id: r.scope for r in asked.collect()}
+    made, given = profiles.holding, []
+    monkeypatch.setattr(profiles, "holding", lambda terms, texts, ids, col="normal": given.append(texts.select(F.col(col).alias("t"))) or made(terms, texts, ids, col))
+    monkeypatch.setattr(profiles, "ALIKE_AT_ONCE", 2, raising=False)
+    for questions in (asked, asked.drop("scope"), asked.limit(0), asked.filter("question = 'no number'")):
+        kept = {r.query_id for r in questions.collect()}
+        scoped = "scope" in questions.columns
+        wanted = sorted((q, c, 0.18) for q, t in tokens.items() for c, (d, text) in normal.items() if q in kept and t and all(x in text for x in t) and (not scoped or scope[q] in (None, d)))
+        small = profiles.exact_scores(questions, rows)
+        with monkeypatch.context() as m:
+            m.setattr(profiles, "is_small", lambda *given: False)  # too many questions for a broadcast
+            large = profiles.exact_scores(questions, rows)
+        assert small.schema.simpleString() == large.schema.simpleString() == "struct<query_id:bigint,chunk_id:string,score:double>"
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) == wanted
+    assert all(set(r.t) <= set("0123456789.% ") for t in given for r in t.collect())
+    joined = []
+    monkeypatch.setattr(profiles, "is_small", lambda df, *given: joined.append(df) or True)
+    profiles.exact_scores(asked.drop("scope"), rows)
+    assert any("query_ids" in df.columns and sum(len(r.query_ids) > 1 for r in df.collect()) > 3 for df in joined)
+
+
 def test_the_job_counts_terms_once_and_with_their_documents(spark, tmp_path, monkeypatch):
     from jobs import document_index
 
