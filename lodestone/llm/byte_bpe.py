@@ -41,8 +41,8 @@ from lodestone.llm.cuts import Vocabulary
 CACHED_BYTES, CACHED_RUN_BYTES, ENTRY_BYTES = 100_000_000, 20_000_000, 200
 #: Tokens of a run that is decoded as one, and of the runs that one query takes.
 RUN_TOKENS, TOKENS_AT_ONCE = 65_536, 1_000_000
-#: Characters of text encoded at once.
-CHARS_AT_ONCE = 4_000_000
+#: Characters of text encoded at once: their words, as Python strings, take some twelve times as many bytes.
+CHARS_AT_ONCE = 1_000_000
 #: Words of more bytes are cut where no token reaches across.
 LONG = 32
 #: Characters for which only the regex module knows the pattern's classes.
